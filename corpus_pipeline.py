@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.bottomk import near_stage
 from scriptorium.llm.common import documents, stage
+from scriptorium.llm.decontaminate import decontaminate_stage
 from scriptorium.llm.exact_dedup import dedup_stage
+from scriptorium.llm.lexicon import encode_stage
+from scriptorium.llm.quality import quality_stage
 
 STAGES = [
+    ("quality_classifier", quality_stage),
     ("exact_dedup", dedup_stage),
     ("minhash_near_dedup", near_stage),
+    ("benchmark_decontamination", decontaminate_stage),
+    ("bpe_encoding", encode_stage),
 ]
 
 #: Trained models, similarity joins and tokenisers are beyond SQL; tests compare the stages with brute force.

@@ -36,52 +36,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, SPACE_WORD, drop_path, new_path, rows_of, stage
+from .common import U64, WHITE, drop_path, hashed_words, mix, new_path, rows_of, stage, text_buffers
 
 #: A pair over the threshold is missed by its sketches with at most this probability.
 MISS = 1e-9
 #: Members of a list that each member meets directly; lists up to one more are complete.
 NEAR = 4
+#: Of the longer lists, one in so many gives its members a neighbour each.
+SPREAD = 8
 CHUNKS = 64
-U64 = np.uint64
 
 
-class WordHash(dict):
-    """64-bit hashes of words, kept while there are not too many."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles over a text's word hashes, ascending; fewer words are one shingle."""
+    width = min(width, len(h))
+    if not width:
         return h
-
-
-_words = WordHash()
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values with well mixed bits."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
-
-
-def shingle_hashes(words: list[str], width: int) -> np.ndarray:
-    """Distinct hashes of the word shingles, ascending."""
-    if not words:
-        return np.empty(0, U64)
-    h = np.fromiter(map(_words.__getitem__, words), U64, len(words))
-    width = min(width, len(words))
-    out = np.full(len(h) - width + 1, U64(width), U64)
     with np.errstate(over="ignore"):
+        out = np.full(len(h) - width + 1, U64(width), U64)
         for j in range(width):
             out = out * U64(0x9E3779B97F4A7C15) + h[j : len(h) - width + 1 + j]
-        out = mix(out)
-    return np.unique(out)
-
-
-def words_of(text: str | None) -> list[str]:
-    return SPACE_WORD.findall(text.translate(ASCII_LOWER)) if text else []
+        out = np.sort(mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def profiler(width: int, k: int) -> Callable:
@@ -89,15 +65,15 @@ def profiler(width: int, k: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests, sizes, sketches = [], [], [], []
-            for doc_id, text in rows_of(batch, "doc_id", "text"):
-                hs = shingle_hashes(words_of(text), width)
-                ids.append(doc_id)
-                sizes.append(len(hs))
-                digests.append(hashlib.blake2b(hs.tobytes(), digest_size=16).digest())
-                sketches.append(hs[:k].tobytes())
+            digests, sizes, sketches = [], [], []
+            for first, last, places, _, _, h in hashed_words(*text_buffers(batch.column("text")), WHITE):
+                for i in range(last - first):
+                    hs = shingle_hashes(h[places[i] : places[i + 1]], width)
+                    sizes.append(len(hs))
+                    digests.append(hashlib.blake2b(hs.tobytes(), digest_size=16).digest())
+                    sketches.append(hs[:k].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
+                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
                 names=["doc_id", "digest", "n_shingles", "sketch"],
             )
 
@@ -184,15 +160,15 @@ def neighbours(t: Fraction) -> Callable:
             start = len(held[0]) if held else 0
             v, d, n = (np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)) if held else cols
             out_a, out_b = [], []
+            deep = np.concatenate([np.zeros(min(len(v), NEAR + 1), bool), v[NEAR + 1 :] == v[: -NEAR - 1]])
             for gap in range(1, NEAR + 1):
                 i = np.arange(max(start, gap), len(v))
-                i = i[v[i] == v[i - gap]]
+                i = i[(v[i] == v[i - gap]) & (~deep[i] | (gap == 1) & (v[i] % SPREAD == 0))]
                 small, large = np.minimum(n[i], n[i - gap]), np.maximum(n[i], n[i - gap])
                 i = i[(small * t.denominator >= large * t.numerator) & (d[i] != d[i - gap])]
                 out_a.append(np.minimum(d[i], d[i - gap]))
                 out_b.append(np.maximum(d[i], d[i - gap]))
-            i = np.arange(max(start, NEAR + 1), len(v))
-            longer = np.unique(v[i[v[i] == v[i - NEAR - 1]]])
+            longer = np.unique(v[start:][deep[start:]])
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -220,7 +196,7 @@ def members(marks) -> Callable:
     return run
 
 
-def only_ids(rows: DataFrame, pairs: DataFrame, bits: int = 22) -> DataFrame:
+def only_ids(rows: DataFrame, pairs: DataFrame, bits: int = 20) -> DataFrame:
     """Drop most rows that are in no pair, with a bitmap of fixed size, before they are shuffled."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     marks = rows.sparkSession.sparkContext.broadcast(bucket_counts(ids, "id", bits) > 0)
@@ -257,15 +233,15 @@ def estimator(k: int, t: float) -> Callable:
 def verifier(width: int, t: Fraction) -> Callable:
     """Keep pairs of texts whose full shingle sets are similar enough; compares the words themselves."""
 
-    def shingles(text: str | None) -> set:
-        w = words_of(text)
+    def shingles(text: bytes) -> set:
+        w = text.lower().split()  # of bytes: A-Z and ASCII white space only
         n = min(width, len(w))
         return set(zip(*(w[j:] for j in range(n)), strict=False)) if w else set()
 
     def run(batches):
         for batch in batches:
             keep, last, left = [], None, set()
-            for a, x, y in rows_of(batch, "a", "left", "right"):
+            for a, x, y in zip(batch.column("a").to_pylist(), *(batch.column(c).fill_null("").cast(pa.binary()).to_pylist() for c in ("left", "right")), strict=True):
                 if a != last:
                     last, left = a, shingles(x)
                 right = shingles(y)

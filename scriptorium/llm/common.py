@@ -10,17 +10,19 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
+U64 = np.uint64
 
-#: Words of the decontamination contract, after ASCII lower-casing.
-ALNUM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-#: Words of the near-duplicate contract: runs without ASCII white space.
-SPACE_WORD = re.compile("[^\x20\x09-\x0d]+")
+#: Bytes that part words, after ASCII lower-casing; bytes of 0x80 and over are parts of words.
+NOT_ALNUM = np.array([not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or 0x41 <= b <= 0x5A or b >= 0x80) for b in range(256)])
+WHITE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+#: The same words as a pattern over lower-cased bytes.
+ALNUM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def ascii_lower(col: Column | str) -> Column:
@@ -72,3 +74,55 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values with well mixed bits."""
+    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    return x ^ (x >> U64(31))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = mix(np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], U64) + U64(0xA5A5))
+_powers = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _grown(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[i] = np.cumprod(np.concatenate([np.ones(1, U64), np.full(max(n, 1 << 16), base, U64)]))
+    return _powers
+
+
+def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string column; a null is an empty text."""
+    column = column.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data, offsets
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray, upto: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of texts without a Python object each, some texts at a time.
+
+    Yields first text, last text + 1, the place of each text's first word (and the end),
+    and of each word the start, end and a 64-bit hash that ignores the case of A-Z.
+    """
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + upto, "right")) - 1)
+        at, end = int(offsets[first]), int(offsets[last])
+        b = data[at:end]
+        word = np.concatenate([[False], ~parts[b], [False]])
+        starts_text = np.zeros(len(b) + 1, bool)
+        starts_text[offsets[first : last + 1] - at] = True
+        begins = np.flatnonzero(word[1:-1] & (~word[:-2] | starts_text[:-1]))
+        ends = np.flatnonzero(word[1:-1] & (~word[2:] | starts_text[1:])) + 1
+        up, down = _grown(len(b) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[b] * up[: len(b)])])
+            h = mix((total[ends] - total[begins]) * down[begins])
+        places = np.searchsorted(begins, offsets[first : last + 1] - at)
+        yield first, last, places, begins + at, ends + at, h
+        first = last

@@ -3,12 +3,12 @@
 Every text is normalised (A-Z lower-cased, null = empty) and digested.  Tasks
 first fold equal texts of one Arrow batch into one landed row, so a text that
 a third of all rows repeat reaches the shuffle once a batch, not once a row.
-The landed rows are the content store.  A keyed streaming operator with a
-disk-backed state (RocksDB, no expiry) then holds, for each digest, one entry
-per distinct content: its largest document id, its row count and a locator
-(landed file and row).  Nothing is called a copy on its digest alone: full
-bytes are compared, within the micro-batch directly and against an older entry
-by reading the content back through its locator.
+The landed rows are the content store.  A streaming aggregation with a
+disk-backed state (RocksDB, no expiry) then holds for each digest its largest
+document id, its row count and a locator (landed file and row) of its content.
+Nothing is called a copy on its digest alone: wherever a digest was hit again,
+the full bytes of all landed rows are compared with the content behind the
+locator, and should they differ the contents are kept apart.
 
 Defined cases: null or missing text is the empty text; a null id is below all
 others; rows repeating an id are copies like any other; an empty table gives
@@ -17,26 +17,21 @@ no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, new_path, rows_of, stage
 
-LANDED = "rid long, digest binary, text string, ids array<long>, top long, n long"
-ENTRY = "rid long, digest binary, class int, top long, n long"
-STATE = "files array<string>, row_at array<long>, tops array<long>, counts array<long>"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LANDED = "digest binary, text string, ids array<long>, top long, n long"
+ENTRY = "digest binary, top long, n long, landed long, holder struct<top: long, file: string, row_at: long>"
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold the equal texts of a batch; equal digests with other bytes stay apart."""
-    base = uuid.uuid4().int & ((1 << 62) - 1)
     for batch in batches:
         groups: dict[tuple[bytes, str], list] = {}
         for doc_id, text, digest in rows_of(batch, "doc_id", "text", "digest"):
@@ -44,16 +39,14 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = list(groups.values())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(range(base, base + len(groups)), pa.int64()),
                 pa.array([k[0] for k in groups], pa.binary()),
                 pa.array([k[1] for k in groups], pa.string()),
                 pa.array(ids, pa.list_(pa.int64())),
                 pa.array([max((i for i in x if i is not None), default=None) for x in ids], pa.int64()),
                 pa.array([len(x) for x in ids], pa.int64()),
             ],
-            names=["rid", "digest", "text", "ids", "top", "n"],
+            names=["digest", "text", "ids", "top", "n"],
         )
-        base += len(groups)
 
 
 def fold(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,101 +55,78 @@ def fold(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return keyed.withColumn("digest", F.unhex(F.sha2("text", 256))).mapInArrow(_fold, LANDED)
 
 
-class Content:
-    """Texts behind locators; keeps the row group read last."""
-
-    def __init__(self) -> None:
-        self.held: tuple[str, int, list[str]] | None = None
-
-    def read(self, file: str, row: int) -> str:
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-
-        if not (self.held and self.held[0] == file and self.held[1] <= row < self.held[1] + len(self.held[2])):
-            fs, path = pafs.FileSystem.from_uri(file)
-            with fs.open_input_file(path) as src:
-                table, first = pq.ParquetFile(src), 0
-                for g in range(table.num_row_groups):
-                    rows = table.metadata.row_group(g).num_rows
-                    if row < first + rows:
-                        self.held = (file, first, table.read_row_group(g, columns=["text"]).column(0).to_pylist())
-                        break
-                    first += rows
-        return self.held[2][row - self.held[1]]
-
-
-_content = Content()
-
-
-def _keep(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Assign the landed rows of one digest to contents and update the kept entry of each."""
-    files, row_at, tops, counts = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-    texts: list[str | None] = [None] * len(files)
-    for frame in frames:
-        out = []
-        for rid, text, top, n, file, at in frame[["rid", "text", "top", "n", "file", "row_at"]].itertuples(index=False):
-            for c in range(len(files)):
-                if texts[c] is None:
-                    texts[c] = _content.read(files[c], row_at[c])
-                if texts[c] == text:
-                    break
-            else:
-                c = len(files)
-                files.append(file), row_at.append(int(at)), tops.append(None), counts.append(0), texts.append(text)
-            top = None if pd.isna(top) else int(top)
-            tops[c] = max((t for t in (tops[c], top) if t is not None), default=None)
-            counts[c] += int(n)
-            out.append((rid, key[0], c, tops[c], counts[c]))
-        yield pd.DataFrame(out, columns=["rid", "digest", "class", "top", "n"]).astype({"top": "Int64"})
-    state.update((files, row_at, tops, counts))
-
-
 @contextmanager
 def _disk_state(spark: SparkSession):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    """RocksDB keeps the state; its files are not allocated ahead, as each partition has several."""
+    own = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    }
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """Landed rows with their locator."""
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_at"))
 
 
 def keep_stream(landed: DataFrame) -> DataFrame:
-    """The stateful operator over a stream of landed rows (read from Parquet files)."""
-    keyed = landed.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_at"))
-    return keyed.drop("ids").groupBy("digest").applyInPandasWithState(_keep, ENTRY, STATE, "append", "NoTimeout")
+    """The state of each digest: largest id, rows, landed rows, and the locator of its content. Never expires."""
+    holder = F.max(F.struct("top", "file", "row_at")).alias("holder")
+    return located(landed).groupBy("digest").agg(F.max("top").alias("top"), F.sum("n").alias("n"), F.count("*").alias("landed"), holder)
 
 
 def run_stream(spark: SparkSession, landing: str, entries: str, checkpoint: str) -> None:
-    """Drain what has landed since the last call; state, offsets and output survive a restart."""
+    """Drain what has landed since the last call; offsets and state survive a restart.
+
+    Each micro-batch writes the entries that it changed to a folder of its own, so
+    that a repeated batch replaces its first attempt.
+    """
+
+    def put(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{entries}/batch={batch}")
+
     stream = spark.readStream.schema(LANDED).parquet(landing)
     with _disk_state(spark):
-        query = (
-            keep_stream(stream).writeStream.format("parquet").option("path", entries)
-            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        )
+        query = keep_stream(stream).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
         query.awaitTermination()
 
 
 def land(docs: DataFrame, landing: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Append documents to the landing folder, in small row groups so that a locator reads little."""
-    fold(docs, id_col, text_col).write.mode("append").option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(landing)
+    """Append documents to the landing folder, the content store that locators point into."""
+    fold(docs, id_col, text_col).write.mode("append").option("compression", "zstd").parquet(landing)
 
 
 def decisions(spark: SparkSession, landing: str, entries: str) -> DataFrame:
     """A row for each document that has landed: doc_id, keep_id, group_size, kept, text_sha256."""
     seen = spark.read.schema(ENTRY).parquet(entries)
-    # counts and ids only grow, so the last state of a content is its maximum
-    final = seen.groupBy("digest", "class").agg(F.max("top").alias("keep_id"), F.max("n").alias("group_size"))
-    rows = spark.read.schema(LANDED).parquet(landing).select("rid", "digest", "ids")
-    placed = rows.join(seen.select("rid", "class"), "rid")
-    return (
-        placed.join(final, ["digest", "class"])
-        .select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    )
+    # an entry only grows, so its last state is its maximum
+    final = stage(seen.groupBy("digest").agg(F.max("top").alias("keep_id"), F.max("n").alias("group_size"), F.max("landed").alias("landed"), F.max("holder").alias("holder")), "final")
+    landed = spark.read.schema(LANDED).parquet(landing)
+    # a hit counts only if all bytes equal the content behind the locator
+    hits = final.where("landed > 1").select("digest", "holder")
+    is_held = (F.col("file") == F.col("holder.file")) & (F.col("row_at") == F.col("holder.row_at"))
+    texts = located(landed).select("digest", "text", "file", "row_at").join(hits, "digest").groupBy("digest").agg(F.max(F.when(is_held, F.col("text"))).alias("held"), F.min("text").alias("lo"), F.max("text").alias("hi"))
+    clash = stage(texts.where("not (lo <=> held and hi <=> held)").select("digest"), "clash")
+    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    if clash.isEmpty():
+        out = landed.select("digest", "ids").join(final, "digest")
+    else:
+        apart = landed.join(F.broadcast(clash), "digest")  # digests of two contents: a handful at most
+        each = apart.groupBy("digest", "text").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
+        plain = landed.join(F.broadcast(clash), "digest", "left_anti").select("digest", "ids").join(final, "digest").select("digest", "ids", "keep_id", "group_size")
+        out = plain.unionByName(apart.join(each, ["digest", "text"]).select("digest", "ids", "keep_id", "group_size"))
+    out = out.select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256")).select(*columns)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,26 +6,66 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bottomk, decontaminate, exact_dedup, lexicon, quality, reshard, token_counts, token_files, toxicity, warc
 from .common import documents
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.digests(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .exact_dedup import exact_dedup
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
-    return exact_dedup(documents(spark, sf_dir))
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(documents(spark, sf_dir), width=2, threshold="0.8")
 
-def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bottomk import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir), width=2, threshold="0.8")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.shard_documents(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op8_exact_dedup": op8_exact_dedup,
-        "op9_minhash_near_dedup": op9_minhash_near_dedup,
-    }
+        f.__name__: f
+        for f in (
+            op1_decontaminate, op2_token_files, op3_warc, op4_quality, op5_token_counts,
+            op6_bpe, op7_toxicity, op8_exact_dedup, op9_near_dedup, op10_sharding,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
@@ -37,4 +77,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
             FROM t""",
+        "op3_warc": """
+            WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+                 t AS (SELECT page_id, n, d, max(page_id) OVER (PARTITION BY d, n) AS target FROM p)
+            SELECT page_id, n AS payload_bytes, d AS payload_digest,
+                   CASE WHEN n >= 1000 AND page_id <> target THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN n >= 1000 AND page_id <> target THEN target END AS refers_to
+            FROM t""",
     }
