@@ -1,21 +1,24 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
-Every document becomes the set of its word shingles.  The k smallest hashes of
-the set are its sketch (the whole set if it is no larger).  Documents with
-equal sets collapse to one representative.  Each representative enters the
-inverted lists of the rarest of its retained values only: two sketches that
-must share at least ``o`` values share one of the ``len - o + 1`` rarest, so a
-pair over the threshold meets in some list, while a passage that a third of
-the corpus repeats stays at the common end of the order and opens no list.
-Rarity comes from a table of hashed counts of fixed size, not from the corpus
-vocabulary, so what is broadcast does not grow.
-
-A list never yields all of its pairs.  Members are put in a random order that
-differs from list to list, and each meets the few members before it; shorter
-lists are thereby complete.  Pairs pass the union-sketch estimate and then an
-exact comparison of the full shingle sets, and the links give components.  A
-longer list is searched again only where it still spans several components,
-and only between them, so no link between different texts is lost.
+Every document becomes the set of its word shingles.  Its k smallest hashes are
+retained (the whole set if it is no larger).  Documents with equal sets collapse
+to one representative.  A representative enters the inverted lists of the
+rarest of its retained values only: two documents that must share at least
+``o`` values share one of the ``len - o + 1`` rarest, so a pair over the
+threshold meets in some list, while a passage that a third of the corpus
+repeats stays at the common end of the order and opens no list.  Rarity comes
+from a table of hashed counts of fixed size, not from the corpus vocabulary, so
+what is broadcast does not grow.
+
+A list never yields all of its pairs.  Its members stand by how few rarer values
+they have: the first is the most typical one, such as the original of many
+copies.  The first few members meet each other, each later one meets the first
+and in some lists the one before; shorter lists are thereby complete.  A value's
+place also bounds the overlap of a pair, which drops most others.  What is left
+passes an estimate from the union of two small sketches, then an exact
+comparison of the full sets of words, and the links give components.  A longer
+list is searched again only where it still spans several components, and only
+between them, so no link between different texts is lost.
 
 Defined cases: null text or text without words has no shingles and is linked
 with nothing; fewer words than a shingle count as one shingle; rows that share
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE, drop_path, hashed_words, mix, new_path, rows_of, stage, text_buffers
+from .common import U64, WHITE, bounded_batches, hashed_words, mix, rows_of, stage, text_buffers
 
 #: A pair over the threshold is missed by its sketches with at most this probability.
 MISS = 1e-9
@@ -45,6 +48,8 @@ NEAR = 4
 #: Of the longer lists, one in so many gives its members a neighbour each.
 SPREAD = 8
 CHUNKS = 64
+#: Size of the sketches that are estimated from before sets of words are compared.
+ESTIMATE = 64
 
 
 def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -60,43 +65,49 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def profiler(width: int, k: int) -> Callable:
-    """doc_id, text -> doc_id, digest of the set, its size and its k smallest hashes."""
+def shingled(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text of a batch."""
+    for first, last, places, _, _, h in hashed_words(*text_buffers(batch.column("text")), WHITE):
+        for i in range(last - first):
+            yield shingle_hashes(h[places[i] : places[i + 1]], width)
+
+
+def profiler(width: int) -> Callable:
+    """doc_id, text -> doc_id, digest of the set and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, sketches = [], [], []
-            for first, last, places, _, _, h in hashed_words(*text_buffers(batch.column("text")), WHITE):
-                for i in range(last - first):
-                    hs = shingle_hashes(h[places[i] : places[i + 1]], width)
-                    sizes.append(len(hs))
-                    digests.append(hashlib.blake2b(hs.tobytes(), digest_size=16).digest())
-                    sketches.append(hs[:k].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "digest", "n_shingles", "sketch"],
-            )
+            digests, sizes = [], []
+            for hs in shingled(batch, width):
+                sizes.append(len(hs))
+                digests.append(hashlib.blake2b(hs.tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "digest", "n_shingles"])
 
     return run
 
 
-PROFILE = "doc_id long, digest binary, n_shingles long, sketch binary"
+PROFILE = "doc_id long, digest binary, n_shingles long"
 
 
-def bucket_counts(values: DataFrame, column: str, bits: int) -> np.ndarray:
-    """How many values fall in each of 2**bits buckets of their low bits: a fixed-size table.
+def bucket_counts(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """How many of the rows' 64-bit values fall in each of 2**bits buckets of their low bits: a fixed-size table.
 
-    ``column`` holds packed 64-bit values or one long a row.  Tasks count locally; what is
-    shuffled is one compressed piece per task and chunk, summed as a stream.
+    Tasks count locally; what is shuffled is one compressed piece per task and chunk, summed as a stream.
     """
-    packed, per = dict(values.dtypes)[column] == "binary", (1 << bits) // CHUNKS
+    per = (1 << bits) // CHUNKS
 
     def count(batches):
-        total, mask = np.zeros(1 << bits, np.int64), U64((1 << bits) - 1)
+        total, mask = np.zeros(1 << bits, np.int32), U64((1 << bits) - 1)
         for batch in batches:
-            col = batch.column(column)
-            v = np.frombuffer(b"".join(x for x in col.to_pylist() if x), U64) if packed else mix(col.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
-            total += np.bincount((v & mask).astype(np.int64), minlength=1 << bits)
+            held, n = [], 0
+            for v in values(batch):
+                held.append((v & mask).astype(np.int64))
+                n += len(v)
+                if n > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.int32)
+                    held, n = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.int32)
         parts = [(c, total[c * per : (c + 1) * per]) for c in range(CHUNKS)]
         parts = [(c, zlib.compress(x.tobytes(), 1)) for c, x in parts if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "counts"])
@@ -105,14 +116,14 @@ def bucket_counts(values: DataFrame, column: str, bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, x in rows_of(batch, "chunk", "counts"):
-                x = np.frombuffer(zlib.decompress(x), np.int64)
-                sums[c] = sums[c] + x if c in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+                x = np.frombuffer(zlib.decompress(x), np.int32)
+                sums[c] = sums[c] + x if c in sums else x.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(x, 1 << 30).astype(np.int32).tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    out = np.zeros(1 << bits, np.int64)
-    for row in values.select(column).mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).toLocalIterator():
-        out[row.chunk * per : (row.chunk + 1) * per] += np.frombuffer(zlib.decompress(row.counts), np.int64)
+    out = np.zeros(1 << bits, np.int32)
+    for row in rows.mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).toLocalIterator():
+        out[row.chunk * per : (row.chunk + 1) * per] += np.frombuffer(zlib.decompress(row.counts), np.int32)
     return out
 
 
@@ -125,60 +136,94 @@ def sketch_overlap(k: int, t: float) -> int:
     return 1
 
 
-def poster(counts, k: int, t: Fraction, overlap: int) -> Callable:
-    """doc_id, n_shingles, sketch -> a posting for each of the rarest retained values."""
+POSTING = "value long, doc_id long, facts long"
+
+
+def packed(place: np.ndarray, room: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Place and room (at most k) and set size of a posting in one number that sorts by place."""
+    return (place.astype(np.int64) << 48) | (room.astype(np.int64) << 32) | n
+
+
+def poster(counts, width: int, k: int, t: Fraction) -> Callable:
+    """doc_id, text -> a posting for each of the rarest retained values.
+
+    ``place``: rarer values of the document; ``room``: values from this one on, which bounds an overlap.
+    """
+    overlap = sketch_overlap(k, float(t))
 
     def run(batches):
         rare = counts.value
         mask = U64(len(rare) - 1)
         for batch in batches:
-            values, owners, sizes = [], [], []
-            for doc_id, n, sketch in rows_of(batch, "doc_id", "n_shingles", "sketch"):
-                v = np.frombuffer(sketch, U64)
+            values, places, rooms, owners, sizes = [], [], [], [], []
+
+            def out():
+                times = [len(v) for v in values]
+                facts = packed(np.concatenate(places), np.concatenate(rooms), np.repeat(np.array(sizes, np.int64), times))
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(values).view(np.int64), np.repeat(np.array(owners, np.int64), times), facts)], names=["value", "doc_id", "facts"])
+
+            held = 0
+            for doc_id, hs in zip(batch.column("doc_id").to_pylist(), shingled(batch, width), strict=True):
+                n, v = len(hs), hs[:k]
+                if not n or doc_id is None:
+                    continue
                 # a partner may be larger by 1/t: only if it too is a whole set does the exact bound hold
                 need = -(-n * t.numerator // t.denominator) if n <= k * t else overlap
-                v = v[np.lexsort((v, rare[(v & mask).astype(np.int64)]))[: max(len(v) - need + 1, 1)]]
-                values.append(v)
-                owners.append(np.full(len(v), doc_id, np.int64))
-                sizes.append(np.full(len(v), n, np.int64))
-            if values:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))],
-                    names=["value", "doc_id", "n"],
-                )
+                size = max(len(v) - need + 1, 1)
+                v = v[np.lexsort((v, rare[(v & mask).astype(np.int64)]))[:size]]
+                values.append(v), owners.append(doc_id), sizes.append(n)
+                places.append(np.arange(size, dtype=np.int32)), rooms.append(min(n, k) - np.arange(size))
+                held += size
+                if held > 1 << 18:
+                    yield out()
+                    values, places, rooms, owners, sizes, held = [], [], [], [], [], 0
+            if held:
+                yield out()
 
     return run
 
 
-def neighbours(t: Fraction) -> Callable:
-    """Postings sorted by value -> pairs of near members (a < b), and the values of longer lists (a null)."""
+NEARBY = "a long, b long, value long, doc_id long, n long, room long"
+
+
+def neighbours(t: Fraction, k: int) -> Callable:
+    """Postings sorted by value and place -> pairs of members (a < b), and the members of longer lists (a null)."""
+    overlap = sketch_overlap(k, float(t))
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("value", "doc_id", "n")]
+            value, doc_id, facts = (batch.column(c).to_numpy() for c in ("value", "doc_id", "facts"))
+            cols = [value, doc_id, facts & 0x7FFFFFFF, (facts >> 32) & 0xFFFF]
             start = len(held[0]) if held else 0
-            v, d, n = (np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)) if held else cols
-            out_a, out_b = [], []
+            v, d, n, room = (np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)) if held else cols
+            at = np.arange(len(v))
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], v[1:] != v[:-1]]), at, 0))
             deep = np.concatenate([np.zeros(min(len(v), NEAR + 1), bool), v[NEAR + 1 :] == v[: -NEAR - 1]])
+            new = at >= start
+            meet = [(at[new & deep], first[new & deep])]
             for gap in range(1, NEAR + 1):
-                i = np.arange(max(start, gap), len(v))
+                i = at[max(start, gap) :]
                 i = i[(v[i] == v[i - gap]) & (~deep[i] | (gap == 1) & (v[i] % SPREAD == 0))]
-                small, large = np.minimum(n[i], n[i - gap]), np.maximum(n[i], n[i - gap])
-                i = i[(small * t.denominator >= large * t.numerator) & (d[i] != d[i - gap])]
-                out_a.append(np.minimum(d[i], d[i - gap]))
-                out_b.append(np.maximum(d[i], d[i - gap]))
-            longer = np.unique(v[start:][deep[start:]])
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(len(longer), pa.int64())]),
-                    pa.concat_arrays([pa.array(pairs[:, 1]), pa.array(longer)]),
-                ],
-                names=["a", "b"],
-            )
-            held = [x[-NEAR - 1 :] for x in (v, d, n)]
+                meet.append((i, i - gap))
+            i, j = (np.concatenate(x) for x in zip(*meet, strict=True))
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            need = np.where(large <= k, -(-(small + large) * t.numerator // (t.numerator + t.denominator)), overlap)
+            ok = (small * t.denominator >= large * t.numerator) & (np.minimum(room[i], room[j]) >= need) & (d[i] != d[j])
+            i, j = i[ok], j[ok]
+            pairs = np.unique(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], 1), axis=0) if len(i) else np.empty((0, 2), np.int64)
+            # members of longer lists; with the first that is deep, those before it
+            deep &= new
+            opens = at[deep][~np.isin(at[deep] - 1, at[deep])]
+            opens = opens[opens - first[opens] == NEAR + 1]
+            more = np.concatenate([at[deep], *(opens - gap for gap in range(1, NEAR + 2))])
+            nothing = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(more), pa.int64())
+            columns = [pa.concat_arrays([pa.array(pairs[:, c]), nothing[1]]) for c in (0, 1)]
+            columns += [pa.concat_arrays([nothing[0], pa.array(x[more])]) for x in (v, d, n, room)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in NEARBY.split(", ")])
+            if len(v):  # the last list's first member and its last few
+                tail = np.unique(np.concatenate([[first[-1]], at[-NEAR - 1 :]]))
+                held = [x[tail] for x in (v, d, n, room)]
 
     return run
 
@@ -196,42 +241,58 @@ def members(marks) -> Callable:
     return run
 
 
-def only_ids(rows: DataFrame, pairs: DataFrame, bits: int = 20) -> DataFrame:
-    """Drop most rows that are in no pair, with a bitmap of fixed size, before they are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    marks = rows.sparkSession.sparkContext.broadcast(bucket_counts(ids, "id", bits) > 0)
+def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for column in batch.columns:
+        yield mix(column.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
+    """Drop most rows whose doc_id is in no column of ``ids``, with a bitmap of fixed size, before they are shuffled."""
+    marks = rows.sparkSession.sparkContext.broadcast(bucket_counts(ids, _ids, bits) > 0)
     return rows.mapInArrow(members(marks), rows.schema)
 
 
-def sides(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """Pairs with ``column`` of both documents as left and right."""
-    rows = only_ids(rows.select("doc_id", column), pairs)
-    left = rows.select(F.col("doc_id").alias("a"), F.col(column).alias("left"))
-    right = rows.select(F.col("doc_id").alias("b"), F.col(column).alias("right"))
+def sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs with ``text`` of both documents as left and right."""
+    left = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
+    right = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
 
-def estimator(k: int, t: float) -> Callable:
+def sketcher(width: int) -> Callable:
+    """doc_id, text -> doc_id and, as ``text``, its sketch."""
+
+    def run(batches):
+        for batch in batches:
+            sketches = pa.array([h[:ESTIMATE].tobytes() for h in shingled(batch, width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sketches], names=["doc_id", "text"])
+
+    return run
+
+
+def estimator(t: Fraction) -> Callable:
     """Keep pairs whose union sketch does not rule them out."""
-    least = sketch_overlap(k, t)
+    least = sketch_overlap(ESTIMATE, float(t))
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in rows_of(batch, "left", "right"):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                union = np.union1d(x, y)
-                whole = len(x) < k and len(y) < k
-                union = union if whole else union[:k]
-                both = np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)
-                keep.append(len(both) >= (t * len(union) * (1 - 1e-12) if whole else min(least, len(union))))
+            keep = [may_be_similar(np.frombuffer(x, U64), np.frombuffer(y, U64), float(t), least) for x, y in rows_of(batch, "left", "right")]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
 
+def may_be_similar(x: np.ndarray, y: np.ndarray, t: float, least: int) -> bool:
+    """Estimate from the union of two sketches: False only if similarity t is ruled out."""
+    union = np.union1d(x, y)
+    whole = len(x) < ESTIMATE and len(y) < ESTIMATE
+    union = union if whole else union[:ESTIMATE]
+    both = np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)
+    return len(both) >= (t * len(union) * (1 - 1e-12) if whole else min(least, len(union)))
+
+
 def verifier(width: int, t: Fraction) -> Callable:
-    """Keep pairs of texts whose full shingle sets are similar enough; compares the words themselves."""
+    """Keep pairs of texts whose full shingle sets are similar enough: the words decide."""
 
     def shingles(text: bytes) -> set:
         w = text.lower().split()  # of bytes: A-Z and ASCII white space only
@@ -276,7 +337,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are written before they are joined, so that a join has an exchange on
     both sides and Spark can split a hub's edges.
     """
-    edges, before = stage(edges.mapInArrow(_local_stars, "a long, b long").distinct(), "edges"), None
+    edges = stage(edges.mapInArrow(_local_stars, "a long, b long").distinct(), "edges")
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
@@ -284,58 +345,54 @@ def components(edges: DataFrame) -> DataFrame:
         least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         kept = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(kept.unionByName(least.select("u", F.col("m").alias("v"))).distinct().select(F.col("v").alias("a"), F.col("u").alias("b")), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done when each document hangs on one other, which hangs on none
+        nested = edges.join(stage(edges.select(F.col("a").alias("b")).distinct(), "roots"), "b", "left_semi").limit(1)
+        if edges.groupBy("b").count().where("count > 1").limit(1).union(nested).isEmpty():
             return edges.select(F.col("b").alias("doc_id"), F.col("a").alias("component"))
-        before = now
 
 
-def links(docs: DataFrame, profiles: DataFrame, width: int, t: Fraction, k: int) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, width: int, t: Fraction, k: int) -> DataFrame:
     """Components (doc_id, component) of the representatives linked at similarity t or more."""
     spark = docs.sparkSession
-    reps = stage(profiles.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "reps")
-    counts = spark.sparkContext.broadcast(bucket_counts(profiles, "sketch", 20))
-    root = new_path(spark, "postings")
-    overlap = sketch_overlap(k, float(t))
-    (
-        profiles.where("n_shingles > 0").select("doc_id", "n_shingles", "sketch").join(reps, "doc_id", "left_semi")
-        .mapInArrow(poster(counts, k, t, overlap), "value long, doc_id long, n long").write.parquet(root)
-    )
-    postings = spark.read.schema("value long, doc_id long, n long").parquet(root)
-    lists = postings.repartition("value").sortWithinPartitions("value", F.xxhash64("value", "doc_id"))
-    near = stage(lists.mapInArrow(neighbours(t), "a long, b long"), "near")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = spark.sparkContext.broadcast(bucket_counts(docs, lambda batch: (h[:k] for h in shingled(batch, width)), 21))
+    # a copy that slips through the bitmap is one more member of its lists, no more
+    postings = only_ids(docs, reps).mapInArrow(poster(counts, width, k, t), POSTING)
+    lists = postings.repartition("value").sortWithinPartitions("value", "facts", "doc_id")
+    near = stage(lists.mapInArrow(neighbours(t, k), NEARBY), "near")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        likely = stage(sides(pairs, profiles, "sketch").mapInArrow(estimator(k, float(t)), "a long, b long").distinct(), "likely")
-        return stage(sides(likely, texts, "text").mapInArrow(verifier(width, t), "a long, b long").distinct(), "links")
-
-    found = confirmed(stage(near.where("a is not null").distinct(), "pairs"))
-    parts = components(found)
-    longer = near.where("a is null").select(F.col("b").alias("value")).distinct()
-    open_lists = postings.join(longer, "value", "left_semi").join(parts, "doc_id", "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("part"))
-    open_lists = stage(open_lists, "open")
+        # small sketches first, so that texts are shuffled for few pairs but links
+        sketches = only_ids(docs, pairs).mapInArrow(sketcher(width), "doc_id long, text binary")
+        likely = stage(sides(pairs, sketches).mapInArrow(estimator(t), "a long, b long").distinct(), "likely")
+        return stage(sides(likely, only_ids(docs, likely)).mapInArrow(verifier(width, t), "a long, b long").distinct(), "links")
+
+    parts = components(confirmed(stage(near.where("a is not null").select("a", "b").distinct(), "pairs")))
+    open_lists = near.where("a is null").select("value", "doc_id", "n", "room").join(parts, "doc_id", "left")
+    open_lists = stage(open_lists.select("value", "doc_id", "n", "room", F.coalesce("component", "doc_id").alias("part")), "open")
     several = stage(open_lists.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value"), "several")
     left = stage(open_lists.join(several, "value", "left_semi"), "across")
-    right = left.select("value", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "n", "part")))
+    right = left.select("value", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "n", "room", "part")))
+    num, den = t.numerator, t.denominator
+    need = F.when(F.greatest("n", "r_n") <= k, (F.col("n") + F.col("r_n")) * num).otherwise(sketch_overlap(k, float(t)) * (num + den))
     across = left.join(right, "value").where(
         (F.col("part") < F.col("r_part"))
-        & (F.least("n", "r_n") * t.denominator >= F.greatest("n", "r_n") * t.numerator)
+        & (F.least("n", "r_n") * den >= F.greatest("n", "r_n") * num)
+        & (F.least("room", "r_room") * (num + den) >= need)
     )
     more = stage(across.select(F.least("doc_id", "r_doc_id").alias("a"), F.greatest("doc_id", "r_doc_id").alias("b")).distinct(), "pairs")
-    drop_path(spark, root)
     if more.isEmpty():
         return parts
     return components(parts.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(confirmed(more)))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str = "0.8", k: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str = "0.8", k: int = 1024) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept (the least id of its component)."""
     t = Fraction(threshold)
-    profiles = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profiler(width, k), PROFILE), "profiles")
-    parts = links(docs, profiles, width, t, k)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    profiles = stage(docs.mapInArrow(profiler(width), PROFILE), "profiles")
     # copies share a digest; the representative's component is theirs
     least = stage(profiles.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    parts = links(docs, least.select("rep"), width, t, k)
     classes = stage(least.join(parts.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "classes")
     rows = profiles.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     alone = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -345,6 +402,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str =
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document with the least id of each component stays; 5-word shingles, 0.8 or more."""
+    bounded_batches(spark)
     from .exact_dedup import keep_rows
 
     kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("times"))
