@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+
+import numpy as np
 
 #: Characters for which Python's classes and the library's agree, apart from special tokens.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ɏ]|<\\|")
@@ -32,33 +33,48 @@ _LETTERS = byte_letters()
 
 
 class Pieces(dict):
-    """Ids of pieces, by the library's model; forgets all when there are too many."""
+    """Packed ids of pieces, by the library's model.
+
+    Two generations: when the younger is full it becomes the elder, from which pieces still in use return.
+    """
 
-    def __init__(self, model, most: int = 250_000) -> None:
+    def __init__(self, model, dtype: str, most: int = 250_000) -> None:
         super().__init__()
-        self.model, self.most = model, most
+        self.model, self.dtype, self.most, self.elder = model, dtype, most, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
+            self.elder = dict(self)
             self.clear()
-        ids = self[piece] = tuple(t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS)))
+        ids = self.elder.get(piece)
+        if ids is None:
+            # the model works on the printable letters of bytes
+            letters = (" " in piece and piece.replace(" ", "\u0120") or piece) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_LETTERS)
+            ids = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        self[piece] = ids
         return ids
 
 
 class ByteEncoder:
-    """``encode(text, add_special_tokens=False).ids`` of a byte-level BPE file."""
+    """``encode(text, add_special_tokens=False).ids`` of a byte-level BPE file, packed as ``dtype``."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces = Pieces(self.library.model)
+        self.vocabulary = self.library.get_vocab_size()
+        self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.dtype).itemsize
+        self.pieces = Pieces(self.library.model, self.dtype)
 
-    def __call__(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
         if UNUSUAL.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.pieces.__getitem__, BYTE_SPLIT.findall(text))))
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return b"".join(map(self.pieces.__getitem__, BYTE_SPLIT.findall(text)))
+
+    def __call__(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), self.dtype).tolist()
 
 
 _encoders: dict[str, ByteEncoder] = {}

@@ -37,6 +37,8 @@ from .pieces import byte_encoder
 
 MAGIC = b"HUFTOK01"
 LIMIT, STEP, BLOCK_TOKENS, END = 16, 1024, 1 << 16, 0
+#: Blocks that a reader decodes side by side.
+TOGETHER = 24
 DOC = "<?qIII"  # has an id, id, tokens, bytes of bits, offsets
 
 
@@ -130,7 +132,8 @@ def _encode(path: str, dtype: str):
     def run(batches):
         encode = byte_encoder(path)
         for batch in batches:
-            ids = [np.array([*encode(t), END] if t else [END], dtype).tobytes() for t in batch.column("text").to_pylist()]
+            end = np.array([END], dtype).tobytes()
+            ids = [encode.packed(t) + end if t else end for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
@@ -213,8 +216,7 @@ def _write(root: str, lengths):
 def write(docs: DataFrame, root: str, tokenizer: str | None = None) -> DataFrame:
     """Write the token files of ``docs`` in ascending doc_id order; returns the index of blocks."""
     spark, path = docs.sparkSession, tokenizer or tokenizer_path("byte_bpe_50k.json")
-    vocabulary = byte_encoder(path).library.get_vocab_size()
-    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    vocabulary, dtype = byte_encoder(path).vocabulary, byte_encoder(path).dtype
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     staged = stage(rows.mapInArrow(_encode(path, dtype), "doc_id long, ids binary"), "ids")
     counts = np.zeros(vocabulary, np.int64)  # of the vocabulary's size, whatever the corpus
@@ -231,44 +233,56 @@ def _read(root: str):
         from pyarrow import fs as pafs
 
         fs, base = pafs.FileSystem.from_uri(root)
-        codes: dict[str, Code] = {}
+        codes: dict[bytes, Code] = {}
         for batch in batches:
-            for name, offset, size, start in rows_of(batch, "file", "offset", "size", "start"):
-                with fs.open_input_file(f"{base}/{name}") as src:
-                    if name not in codes:
+            rows = list(rows_of(batch, "file", "offset", "size", "start"))
+            for at in range(0, len(rows), TOGETHER):
+                some = rows[at : at + TOGETHER]
+                for name in dict.fromkeys(r[0] for r in some):
+                    with fs.open_input_file(f"{base}/{name}") as src:
                         head = src.read(12)
                         table = src.read(struct.unpack("<I", head[8:])[0])
-                        codes = {name: Code(np.frombuffer(zlib.decompress(table), np.uint8))}
-                    src.seek(offset)
-                    raw = src.read(size)
-                n, at, heads, marks = struct.unpack_from("<I", raw)[0], 4, [], []
-                for _ in range(n):
-                    head = struct.unpack_from(DOC, raw, at)
-                    at += struct.calcsize(DOC)
-                    marks.append(np.frombuffer(raw, "<u4", head[4], at).astype(np.int64))
-                    at += 4 * head[4]
-                    heads.append(head)
-                tokens, n_bytes = (np.array([h[k] for h in heads], np.int64) for k in (2, 3))
-                begins = (np.cumsum(n_bytes) - n_bytes) * 8
-                bits = np.concatenate([m + b for m, b in zip(marks, begins, strict=True)])
-                lanes = np.full(len(bits), STEP, np.int64)
-                lanes[np.cumsum([len(m) for m in marks]) - 1] = (tokens - 1) % STEP + 1
-                ids = codes[name].decode(np.frombuffer(raw, np.uint8, offset=at), bits, lanes)
-                ends = np.cumsum(tokens)
-                words = ids.astype("<u4").view(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([h[1] if h[0] else None for h in heads], pa.int64()),
-                        pa.array(start + ends - tokens),
-                        pa.array(tokens),
-                        pa.array([words[4 * a : 4 * b].tobytes() for a, b in zip(ends - tokens, ends, strict=True)], pa.binary()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+                        if table not in codes:  # files written together share it
+                            codes = {table: Code(np.frombuffer(zlib.decompress(table), np.uint8))}
+                        raws = []
+                        for _, offset, size, start in (r for r in some if r[0] == name):
+                            src.seek(offset)
+                            raws.append((src.read(size), start))
+                    yield decoded(codes[table], raws)
 
     return run
 
 
+def decoded(code: Code, blocks: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    """Documents of some blocks (bytes, first token): all their bit offsets are decoded side by side."""
+    heads, marks, bodies, begins, starts, before = [], [], [], [], [], 0
+    for raw, start in blocks:
+        at, n = 4, struct.unpack_from("<I", raw)[0]
+        for _ in range(n):
+            head = struct.unpack_from(DOC, raw, at)
+            at += struct.calcsize(DOC)
+            marks.append(np.frombuffer(raw, "<u4", head[4], at).astype(np.int64) + before * 8)
+            at += 4 * head[4]
+            heads.append(head)
+            starts.append(start)
+            start, before = start + head[2], before + head[3]
+        bodies.append(raw[at:])
+    tokens = np.array([h[2] for h in heads], np.int64)
+    lanes = np.full(sum(map(len, marks)), STEP, np.int64)
+    lanes[np.cumsum([len(m) for m in marks]) - 1] = (tokens - 1) % STEP + 1
+    words = code.decode(np.frombuffer(b"".join(bodies), np.uint8), np.concatenate(marks), lanes).astype("<u4").view(np.uint8)
+    ends = np.cumsum(tokens)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([h[1] if h[0] else None for h in heads], pa.int64()),
+            pa.array(starts, pa.int64()),
+            pa.array(tokens),
+            pa.array([words[4 * a : 4 * b].tobytes() for a, b in zip(ends - tokens, ends, strict=True)], pa.binary()),
+        ],
+        names=["doc_id", "start", "n_tokens", "ids"],
+    )
+
+
 def read(spark: SparkSession, index: DataFrame, root: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (packed little-endian 32 bits) of every document, from the files."""
     files = index.groupBy("part").agg(F.sum("tokens").alias("t"))
@@ -276,7 +290,8 @@ def read(spark: SparkSession, index: DataFrame, root: str) -> DataFrame:
     bases = files.select("part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("base"))  # a row a file
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = index.join(bases, "part").withColumn("start", F.col("base") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    dealt = blocks.select("file", "offset", "size", "start").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # neighbouring blocks of a file go to one task, to be decoded side by side
+    dealt = blocks.select("file", "offset", "size", "start").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "offset")
     return dealt.mapInArrow(_read(root), "doc_id long, start long, n_tokens long, ids binary")
 
 
