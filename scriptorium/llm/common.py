@@ -72,7 +72,15 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python at most so many rows at once: documents can be long and workers have little memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -91,7 +99,7 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 def _grown(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _powers[i] = np.cumprod(np.concatenate([np.ones(1, U64), np.full(max(n, 1 << 16), base, U64)]))
+            _powers[i] = np.cumprod(np.concatenate([np.ones(1, U64), np.full(n + (1 << 16), base, U64)]))
     return _powers
 
 
@@ -103,7 +111,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray, upto: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def hashed_words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray, upto: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Words of texts without a Python object each, some texts at a time.
 
     Yields first text, last text + 1, the place of each text's first word (and the end),

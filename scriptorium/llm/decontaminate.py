@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORD, NOT_ALNUM, U64, hashed_words, stage, text_buffers
+from .common import ALNUM_WORD, NOT_ALNUM, U64, bounded_batches, hashed_words, stage, text_buffers
 
 WINDOW = 13
 #: Item words in one automaton; larger benchmarks take several passes.
@@ -291,4 +291,5 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, cover
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go; the others stay as they are."""
+    bounded_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=False)

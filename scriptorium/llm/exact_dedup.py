@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_path, rows_of, stage
+from .common import ascii_lower, bounded_batches, new_path, rows_of, stage
 
 LANDED = "digest binary, text string, ids array<long>, top long, n long"
 ENTRY = "digest binary, top long, n long, landed long, holder struct<top: long, file: string, row_at: long>"
@@ -140,6 +140,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each group of equal texts stays, with all its columns."""
+    bounded_batches(spark)
     kept = exact_dedup(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
     kept = stage(kept.groupBy("doc_id", "digest").agg(F.count("*").alias("times")), "kept")
     return keep_rows(docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower("text"), 256))), kept, ["doc_id", "digest"])

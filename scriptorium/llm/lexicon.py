@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, tokenizer_path
+from .common import bounded_batches, new_path, tokenizer_path
 from .pieces import _LETTERS, UNUSUAL, WORD_SPLIT
 
 #: Words in the lexicon, and the longest it takes (bytes); both bound the file.
@@ -298,4 +298,5 @@ def digests(docs: DataFrame, tokenizer: str | None = None, words: int = WORDS) -
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the digests of what the stages before kept."""
+    bounded_batches(spark)
     return digests(docs)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, hashed_words, stage, text_buffers
+from .common import WHITE, bounded_batches, hashed_words, stage, text_buffers
 
 MAX_LABELLED, MAX_POOL, ROUNDS, KEEP_AT = 6000, 6000, 3, 0.5
 TEXT_DIM, META_DIM = 256 + 6, 32 + 128 + 3
@@ -192,5 +192,6 @@ def quality(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> Dat
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are more likely bad than good go."""
+    bounded_batches(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).where(F.col("__score") >= KEEP_AT).select(*docs.columns)

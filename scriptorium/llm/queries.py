@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bottomk, decontaminate, exact_dedup, lexicon, quality, reshard, token_counts, token_files, toxicity, warc
-from .common import documents
+from .common import bounded_batches, documents
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
