@@ -166,6 +166,7 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.lexicon = lexicon
+        self.known: dict[str, list[int]] = {}
         n = self.library.get_vocab_size()
         self.tokens = [self.library.id_to_token(i) or "" for i in range(n)]
 
@@ -179,10 +180,13 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.words(t) if t else [] for t in texts]
-        distinct = list({w for ws in split if ws for w in ws})
+        if len(self.known) > 200_000:
+            self.known.clear()
+        distinct = list({w for ws in split if ws for w in ws} - self.known.keys())
         coded = [w.encode() for w in distinct]
         ranks = self.lexicon.ranks(coded) if self.lexicon else np.full(len(coded), -1)
-        ids = {w: self.merge(c) if r < 0 else self.lexicon.ids_of(r) for w, c, r in zip(distinct, coded, ranks.tolist(), strict=True)}
+        ids = self.known  # words of earlier batches too
+        ids |= {w: self.merge(c) if r < 0 else self.lexicon.ids_of(r) for w, c, r in zip(distinct, coded, ranks.tolist(), strict=True)}
         return [
             self.library.encode(t, add_special_tokens=False).ids if ws is None else list(chain.from_iterable(map(ids.__getitem__, ws)))
             for t, ws in zip(texts, split, strict=True)
