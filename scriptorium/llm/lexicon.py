@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, tokenizer_path
+from .common import bounded_batches, new_path, stage, tokenizer_path
 from .pieces import _LETTERS, UNUSUAL, WORD_SPLIT
 
 #: Words in the lexicon, and the longest it takes (bytes); both bound the file.
@@ -220,11 +220,27 @@ def _count(path: str):
     return run
 
 
+def _level(n):
+    """Counts up to 1,024 as they are, larger ones in 64 steps a doubling."""
+    return F.when(n <= 1024, n).otherwise(F.lit(1024) + F.floor((F.log2(n) - 10) * 64)).cast("int")
+
+
 def compile_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> str:
-    """Count the words of all documents, compile the most frequent, and send the file to the executors."""
+    """Count the words of all documents, compile the most frequent, and send the file to the executors.
+
+    A histogram of the counts tells how rare a word may be for at most ``words`` to be taken; words of that
+    count are all in or all out.  Only the histogram, of a few thousand rows whatever the corpus, and the
+    chosen words reach the driver.
+    """
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(_count(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(words).collect()  # bounded
+    counts = stage(counts.where(F.octet_length("word") <= LONGEST).withColumn("level", _level(F.col("n"))), "words")
+    least, taken = None, 0
+    for level, size in sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True):  # bounded
+        if taken + size > words:
+            break
+        least, taken = level, taken + size
+    top = [] if least is None else counts.where(F.col("level") >= least).select("word").collect()  # at most ``words``
     chosen = sorted(r.word.encode() for r in top)
     encoder = word_encoder(path)
     return send(spark, pack(chosen, [encoder.merge(w) for w in chosen]))
