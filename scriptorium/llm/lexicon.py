@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_path, stage, tokenizer_path
+from .merges import Merges
 from .pieces import _LETTERS, UNUSUAL, WORD_SPLIT
 
 #: Words in the lexicon, and the longest it takes (bytes); both bound the file.
@@ -155,6 +156,22 @@ class Lexicon:
         return self.ids[self.start[rank] : self.start[rank + 1]].tolist()
 
 
+class Known(dict):
+    """Ids by word; a word that is missing gets an empty list, to be filled."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: dict[str, list[int]] = {}
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self[word] = self.new[word] = []
+        return ids
+
+    def take(self) -> dict[str, list[int]]:
+        new, self.new = self.new, {}
+        return new
+
+
 class WordEncoder:
     """Ids of texts as ``encode(text, add_special_tokens=False)`` gives them, and back."""
 
@@ -166,31 +183,34 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.lexicon = lexicon
-        self.known: dict[str, list[int]] = {}
+        self.known = Known()  # words of earlier batches too
+        self.merge = Merges(self.library, _LETTERS, lambda word: [t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(_LETTERS))])
         n = self.library.get_vocab_size()
         self.tokens = [self.library.id_to_token(i) or "" for i in range(n)]
 
-    def merge(self, word: bytes) -> list[int]:
-        """Exact merges of one word."""
-        return [t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(_LETTERS))]
-
     def words(self, text: str) -> list[str] | None:
         """The words of a plain text; None if only the library can split it."""
         return None if UNUSUAL.search(text) else WORD_SPLIT.findall(text.lower())
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self.words(t) if t else [] for t in texts]
         if len(self.known) > 200_000:
             self.known.clear()
-        distinct = list({w for ws in split if ws for w in ws} - self.known.keys())
-        coded = [w.encode() for w in distinct]
+        ids_of, out = self.known.__getitem__, []
+        for text in texts:
+            words = self.words(text) if text else []
+            out.append([self.library.encode(text, add_special_tokens=False).ids] if words is None else list(map(ids_of, words)))
+        self.fill(self.known.take())
+        return [list(chain.from_iterable(x)) for x in out]
+
+    def fill(self, new: dict[str, list[int]]) -> None:
+        """Ids of new words: from the lexicon, the others merged."""
+        coded, places = [w.encode() for w in new], list(new.values())
         ranks = self.lexicon.ranks(coded) if self.lexicon else np.full(len(coded), -1)
-        ids = self.known  # words of earlier batches too
-        ids |= {w: self.merge(c) if r < 0 else self.lexicon.ids_of(r) for w, c, r in zip(distinct, coded, ranks.tolist(), strict=True)}
-        return [
-            self.library.encode(t, add_special_tokens=False).ids if ws is None else list(chain.from_iterable(map(ids.__getitem__, ws)))
-            for t, ws in zip(texts, split, strict=True)
-        ]
+        for i in np.flatnonzero(ranks >= 0):
+            places[i] += self.lexicon.ids_of(ranks[i])
+        unseen = np.flatnonzero(ranks < 0).tolist()
+        for i, ids in zip(unseen, self.merge([coded[i] for i in unseen], "<i4"), strict=True):
+            places[i] += ids.tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids, special ones too; the file has no decoder, so a space parts them."""
@@ -243,7 +263,7 @@ def compile_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> str:
     top = [] if least is None else counts.where(F.col("level") >= least).select("word").collect()  # at most ``words``
     chosen = sorted(r.word.encode() for r in top)
     encoder = word_encoder(path)
-    return send(spark, pack(chosen, [encoder.merge(w) for w in chosen]))
+    return send(spark, pack(chosen, [x.tolist() for x in encoder.merge(chosen, "<i4")]))
 
 
 def send(spark: SparkSession, data: bytes) -> str:

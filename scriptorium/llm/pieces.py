@@ -2,8 +2,8 @@
 
 The library spends most of its time on splitting and on building encodings.  For
 texts of plain characters (ASCII, Latin letters) the split is a regular
-expression whose result equals the library's, and each piece goes through the
-library's BPE model once and is then remembered.  Any other text, and any that
+expression whose result equals the library's; pieces not seen before are merged
+together, by the ranks of the file, and then remembered.  Any other text, and any that
 may hold a special token, goes through the library as a whole.
 """
 
@@ -11,11 +11,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .merges import Merges
+
 #: Characters for which Python's classes and the library's agree, apart from special tokens.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ɏ]|<\\|")
+#: Characters of the texts that are split and looked up together.
+GROUP = 1 << 20
 #: The byte-level split; among plain characters letters are word characters but digits and "_".
 BYTE_SPLIT = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: The split of the lower-case word vocabulary; white space is dropped, digits stand alone.
@@ -33,27 +38,36 @@ _LETTERS = byte_letters()
 
 
 class Pieces(dict):
-    """Packed ids of pieces, by the library's model.
+    """Packed ids of pieces.
 
     Two generations: when the younger is full it becomes the elder, from which pieces still in use return.
     """
 
-    def __init__(self, model, dtype: str, most: int = 250_000) -> None:
+    def __init__(self, merges: Merges, dtype: str, most: int = 250_000) -> None:
         super().__init__()
-        self.model, self.dtype, self.most, self.elder = model, dtype, most, {}
+        self.merges, self.dtype, self.most, self.elder = merges, dtype, most, {}
+        self.open: dict[str, bytearray] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.elder = dict(self)
-            self.clear()
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        """The ids if the elder generation has them, else a place that ``close`` fills."""
         ids = self.elder.get(piece)
         if ids is None:
-            # the model works on the printable letters of bytes
-            letters = (" " in piece and piece.replace(" ", "\u0120") or piece) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_LETTERS)
-            ids = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+            ids = self.open[piece] = bytearray()
         self[piece] = ids
         return ids
 
+    def close(self) -> None:
+        """Merge the pieces that were missing and fill their places."""
+        words = [p.encode() for p in self.open]
+        ids = [x.tobytes() for x in self.merges(words, self.dtype)]
+        for place, x in zip(self.open.values(), ids, strict=True):
+            place += x
+        self.update(zip(self.open, ids, strict=True))
+        self.open = {}
+        if len(self) >= self.most:
+            self.elder = dict(self)
+            self.clear()
+
 
 class ByteEncoder:
     """``encode(text, add_special_tokens=False).ids`` of a byte-level BPE file, packed as ``dtype``."""
@@ -66,15 +80,29 @@ class ByteEncoder:
         self.vocabulary = self.library.get_vocab_size()
         self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
-        self.pieces = Pieces(self.library.model, self.dtype)
-
-    def packed(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join(map(self.pieces.__getitem__, BYTE_SPLIT.findall(text)))
-
-    def __call__(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), self.dtype).tolist()
+        # the model works on the printable letters of bytes
+        self.pieces = Pieces(Merges(self.library, _LETTERS, lambda word: [t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(_LETTERS))]), self.dtype)
+
+    def packed(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The packed ids of each text, some texts at a time; null is empty."""
+        group, held = [], 0
+        for text in texts:
+            group.append(text or "")
+            held += len(group[-1])
+            if held >= GROUP:
+                yield from self._group(group)
+                group, held = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        ids_of, out = self.pieces.__getitem__, []
+        for text in texts:
+            if UNUSUAL.search(text):
+                out.append([np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()])
+            else:
+                out.append(list(map(ids_of, BYTE_SPLIT.findall(text))))
+        self.pieces.close()
+        return [b"".join(x) for x in out]
 
 
 _encoders: dict[str, ByteEncoder] = {}

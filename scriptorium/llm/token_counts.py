@@ -28,7 +28,7 @@ def _lengths(path: str):
     def run(batches):
         encode = byte_encoder(path)
         for batch in batches:
-            n = Counter(len(encode.packed(t)) // encode.width if t else 0 for t in batch.column(0).to_pylist())
+            n = Counter(len(ids) // encode.width for ids in encode.packed(batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["n_tokens", "docs"])
 
     return run

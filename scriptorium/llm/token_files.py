@@ -4,8 +4,9 @@
    and counted over the whole corpus.
 2. Package-merge gives the code lengths (at most ``LIMIT`` bits), from which the
    canonical code follows; the table has the size of the vocabulary.
-3. Documents are coded where they lie, each on a byte boundary, then dealt by
-   ranges of doc_id, so that only coded bits are shuffled; each task writes one file.
+3. Packed ids are dealt by ranges of doc_id (dealing samples its input, which so is
+   a plain scan); each task codes its documents, each on a byte boundary, and writes
+   one file.
 4. A file is a header with the code lengths and a row of blocks that can be read
    alone.  A block lists its documents and, for each, the bit offset of every
    ``STEP``-th token.  A reader decodes from all these offsets at once with one
@@ -133,7 +134,7 @@ def _encode(path: str, dtype: str):
         encode = byte_encoder(path)
         for batch in batches:
             end = np.array([END], dtype).tobytes()
-            ids = [encode.packed(t) + end if t else end for t in batch.column("text").to_pylist()]
+            ids = [ids + end for ids in encode.packed(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
@@ -150,30 +151,24 @@ def _count(dtype: str, vocabulary: int):
     return run
 
 
-def _code(lengths, dtype: str):
-    def run(batches):
-        code = Code(lengths.value)
-        for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                rows = batch.slice(part, 512)
-                packed = rows.column("ids").to_pylist()
-                ends = np.cumsum([len(x) // np.dtype(dtype).itemsize for x in packed])
-                data, starts, at = code.encode(np.frombuffer(b"".join(packed), dtype), ends)
-                first = np.concatenate([[0], ends[:-1]])
-                bits = [data[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                marks = [(at[a:b:STEP] - s * 8).astype("<u4").tobytes() for a, b, s in zip(first, ends, starts[:-1], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(ends - first, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())],
-                    names=["doc_id", "n_tokens", "bits", "marks"],
-                )
-
-    return run
+def _coded(code: Code, dtype: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """doc_id, tokens, bits and bit offsets of each document, coded some documents at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            rows = batch.slice(at, 512)
+            packed = rows.column("ids").to_pylist()
+            ends = np.cumsum([len(x) // np.dtype(dtype).itemsize for x in packed])
+            data, starts, bit = code.encode(np.frombuffer(b"".join(packed), dtype), ends)
+            first = 0
+            for doc_id, end, a, b in zip(rows.column("doc_id").to_pylist(), ends.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield doc_id, end - first, data[a:b].tobytes(), (bit[first:end:STEP] - a * 8).astype("<u4").tobytes()
+                first = end
 
 
 INDEX = "part int, file string, block int, offset long, size long, docs long, tokens long"
 
 
-def _write(root: str, lengths):
+def _write(root: str, lengths, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
 
@@ -187,20 +182,19 @@ def _write(root: str, lengths):
             index.append((part, name, block, offset, len(raw), len(heads), tokens))
             offset, block, heads, bodies, tokens = offset + len(raw), block + 1, [], [], 0
 
-        for batch in batches:
-            for doc_id, n, bits, marks in rows_of(batch, "doc_id", "n_tokens", "bits", "marks"):
-                if out is None:
-                    fs, base = pafs.FileSystem.from_uri(root)
-                    fs.create_dir(base, recursive=True)
-                    name = f"tokens-{part:06d}-{uuid.uuid4().hex}.huf"
-                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    table = zlib.compress(lengths.value.tobytes())
-                    offset = out.write(MAGIC + struct.pack("<I", len(table)) + table)
-                heads.append(struct.pack(DOC, doc_id is not None, doc_id or 0, n, len(bits), len(marks) // 4) + marks)
-                bodies.append(bits)
-                tokens += n
-                if tokens >= BLOCK_TOKENS:
-                    flush()
+        for doc_id, n, bits, marks in _coded(Code(lengths.value), dtype, batches):
+            if out is None:
+                fs, base = pafs.FileSystem.from_uri(root)
+                fs.create_dir(base, recursive=True)
+                name = f"tokens-{part:06d}-{uuid.uuid4().hex}.huf"
+                out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                table = zlib.compress(lengths.value.tobytes())
+                offset = out.write(MAGIC + struct.pack("<I", len(table)) + table)
+            heads.append(struct.pack(DOC, doc_id is not None, doc_id or 0, n, len(bits), len(marks) // 4) + marks)
+            bodies.append(bits)
+            tokens += n
+            if tokens >= BLOCK_TOKENS:
+                flush()
         if out is not None:
             if heads:
                 flush()
@@ -223,9 +217,8 @@ def write(docs: DataFrame, root: str, tokenizer: str | None = None) -> DataFrame
     for i, n in staged.select("ids").mapInArrow(_count(dtype, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():
         counts[i] = n
     lengths = spark.sparkContext.broadcast(code_lengths(counts))
-    coded = staged.mapInArrow(_code(lengths, dtype), "doc_id long, n_tokens long, bits binary, marks binary")
-    dealt = coded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
-    return stage(dealt.mapInArrow(_write(root, lengths), INDEX), "token-index")
+    dealt = staged.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
+    return stage(dealt.mapInArrow(_write(root, lengths, dtype), INDEX), "token-index")
 
 
 def _read(root: str):
