@@ -167,8 +167,8 @@ def poster(counts, width: int, k: int, t: Fraction) -> Callable:
                 n, v = len(hs), hs[:k]
                 if not n or doc_id is None:
                     continue
-                # a partner may be larger by 1/t: only if it too is a whole set does the exact bound hold
-                need = -(-n * t.numerator // t.denominator) if n <= k * t else overlap
+                # a whole partner shares ceil(n * t) values at least, a sketched one the overlap of sketches
+                need = min(-(-n * t.numerator // t.denominator), overlap)
                 size = max(len(v) - need + 1, 1)
                 v = v[np.lexsort((v, rare[(v & mask).astype(np.int64)]))[:size]]
                 values.append(v), owners.append(doc_id), sizes.append(n)

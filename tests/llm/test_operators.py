@@ -65,6 +65,45 @@ def test_near_duplicates(docs):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_around_the_sketch_size(spark):
+    # one text and the same with up to a quarter of new words: each pair is at 0.8 or more and has no other partner
+    rows, expected = [], {}
+    for p, n in enumerate([656, 690, 725, 733, 780, 819, 820, 900, 1000, 1024, 1040]):
+        text = [f"p{p}w{i}" for i in range(n)]
+        for q, more in enumerate((n // 4, n // 5)):
+            a = 1000 * q + 10 * p + 1
+            # words that occur nowhere else come before those of both in the order of rarity
+            pair = [f"{q}{w}" for w in text], [f"{q}{w}" for w in text] + [f"{q}p{p}new{i}" for i in range(more)]
+            for i, words in enumerate(pair):
+                assert i == 0 or 5 * n >= 4 * len(words)
+                rows.append((a + i, " ".join(words)))
+                expected[a + i] = a
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in bottomk.near_duplicates(table, width=1).collect()} == expected
+
+
+def test_poster_meets_every_pair_over_the_threshold(spark):
+    from fractions import Fraction
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    t, k = Fraction("0.8"), 1024
+    for n, m in [(820, 656), (819, 656), (860, 690), (900, 725), (915, 732), (1024, 820), (1024, 1024)]:
+        both = [f"w{i}" for i in range(m)]
+        texts = [" ".join(both), " ".join(both + [f"x{i}" for i in range(n - m)])]
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": texts})
+        # a table in which every value of both documents is more common than any other
+        counts = bottomk.shingle_hashes(next(h for *_, h in common.hashed_words(*common.text_buffers(batch.column("text")[:1]), common.WHITE)), 1)
+        rare = np.zeros(1 << 21, np.int32)
+        rare[(counts & np.uint64(len(rare) - 1)).astype(np.int64)] = 2
+        posted = defaultdict(set)
+        for out in bottomk.poster(SimpleNamespace(value=rare), 1, k, t)(iter([batch])):
+            for value, doc in common.rows_of(out, "value", "doc_id"):
+                posted[doc].add(value)
+        assert posted[1] & posted[2], (n, m)
+
+
 def test_decontaminate(spark, docs):
     bench = spark.createDataFrame([(1, LONG[:200]), (2, "two words"), (3, None), (4, "")], "item_id long, text string")
     for block in (10, 10**6):
