@@ -2,16 +2,20 @@
 
 Two views of a document, each with a logistic model: its content (byte
 histogram, word statistics) and its page metadata (language, source, length).
-Each round every model labels a pool of unlabelled documents and hands those
-it is surest of to the other; afterwards each is calibrated on labelled rows
-that it was not trained on, and the calibrated log-odds are added.
+Each round every model labels all unlabelled documents and hands those it is
+surest of to the other; afterwards each is calibrated on labelled rows that it
+was not trained on, and the calibrated log-odds are added.
 
-The models are fitted on a bounded sample: the labelled and the unlabelled
-documents whose ids hash lowest (``max_labelled``, ``max_pool``).  Every
-document of the input is then scored, whole text, where it lies.
+Only the labelled rows are a bounded sample, the documents whose ids hash lowest
+(``max_labelled``); documents with other labels count as unlabelled.  Their
+features are written once.  A histogram of all scores sets how sure a label must
+be, and what is learned from the labels comes as sums of gradients and Hessians
+over all of them; no rows are gathered.  A pseudo-label weighs so much that all
+unlabelled documents together weigh no more than the labelled rows.
 
 Defined cases: null text is empty; null metadata is a value of its own; labels
-that repeat an id count once (the lowest); without labels of both classes
+that repeat an id count once (the lowest), unlabelled rows that repeat one count
+each; without labels of both classes
 nothing can be learned, all scores are 0.5 and all documents are kept.
 """
 
@@ -23,13 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, bounded_batches, hashed_words, stage, text_buffers
+from .common import WHITE, bounded_batches, hashed_words, rows_of, stage, text_buffers
 
-MAX_LABELLED, MAX_POOL, ROUNDS, KEEP_AT = 6000, 6000, 3, 0.5
+MAX_LABELLED, ROUNDS, KEEP_AT = 6000, 3, 0.5
 TEXT_DIM, META_DIM = 256 + 6, 32 + 128 + 3
 
 
@@ -97,69 +102,180 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (a, b, a + b - self.prior))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, per_round: float = 0.1) -> CoTrained | None:
-    """y: 1 good, 0 bad, -1 unlabelled.  Every fifth labelled row is held out for calibration."""
-    labelled = np.flatnonzero(y >= 0)
-    held = labelled[::5]
-    train = np.setdiff1d(labelled, held)
+#: Scores are counted in bins of 1/64 log-odds from -32 to 32; a teacher is sure below -SURE and above SURE.
+BINS_A_UNIT, SPAN, SURE = 64, 32, 2
+PIECES = 8
+
+
+@dataclass
+class Round:
+    """What both views taught in a round: weights, and per class the bin of the last taught and the share taken of it."""
+
+    weights: tuple[np.ndarray, np.ndarray]
+    bad: list[tuple[int, float]]
+    good: list[tuple[int, float]]
+
+
+def binned(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((z + SPAN) * BINS_A_UNIT), 0, 2 * SPAN * BINS_A_UNIT - 1).astype(np.int64)
+
+
+def last_taught(counts: np.ndarray, few: float) -> tuple[int, float]:
+    """The bin in which the first ``few`` documents end, and the share of its documents that is still taken."""
+    upto = np.cumsum(counts)
+    at = int(np.searchsorted(upto, few))
+    if at == len(counts):
+        return at, 1.0
+    return at, float((few - (upto[at] - counts[at])) / counts[at]) if counts[at] else 0.0
+
+
+def cuts(counts: np.ndarray, few: float, share: float) -> tuple[tuple[int, float], tuple[int, float]]:
+    """Ends of the surest bad and good documents of a histogram; only labels that the teacher is sure of."""
+    low, high = (SPAN - SURE) * BINS_A_UNIT, (SPAN + SURE) * BINS_A_UNIT
+    bad, rest = last_taught(counts[:low], few * (1 - share))
+    good, left = last_taught(counts[high:][::-1], few * share)
+    return (bad, rest), (len(counts) - 1 - good, left)
+
+
+def taught(both: tuple[np.ndarray, np.ndarray], rounds: list[Round]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which rows are still in the pool, and the weights (bad, good) that each view was taught for every row.
+
+    Documents of the last bin are all taken with the share of it, so that equal scores count alike; they stay in the pool.
+    """
+    pool = np.ones(len(both[0]), bool)
+    out = [np.zeros((len(pool), 2)) for _ in range(2)]
+    for r in rounds:
+        left = pool.copy()
+        for v in range(2):
+            at = binned(both[v] @ r.weights[v])
+            for c, (beyond, (last, part)) in enumerate(((at < r.bad[v][0], r.bad[v]), (at > r.good[v][0], r.good[v]))):
+                out[1 - v][:, c] += pool * (beyond + part * (at == last))
+                left &= ~beyond
+        pool = left
+    return pool, out
+
+
+def corpus_sums(features: DataFrame, rounds: list[Round], at: tuple[np.ndarray, np.ndarray], counting: bool = False) -> np.ndarray:
+    """Over all unlabelled documents: gradients and Hessians of both views at weights ``at``, or histograms of the pool's scores.
+
+    Tasks add up locally; pieces of their sums are added in Spark, the driver gets one vector.
+    """
+    n = 4 * SPAN * BINS_A_UNIT if counting else sum(d * (d + 1) for d in (TEXT_DIM, META_DIM))
+    per = -(-n // PIECES)
+
+    def add(batches):
+        total = np.zeros(per * PIECES)
+        for batch in batches:
+            both = unpacked(batch)
+            if counting:
+                pool = taught(both, rounds)[0]
+                for v in range(2):
+                    total[v * n // 2 : (v + 1) * n // 2] += np.bincount(binned(both[v][pool] @ at[v]), minlength=n // 2)
+                continue
+            first = 0
+            for x, w, own in zip(both, at, taught(both, rounds)[1], strict=True):
+                some = own.any(1)
+                x, (bad, good), d = x[some].astype(np.float64), own[some].T, x.shape[1]
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total[first : first + d] += x.T @ (bad * p - good * (1 - p))
+                total[first + d : first + d + d * d] += ((x * ((bad + good) * p * (1 - p))[:, None]).T @ x).ravel()
+                first += d + d * d
+        part = TaskContext.get().partitionId()
+        pieces = [zlib.compress(total[c * per : (c + 1) * per].tobytes(), 1) for c in range(PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([part] * PIECES, pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "part", "sums"])
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, x in rows_of(batch, "piece", "sums"):
+                sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(x))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "part", "sums"])
+
+    schema, out = "piece int, part int, sums binary", np.zeros(per * PIECES)
+    unlabelled = features.where("quality is null").select("text_view", "meta_view")
+    # in the order of the tasks, so that sums do not depend on which ends first
+    pieces = unlabelled.mapInArrow(add, schema).repartition(PIECES, "piece").sortWithinPartitions("piece", "part")
+    for row in pieces.mapInArrow(merge, schema).toLocalIterator():
+        out[row.piece * per : (row.piece + 1) * per] = np.frombuffer(row.sums)
+    return out[:n]
+
+
+def refit(features: DataFrame, both: tuple[np.ndarray, np.ndarray], y: np.ndarray, rounds: list[Round], weight: float, l2: float = 1.0, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Newton steps of both views over labelled rows and all that the corpus was taught, from the last weights."""
+    ws = list(rounds[-1].weights)
+    for _ in range(steps):
+        sums, first, most = corpus_sums(features, rounds, tuple(ws)), 0, 0.0
+        for v, x in enumerate(both):
+            x, d, w = x.astype(np.float64), x.shape[1], ws[v]
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (p - y) + l2 * w + weight * sums[first : first + d]
+            bend = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(d) + weight * sums[first + d : first + d + d * d].reshape(d, d)
+            step = np.linalg.solve(bend, slope)
+            ws[v], first, most = w - step, first + d + d * d, max(most, np.abs(step).max())
+        if most < 1e-3:
+            break
+    return ws[0], ws[1]
+
+
+def co_train(features: DataFrame, text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, per_round: float = 0.1) -> CoTrained | None:
+    """Fit on labelled rows (y: 1 good, 0 bad) and on all documents of ``features`` without a label.
+
+    Every fifth labelled row is held out for calibration.
+    """
+    held = np.arange(len(y))[::5]
+    train = np.setdiff1d(np.arange(len(y)), held)
     if len(np.unique(y[train])) < 2 or len(np.unique(y[held])) < 2:
         return None
-    pool = np.flatnonzero(y < 0)
-    own = [(train, y[train].astype(float)) for _ in range(2)]
-    both = (text, meta)
-    for _ in range(rounds):
-        models = [fit(x[i], t) for x, (i, t) in zip(both, own, strict=True)]
-        taught = []
-        for x, w in zip(both, models, strict=True):
-            z = x[pool] @ w
-            order = np.argsort(z, kind="stable")
-            share = y[train].mean()
-            few = int(len(pool) * per_round)
-            bad, good = order[: int(few * (1 - share))], order[len(order) - int(few * share) :]
-            # only labels that the teacher is sure of
-            bad, good = bad[z[bad] < -2], good[z[good] > 2]
-            taught.append((np.concatenate([pool[bad], pool[good]]), np.concatenate([np.zeros(len(bad)), np.ones(len(good))])))
-        own = [(np.concatenate([own[v][0], taught[1 - v][0]]), np.concatenate([own[v][1], taught[1 - v][1]])) for v in range(2)]
-        pool = np.setdiff1d(pool, np.concatenate([t[0] for t in taught]))
-    models = [fit(x[i], t) for x, (i, t) in zip(both, own, strict=True)]
+    both, share = (text[train], meta[train]), y[train].mean()
+    models = tuple(fit(x, y[train].astype(float)) for x in both)
+    done: list[Round] = []
+    weight = 1.0
+    for r in range(rounds):
+        counts = corpus_sums(features, done, models, counting=True).reshape(2, -1)
+        if not counts.any():
+            break
+        if r == 0:
+            # all documents together weigh no more than the labelled ones
+            weight = min(1.0, len(train) / counts[0].sum())
+        ends = [cuts(c, per_round * c.sum(), share) for c in counts]
+        done.append(Round(models, [e[0] for e in ends], [e[1] for e in ends]))
+        models = refit(features, both, y[train], done, weight)
     cal = []
-    for x, w in zip(both, models, strict=True):
+    for x, w in zip((text, meta), models, strict=True):
         z = x[held] @ w
         cal.append(tuple(fit(np.stack([z, np.ones(len(z))], 1), y[held].astype(float), l2=1e-2)))
-    share = y[labelled].mean()
+    share = y.mean()
     return CoTrained(models[0], models[1], cal[0], cal[1], float(np.log(share / (1 - share))))
 
 
-PICKED = "quality int, text_view binary, meta_view binary"
+FEATURES = "doc_id long, quality int, text_view binary, meta_view binary"
 
 
-def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = views(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], names=["quality", "text_view", "meta_view"])
+        packed = [pa.array([x.tobytes() for x in view], pa.binary()) for view in views(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *packed], names=["doc_id", "quality", "text_view", "meta_view"])
+
 
+def unpacked(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(rows.column(c).to_pylist()), np.float32).reshape(rows.num_rows, d) for c, d in (("text_view", TEXT_DIM), ("meta_view", META_DIM)))
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained | None:
-    """Fit on the bounded sample; only its features reach the driver."""
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained | None:
+    """Fit on a bounded sample of the labels, whose features reach the driver, and on all other documents where they lie."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    pool = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_pool)
-    ids = stage(known.unionByName(pool.withColumn("quality", F.lit(None).cast("int"))).groupBy("doc_id").agg(F.max("quality").alias("quality")), "sample")
+    known = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "sample")
+    if known.isEmpty():
+        return None
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-        .join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+        .join(F.broadcast(known), "doc_id", "left")
     )
-    got = rows.select("doc_id", "quality", "text", "lang", "source", "n_chars").mapInArrow(_picked_with_id, f"doc_id long, {PICKED}").toArrow().sort_by("doc_id")
+    features = stage(rows.mapInArrow(featured, FEATURES), "features")
+    got = features.where("quality is not null").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
-    text, meta = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(got.num_rows, -1) for c in ("text_view", "meta_view"))
-    return co_train(text, meta, np.array([-1 if q is None else int(q > 0) for q in got.column("quality").to_pylist()]))
-
-
-def _picked_with_id(batches):
-    for batch in batches:
-        for out in _picked(iter([batch])):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out.columns], names=["doc_id", *out.schema.names])
+    return co_train(features, *unpacked(got), np.array([int(q > 0) for q in got.column("quality").to_pylist()]))
 
 
 SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("__p_text", "__p_meta", "__score")])

@@ -171,6 +171,18 @@ def test_classifiers_learn(spark):
     assert known.agg(F.avg((F.col("toxic").cast("int") == F.col("is_toxic")).cast("int"))).first()[0] > 0.9
 
 
+def test_co_training_covers_the_corpus(spark):
+    # good and bad texts differ; 20 documents of a source without a label lie in a corpus of more than 6,000
+    rows = [(i, ("aaa bbb ccc " if i % 2 else "xxx yyy zzz ") * 5, "en", "good" if i % 2 else "bad", 60) for i in range(7000)]
+    # these ids hash highest, so that no bounded sample by hash has one
+    rare = spark.range(10_000, 12_000).orderBy(F.desc(F.xxhash64("id", F.lit(1)))).limit(20).collect()
+    rows += [(r.id, "aaa bbb ccc " * 5, "fr", "rare", 60) for r in rare]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality.train(spark.createDataFrame(rows, DOCS), labels)
+    assert model.meta[32 + zlib.crc32(b"rare") % 128] > 1e-4 and model.meta[zlib.crc32(b"fr") % 32] > 1e-4
+    assert quality.last_taught(np.array([3, 0, 5, 2]), 4) == (2, 0.2)
+
+
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, bottomk.near_duplicates, token_files.round_trip, token_counts.token_counts, lexicon.digests, reshard.shard_documents])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], DOCS)).isEmpty()
