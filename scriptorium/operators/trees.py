@@ -1,6 +1,6 @@
 """Tree operators over (id, parent) tables: paths, leaves, dependencies.
 
-Levels are joined one at a time, each level once; the depth of a course tree is small and bounds the plan.
+Levels are joined one at a time, each level once, until none is left or a given depth is reached.
 """
 
 from __future__ import annotations
@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ancestors(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """id, ancestor, distance for every node and each of its ancestors, itself included."""
+def ancestors(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, ancestor, distance for every node and each of its ancestors, itself included; ``depth`` bounds the distance."""
     edges = nodes.select(F.col("id").alias("__id"), F.col("parent").alias("__up"))
     level = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    out = level
-    for d in range(1, depth + 1):
+    out, d, most = level, 0, nodes.count() if depth is None else depth
+    while d < most:
+        d += 1
         level = level.join(edges, F.col("ancestor") == F.col("__id")).where("__up is not null").select("id", F.col("__up").alias("ancestor"), F.lit(d).alias("distance"))
+        if depth is None:
+            # cuts the lineage; a tree has fewer levels than nodes, so that a cycle ends too
+            level = level.localCheckpoint()
+            if level.isEmpty():
+                break
         out = out.unionByName(level)
     return out
 
 
-def met(nodes: DataFrame, edges: DataFrame, completed: DataFrame, depth: int = 8) -> DataFrame:
+def met(nodes: DataFrame, edges: DataFrame, completed: DataFrame, depth: int | None = None) -> DataFrame:
     """id, met: a dependency is satisfied if it is completed itself or all its leaf descendants are.
 
     ``edges``: id depends on ``needs``; ``completed``: one column id.
