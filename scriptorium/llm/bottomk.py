@@ -16,14 +16,23 @@ copies.  The first few members meet each other, each later one meets the first
 and in some lists the one before; shorter lists are thereby complete.  A value's
 place also bounds the overlap of a pair, which drops most others.  What is left
 passes an estimate from the union of two small sketches, then an exact
-comparison of the full sets of words, and the links give components.  A longer
-list is searched again only where it still spans several components, and only
-between them, so no link between different texts is lost.
+comparison of the full sets of words, and the links give components.
+
+Longer lists that span several components are searched again.  Members whose
+place leaves too few values for any other size in their list go, and so do the
+lists that then hold one component only.  First each component of a list sends
+one member to the list's best one, which is linear in postings; then the members
+that are left meet those of other components, so no link between different texts
+is lost.
+
+Documents with equal sequences of words share a cryptographic digest and are one
+class.  Whatever else has equal hashes is still compared on words.
 
 Defined cases: null text or text without words has no shingles and is linked
 with nothing; fewer words than a shingle count as one shingle; rows that share
 a document id are one document whose links are pooled; a row without an id is
-its own component (null) and kept.
+its own component (null) and kept; further columns of the input, whatever their
+names, take no part; very long texts are hashed piece by piece.
 """
 
 from __future__ import annotations
@@ -41,6 +50,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, WHITE, bounded_batches, hashed_words, mix, rows_of, stage, text_buffers
 
+#: Ids that are broadcast at most (24 MB); with more the tables are joined.
+BROADCAST_IDS = 1 << 20
+
 #: A pair over the threshold is missed by its sketches with at most this probability.
 MISS = 1e-9
 #: Members of a list that each member meets directly; lists up to one more are complete.
@@ -48,6 +60,8 @@ NEAR = 4
 #: Of the longer lists, one in so many gives its members a neighbour each.
 SPREAD = 8
 CHUNKS = 64
+#: The table of counts has 4 to 8 buckets a document, but 2**MOST_BITS (64 MB) at most; fuller buckets only make lists longer.
+MOST_BITS = 24
 #: Size of the sketches that are estimated from before sets of words are compared.
 ESTIMATE = 64
 
@@ -72,45 +86,49 @@ def shingled(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
             yield shingle_hashes(h[places[i] : places[i + 1]], width)
 
 
-def profiler(width: int) -> Callable:
-    """doc_id, text -> doc_id, digest of the set and its size."""
+PROFILE = "doc_id long, digest binary, n_shingles long, sketch binary, chunk int, counts binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, sizes = [], []
-            for hs in shingled(batch, width):
-                sizes.append(len(hs))
-                digests.append(hashlib.blake2b(hs.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "digest", "n_shingles"])
 
-    return run
+def profiler(width: int, k: int, bits: int) -> Callable:
+    """doc_id, text -> a profile of each document, and this task's counts of the retained values.
 
-
-PROFILE = "doc_id long, digest binary, n_shingles long"
-
-
-def bucket_counts(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """How many of the rows' 64-bit values fall in each of 2**bits buckets of their low bits: a fixed-size table.
-
-    Tasks count locally; what is shuffled is one compressed piece per task and chunk, summed as a stream.
+    A profile is the digest of the words, the size of the set and its ``ESTIMATE`` least hashes.  Counts are kept in
+    2**bits buckets of the hashes' low bits, a fixed-size table of which a task hands on ``CHUNKS`` compressed pieces.
     """
-    per = (1 << bits) // CHUNKS
+    per, kinds = (1 << bits) // CHUNKS, [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+    def out(*columns):
+        n = max(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in PROFILE.split(", ")])
 
-    def count(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mask = np.zeros(1 << bits, np.int32), U64((1 << bits) - 1)
         for batch in batches:
-            held, n = [], 0
-            for v in values(batch):
-                held.append((v & mask).astype(np.int64))
-                n += len(v)
+            texts = batch.column("text").fill_null("").cast(pa.binary())
+            digests = [hashlib.blake2b(b" ".join(x.as_py().lower().split()), digest_size=16).digest() for x in texts]
+            sizes, sketches, held, n = [], [], [], 0
+            for hs in shingled(batch, width):
+                sizes.append(len(hs)), sketches.append(hs[:ESTIMATE].tobytes())
+                held.append((hs[:k] & mask).astype(np.int64))
+                n += len(held[-1])
                 if n > 1 << 20:
                     total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.int32)
                     held, n = [], 0
             if held:
                 total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.int32)
+            if batch.num_rows:
+                yield out(batch.column("doc_id"), digests, sizes, sketches, None, None)
         parts = [(c, total[c * per : (c + 1) * per]) for c in range(CHUNKS)]
         parts = [(c, zlib.compress(x.tobytes(), 1)) for c, x in parts if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "counts"])
+        if parts:
+            yield out(None, None, None, None, [c for c, _ in parts], [x for _, x in parts])
+
+    return run
+
+
+def bucket_counts(profiles: DataFrame, bits: int) -> np.ndarray:
+    """The tasks' counts, summed as a stream: one table of 2**bits numbers."""
+    per = (1 << bits) // CHUNKS
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -120,9 +138,9 @@ def bucket_counts(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[n
                 sums[c] = sums[c] + x if c in sums else x.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(x, 1 << 30).astype(np.int32).tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-    schema = "chunk int, counts binary"
     out = np.zeros(1 << bits, np.int32)
-    for row in rows.mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema).toLocalIterator():
+    pieces = profiles.where("chunk is not null").select("chunk", "counts")
+    for row in pieces.repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
         out[row.chunk * per : (row.chunk + 1) * per] += np.frombuffer(zlib.decompress(row.counts), np.int32)
     return out
 
@@ -228,48 +246,24 @@ def neighbours(t: Fraction, k: int) -> Callable:
     return run
 
 
-def members(marks) -> Callable:
-    """Rows whose id falls in a marked bucket: all that are asked for, and a few more."""
-
-    def run(batches):
-        bits = marks.value
-        mask = U64(len(bits) - 1)
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            yield batch.filter(pa.array(bits[(mix(ids.view(U64)) & mask).astype(np.int64)]))
-
-    return run
-
+def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in a column of ``ids``; the ids are broadcast if they are few."""
+    wanted = None
+    for c in ids.columns:
+        one = ids.select(F.col(c).alias("doc_id"))
+        wanted = one if wanted is None else wanted.unionByName(one)
+    wanted = stage(wanted.distinct(), "ids")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
-def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for column in batch.columns:
-        yield mix(column.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
 
-
-def only_ids(rows: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
-    """Drop most rows whose doc_id is in no column of ``ids``, with a bitmap of fixed size, before they are shuffled."""
-    marks = rows.sparkSession.sparkContext.broadcast(bucket_counts(ids, _ids, bits) > 0)
-    return rows.mapInArrow(members(marks), rows.schema)
-
-
-def sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs with ``text`` of both documents as left and right."""
-    left = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-    right = rows.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+def sides(pairs: DataFrame, rows: DataFrame, of: str) -> DataFrame:
+    """Pairs with the column ``of`` of both documents as left and right."""
+    left = rows.select(F.col("doc_id").alias("a"), F.col(of).alias("left"))
+    right = rows.select(F.col("doc_id").alias("b"), F.col(of).alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
 
-def sketcher(width: int) -> Callable:
-    """doc_id, text -> doc_id and, as ``text``, its sketch."""
-
-    def run(batches):
-        for batch in batches:
-            sketches = pa.array([h[:ESTIMATE].tobytes() for h in shingled(batch, width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sketches], names=["doc_id", "text"])
-
-    return run
-
-
 def estimator(t: Fraction) -> Callable:
     """Keep pairs whose union sketch does not rule them out."""
     least = sketch_overlap(ESTIMATE, float(t))
@@ -351,48 +345,77 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("b").alias("doc_id"), F.col("a").alias("component"))
 
 
-def links(docs: DataFrame, reps: DataFrame, width: int, t: Fraction, k: int) -> DataFrame:
+def contested(members: DataFrame, t: Fraction, k: int) -> DataFrame:
+    """Of the members (value, doc_id, n, room, part) of lists, those that may have a link to another part of their list."""
+    num, den = t.numerator, t.denominator
+    least = F.greatest(F.ceil(F.col("n") * num / den), F.col("least"))
+    need = F.least((F.col("n") + least) * num, F.lit(sketch_overlap(k, float(t)) * (num + den)))
+    for name in ("open", "across"):
+        lists = members.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("n").alias("least")).where("lo < hi")
+        lists = stage(lists.select(F.col("value").alias("of"), "least"), "lists")
+        alive = (F.col("value") == F.col("of")) & (F.col("room") * (num + den) >= need) & (F.col("least") * num <= F.col("n") * den)
+        members = stage(members.join(lists, alive).select(*members.columns), name)
+    return members
+
+
+def pairs_across(left: DataFrame, right: DataFrame, t: Fraction, k: int) -> DataFrame:
+    """Pairs a < b of members of different parts of a list whose sizes and places allow a link."""
+    num, den = t.numerator, t.denominator
+    right = right.select(*(F.col(c).alias(f"r_{c}") for c in ("value", "doc_id", "n", "room", "part")))
+    need = F.when(F.greatest("n", "r_n") <= k, (F.col("n") + F.col("r_n")) * num).otherwise(sketch_overlap(k, float(t)) * (num + den))
+    fits = (
+        (F.col("value") == F.col("r_value"))
+        & (F.col("part") != F.col("r_part"))
+        & (F.least("n", "r_n") * den >= F.greatest("n", "r_n") * num)
+        & (F.least("room", "r_room") * (num + den) >= need)
+    )
+    return left.join(right, fits).select(F.least("doc_id", "r_doc_id").alias("a"), F.greatest("doc_id", "r_doc_id").alias("b")).distinct()
+
+
+def links(docs: DataFrame, profiles: DataFrame, reps: DataFrame, counts: np.ndarray, width: int, t: Fraction, k: int) -> DataFrame:
     """Components (doc_id, component) of the representatives linked at similarity t or more."""
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(bucket_counts(docs, lambda batch: (h[:k] for h in shingled(batch, width)), 21))
-    # a copy that slips through the bitmap is one more member of its lists, no more
+    counts = docs.sparkSession.sparkContext.broadcast(counts)  # of a fixed size
     postings = only_ids(docs, reps).mapInArrow(poster(counts, width, k, t), POSTING)
     lists = postings.repartition("value").sortWithinPartitions("value", "facts", "doc_id")
     near = stage(lists.mapInArrow(neighbours(t, k), NEARBY), "near")
+    sketches = profiles.where("n_shingles > 0").select("doc_id", "sketch")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         # small sketches first, so that texts are shuffled for few pairs but links
-        sketches = only_ids(docs, pairs).mapInArrow(sketcher(width), "doc_id long, text binary")
-        likely = stage(sides(pairs, sketches).mapInArrow(estimator(t), "a long, b long").distinct(), "likely")
-        return stage(sides(likely, only_ids(docs, likely)).mapInArrow(verifier(width, t), "a long, b long").distinct(), "links")
+        likely = stage(sides(pairs, only_ids(sketches, pairs), "sketch").mapInArrow(estimator(t), "a long, b long").distinct(), "likely")
+        return stage(sides(likely, only_ids(docs, likely), "text").mapInArrow(verifier(width, t), "a long, b long").distinct(), "links")
+
+    def joined(parts: DataFrame, pairs: DataFrame) -> DataFrame:
+        return components(parts.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(confirmed(pairs)))
+
+    def in_parts(members: DataFrame) -> DataFrame:
+        found = members.select("value", "doc_id", "n", "room").join(parts, "doc_id", "left")
+        return contested(stage(found.select("value", "doc_id", "n", "room", F.coalesce("component", "doc_id").alias("part")), "members"), t, k)
 
     parts = components(confirmed(stage(near.where("a is not null").select("a", "b").distinct(), "pairs")))
-    open_lists = near.where("a is null").select("value", "doc_id", "n", "room").join(parts, "doc_id", "left")
-    open_lists = stage(open_lists.select("value", "doc_id", "n", "room", F.coalesce("component", "doc_id").alias("part")), "open")
-    several = stage(open_lists.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("value"), "several")
-    left = stage(open_lists.join(several, "value", "left_semi"), "across")
-    right = left.select("value", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "n", "room", "part")))
-    num, den = t.numerator, t.denominator
-    need = F.when(F.greatest("n", "r_n") <= k, (F.col("n") + F.col("r_n")) * num).otherwise(sketch_overlap(k, float(t)) * (num + den))
-    across = left.join(right, "value").where(
-        (F.col("part") < F.col("r_part"))
-        & (F.least("n", "r_n") * den >= F.greatest("n", "r_n") * num)
-        & (F.least("room", "r_room") * (num + den) >= need)
-    )
-    more = stage(across.select(F.least("doc_id", "r_doc_id").alias("a"), F.greatest("doc_id", "r_doc_id").alias("b")).distinct(), "pairs")
-    if more.isEmpty():
-        return parts
-    return components(parts.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(confirmed(more)))
+    open_lists = in_parts(near.where("a is null"))
+    # one member of each part meets the best of the list
+    best = F.max(F.struct("room", "n", "doc_id", "part")).alias("m")
+    firsts = open_lists.groupBy("value", "part").agg(best).select("value", "m.doc_id", "m.n", "m.room", "m.part")
+    hubs = open_lists.groupBy("value").agg(best).select("value", "m.doc_id", "m.n", "m.room", "m.part")
+    some = stage(pairs_across(stage(firsts, "firsts"), stage(hubs, "hubs"), t, k), "pairs")
+    if not some.isEmpty():
+        parts = joined(parts, some)
+        open_lists = in_parts(open_lists)
+    more = stage(pairs_across(open_lists, open_lists, t, k).join(some, ["a", "b"], "left_anti"), "pairs")
+    return parts if more.isEmpty() else joined(parts, more)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str = "0.8", k: int = 1024) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept (the least id of its component)."""
     t = Fraction(threshold)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = stage(docs.mapInArrow(profiler(width), PROFILE), "profiles")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bits = min(max(docs.count().bit_length() + 2, 16), MOST_BITS)
+    staged = stage(docs.mapInArrow(profiler(width, k, bits), PROFILE), "profiles")
+    profiles = staged.where("chunk is null").drop("chunk", "counts")
     # copies share a digest; the representative's component is theirs
     least = stage(profiles.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    parts = links(docs, least.select("rep"), width, t, k)
+    parts = links(docs, profiles, least.select("rep"), bucket_counts(staged, bits), width, t, k)
     classes = stage(least.join(parts.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "classes")
     rows = profiles.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     alone = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

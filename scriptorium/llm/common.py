@@ -6,6 +6,7 @@ a local folder is used only where that setting is absent (tests).
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -91,6 +92,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Polynomials modulo 2**64 tell no alternating words of some 1,000 letters apart; longer words than this take a cryptographic hash.
+LONG_WORD = 128
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix(np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], U64) + U64(0xA5A5))
 _powers = [np.ones(1, U64), np.ones(1, U64)]
@@ -131,6 +134,8 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray, upto:
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[b] * up[: len(b)])])
             h = mix((total[ends] - total[begins]) * down[begins])
+        for i in np.flatnonzero(ends - begins > LONG_WORD).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(b[begins[i] : ends[i]].tobytes().lower(), digest_size=8).digest(), "little")
         places = np.searchsorted(begins, offsets[first : last + 1] - at)
         yield first, last, places, begins + at, ends + at, h
         first = last

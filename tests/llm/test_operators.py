@@ -186,3 +186,60 @@ def test_co_training_covers_the_corpus(spark):
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, bottomk.near_duplicates, token_files.round_trip, token_counts.token_counts, lexicon.digests, reshard.shard_documents])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], DOCS)).isEmpty()
+
+
+def brute_components(rows, width, num, den):
+    """Least id of each row's component by comparing the word sets of all pairs."""
+    sets = {i: shingle_set(t, width) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and both * den >= (len(sets[a]) + len(sets[b]) - both) * num:
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
+def shingle_set(text, width):
+    w = lower(text).encode().split()
+    n = min(width, len(w))
+    return set(zip(*(w[j:] for j in range(n)), strict=False)) if w else set()
+
+
+def test_hot_lists_over_many_components(spark):
+    # families around a base of which each member replaces, drops or adds some words: lists of many members and components
+    r = np.random.default_rng(7)
+    rows, n = [], 0
+    for family, size in enumerate((60, 45, 12)):
+        base = [f"f{family}w{i}" for i in range(40 + 17 * family)]
+        for m in range(size):
+            words = list(base)
+            for at in r.choice(len(words), int(r.integers(0, 8)), replace=False):
+                words[at] = f"x{family}v{int(r.integers(0, 9))}"
+            cut = int(r.integers(0, 9))
+            words = words[cut:] + [f"t{family}z{int(r.integers(0, 20))}" for _ in range(int(r.integers(0, 7)))]
+            rows.append((n := n + 1, " ".join(words)))
+    # short texts of two very common words and little else
+    rows += [(n + 1 + i, " ".join(["aa", "bb"] * int(r.integers(1, 3)) + [f"s{int(r.integers(0, 30))}" for _ in range(int(r.integers(0, 5)))])) for i in range(80)]
+    expected = brute_components(rows, 2, 80, 100)
+    assert len({c for _, c, _ in expected.values()}) > 20
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == expected
+
+
+def test_hash_defeating_words_stay_apart(spark):
+    # Thue-Morse words and their complements have equal polynomial hashes modulo 2**64, whatever the base
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(9001, word), (9002, word.translate(str.maketrans("ab", "ba"))), (9003, word.upper()), (9004, f"{word} {word}")]
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == brute_components(rows, 2, 80, 100)
