@@ -39,7 +39,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -48,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE, bounded_batches, hashed_words, mix, rows_of, stage, text_buffers
+from .common import U64, WHITE, bounded_batches, hashed_words, mix, packed_counts, rows_of, stage, summed_counts, text_buffers
 
 #: Ids that are broadcast at most (24 MB); with more the tables are joined.
 BROADCAST_IDS = 1 << 20
@@ -59,7 +58,6 @@ MISS = 1e-9
 NEAR = 4
 #: Of the longer lists, one in so many gives its members a neighbour each.
 SPREAD = 8
-CHUNKS = 64
 #: The table of counts has 4 to 8 buckets a document, but 2**MOST_BITS (64 MB) at most; fuller buckets only make lists longer.
 MOST_BITS = 24
 #: Size of the sketches that are estimated from before sets of words are compared.
@@ -93,9 +91,9 @@ def profiler(width: int, k: int, bits: int) -> Callable:
     """doc_id, text -> a profile of each document, and this task's counts of the retained values.
 
     A profile is the digest of the words, the size of the set and its ``ESTIMATE`` least hashes.  Counts are kept in
-    2**bits buckets of the hashes' low bits, a fixed-size table of which a task hands on ``CHUNKS`` compressed pieces.
+    2**bits buckets of the hashes' low bits, a table of fixed size.
     """
-    per, kinds = (1 << bits) // CHUNKS, [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def out(*columns):
         n = max(len(c) for c in columns if c is not None)
@@ -118,33 +116,13 @@ def profiler(width: int, k: int, bits: int) -> Callable:
                 total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.int32)
             if batch.num_rows:
                 yield out(batch.column("doc_id"), digests, sizes, sketches, None, None)
-        parts = [(c, total[c * per : (c + 1) * per]) for c in range(CHUNKS)]
-        parts = [(c, zlib.compress(x.tobytes(), 1)) for c, x in parts if x.any()]
-        if parts:
-            yield out(None, None, None, None, [c for c, _ in parts], [x for _, x in parts])
+        chunks, counts = packed_counts(total)
+        if chunks:
+            yield out(None, None, None, None, chunks, counts)
 
     return run
 
 
-def bucket_counts(profiles: DataFrame, bits: int) -> np.ndarray:
-    """The tasks' counts, summed as a stream: one table of 2**bits numbers."""
-    per = (1 << bits) // CHUNKS
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, x in rows_of(batch, "chunk", "counts"):
-                x = np.frombuffer(zlib.decompress(x), np.int32)
-                sums[c] = sums[c] + x if c in sums else x.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(x, 1 << 30).astype(np.int32).tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    out = np.zeros(1 << bits, np.int32)
-    pieces = profiles.where("chunk is not null").select("chunk", "counts")
-    for row in pieces.repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
-        out[row.chunk * per : (row.chunk + 1) * per] += np.frombuffer(zlib.decompress(row.counts), np.int32)
-    return out
-
-
 def sketch_overlap(k: int, t: float) -> int:
     """Values that two k-sketches share at least, but for probability MISS, at similarity t or more."""
     for o in range(int(k * t), 0, -1):
@@ -413,9 +391,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction | str =
     bits = min(max(docs.count().bit_length() + 2, 16), MOST_BITS)
     staged = stage(docs.mapInArrow(profiler(width, k, bits), PROFILE), "profiles")
     profiles = staged.where("chunk is null").drop("chunk", "counts")
+    counts = summed_counts(staged.where("chunk is not null").select("chunk", "counts"), 1 << bits)
     # copies share a digest; the representative's component is theirs
     least = stage(profiles.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    parts = links(docs, profiles, least.select("rep"), bucket_counts(staged, bits), width, t, k)
+    parts = links(docs, profiles, least.select("rep"), np.minimum(counts, 1 << 30).astype(np.int32), width, t, k)
     classes = stage(least.join(parts.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "classes")
     rows = profiles.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     alone = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -430,4 +409,4 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("times"))
     # rows that repeat an id are one document: one of them stays; rows without an id are never compared
-    return keep_rows(docs, stage(kept, "kept").withColumn("times", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("times"))), ["doc_id"])
+    return keep_rows(docs, stage(kept, "kept").withColumn("times", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("times"))), {"doc_id": F.col("doc_id").cast("long")})

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; the caller may pass any other path instead."""
     import public_tokenizers
@@ -73,11 +85,45 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hand Python at most so many rows at once: documents can be long and workers have little memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+COUNTS = "chunk int, counts binary"
+CHUNKS = 64
+
+
+def packed_counts(total: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A task's counts as ``CHUNKS`` compressed pieces, without empty ones."""
+    per = -(-len(total) // CHUNKS)
+    parts = [(c, total[c * per : (c + 1) * per]) for c in range(CHUNKS)]
+    parts = [(c, zlib.compress(x.astype(np.int64).tobytes(), 1)) for c, x in parts if x.any()]
+    return [c for c, _ in parts], [x for _, x in parts]
+
+
+def summed_counts(pieces: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' counts (``COUNTS``): pieces are added in Spark, the driver gets one table of ``size`` numbers."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, x in rows_of(batch, "chunk", "counts"):
+                sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(x), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    per, out = -(-size // CHUNKS), np.zeros(size, np.int64)
+    for row in pieces.repartition(CHUNKS, "chunk").mapInArrow(add, COUNTS).collect():  # of a fixed size
+        out[row.chunk * per : (row.chunk + 1) * per] += np.frombuffer(zlib.decompress(row.counts), np.int64)
+    return out
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
+    """Hand Python at most so many rows and MB at once: documents can be long and workers have little memory.
+
+    Plans read these settings when they run, so they stay set in the session; smaller ones are left alone.
+    """
+    key, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+    now = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(size).lower())
+    if not now or not 0 < int(now[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= mb << 20:
+        spark.conf.set(size, f"{mb}m")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

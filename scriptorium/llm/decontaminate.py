@@ -11,21 +11,21 @@ windows as a whole and are found on the chain of suffix links.
 Defined cases: null text or text without words has no words and no hits; an
 item without words is no window; an item without id has the empty id; items
 that share an id count once; repeated documents are judged row by row; an
-empty benchmark leaves all documents clean.
+empty benchmark leaves all documents clean; an empty table has no rows; texts of
+any length are scanned whole; further columns, whatever their names, stay.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORD, NOT_ALNUM, U64, bounded_batches, hashed_words, stage, text_buffers
+from .common import ALNUM_WORD, NOT_ALNUM, U64, bounded_batches, fresh, hashed_words, stage, text_buffers
 
 WINDOW = 13
 #: Item words in one automaton; larger benchmarks take several passes.
@@ -158,138 +158,122 @@ def blocks(bench: DataFrame, window: int, block_words: int) -> Iterator[ItemAuto
     yield ItemAutomaton(held, window)
 
 
-FOUND = T.StructType([T.StructField("__n_words", T.LongType()), T.StructField("__spans", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__longest", T.LongType())])
+FOUND = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("longest", T.LongType()), T.StructField("spans", T.BinaryType()), T.StructField("rest", T.StringType()),
+    ]
+)
 
 
-def scanner(shared, text: str):
-    """Add to each row what one block finds, joined with what earlier blocks found (``FOUND``)."""
+def finder(shared, cut: bool):
+    """An Arrow function of a text and of what earlier blocks found: what is found with one block more (``FOUND``)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(text: pa.Array, before: pa.Array | None) -> pa.Array:
         automaton: ItemAutomaton = shared.value
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(text))
-            raw = data.tobytes()
-            n_words, spans, items, longest = [], [], [], []
-            for first, last, places, begins, ends, h in hashed_words(data, offsets, NOT_ALNUM):
-                known = automaton.known(h)
-                # runs of known words within a document
-                start = known.copy()
-                start[1:] &= ~known[:-1]
-                start[places[:-1][places[:-1] < len(h)]] = known[places[:-1][places[:-1] < len(h)]]
-                stop = known.copy()
-                stop[:-1] &= ~known[1:]
-                tail = places[1:] - 1
-                tail = tail[tail >= 0]
-                stop[tail] = known[tail]
-                s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
-                long = (e - s) >= max(automaton.least, 1)
-                s, e = s[long], e[long]
-                owner = np.searchsorted(places, s, "right") - 1
-                found: dict[int, tuple[list, set, int]] = {}
-                for o, a, b in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True):
-                    words = [raw[x:y].lower() for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                    at, names, most = found.get(o, ([], set(), 0))
-                    most = max(most, automaton.stream(words, a - int(places[o]), at, names))
-                    found[o] = (at, names, most)
-                for i in range(last - first):
-                    at, names, most = found.get(i, ((), (), 0))
-                    n_words.append(int(places[i + 1] - places[i]))
-                    spans.append(at)
-                    items.append(names)
-                    longest.append(most)
-            if "__spans" in batch.schema.names:
-                for i, (old, names, most) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__spans", "__items", "__longest")), strict=True)):
-                    spans[i] = [*map(tuple, np.frombuffer(old, np.int64).reshape(-1, 2).tolist()), *spans[i]]
-                    items[i] = {*names, *items[i]}
-                    longest[i] = max(longest[i], most)
-                batch = batch.drop_columns(FOUND.names)
-            columns = [
-                pa.array(n_words, pa.int64()),
-                pa.array([np.array(merged(x), np.int64).tobytes() for x in spans], pa.binary()),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                pa.array(longest, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *FOUND.names])
-
-    return run
-
-
-def scan(docs: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with the ``FOUND`` columns of all items."""
-    context, schema, out = docs.sparkSession.sparkContext, T.StructType([*docs.schema.fields, *FOUND.fields]), None
+        data, offsets = text_buffers(text)
+        raw = data.tobytes()
+        n_words, spans, items, longest = [], [], [], []
+        for first, last, places, begins, ends, h in hashed_words(data, offsets, NOT_ALNUM):
+            known = automaton.known(h)
+            # runs of known words within a document
+            start = known.copy()
+            start[1:] &= ~known[:-1]
+            start[places[:-1][places[:-1] < len(h)]] = known[places[:-1][places[:-1] < len(h)]]
+            stop = known.copy()
+            stop[:-1] &= ~known[1:]
+            tail = places[1:] - 1
+            tail = tail[tail >= 0]
+            stop[tail] = known[tail]
+            s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
+            long = (e - s) >= max(automaton.least, 1)
+            s, e = s[long], e[long]
+            owner = np.searchsorted(places, s, "right") - 1
+            hit: dict[int, tuple[list, set, int]] = {}
+            for o, a, b in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True):
+                words = [raw[x:y].lower() for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                at, names, most = hit.get(o, ([], set(), 0))
+                most = max(most, automaton.stream(words, a - int(places[o]), at, names))
+                hit[o] = (at, names, most)
+            for i in range(last - first):
+                at, names, most = hit.get(i, ((), (), 0))
+                n_words.append(int(places[i + 1] - places[i]))
+                spans.append(at)
+                items.append(names)
+                longest.append(most)
+        if before is not None:
+            for i, (old, names, most) in enumerate(zip(*(before.field(c).to_pylist() for c in ("spans", "items", "longest")), strict=True)):
+                spans[i] = [*map(tuple, np.frombuffer(old, np.int64).reshape(-1, 2).tolist()), *spans[i]]
+                items[i] = {*names, *items[i]}
+                longest[i] = max(longest[i], most)
+        spans = [merged(x) for x in spans]
+        rest = [without(t.as_py(), x) if x else None for t, x in zip(text, spans, strict=True)] if cut else [None] * len(text)
+        columns = [
+            pa.array(n_words, pa.int64()), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+            pa.array(longest, pa.int64()), pa.array([np.array(x, np.int64).tobytes() for x in spans], pa.binary()), pa.array(rest, pa.string()),
+        ]
+        return pa.StructArray.from_arrays(columns, FOUND.names)
+
+    @F.arrow_udf(FOUND)
+    def first_block(text: pa.Array) -> pa.Array:
+        return found(text, None)
+
+    @F.arrow_udf(FOUND)
+    def next_block(text: pa.Array, before: pa.Array) -> pa.Array:
+        return found(text, before)
+
+    return first_block, next_block
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with spans of its words cut out."""
+    raw = text.encode()
+    places = [m.span() for m in ALNUM_WORD.finditer(raw.lower())]
+    for s, e in reversed(spans):
+        raw = raw[: places[s][0]].rstrip() + b" " + raw[places[e - 1][1] :].lstrip()
+    return raw.decode().strip()
+
+
+def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` with what all items find in a struct column (``FOUND``), whose name is returned as well."""
+    context, (name,) = docs.sparkSession.sparkContext, fresh(docs, "found")
+    out, again = docs, False
     for block in blocks(bench, window, block_words):
-        # between passes the rows are written, so that one automaton at a time is held by the workers
-        docs = docs if out is None else stage(out, "decontaminate")
-        out = docs.mapInArrow(scanner(context.broadcast(block), text), schema)
-    return out
-
-
-def hits(spans: bytes) -> int:
-    at = np.frombuffer(spans, np.int64).reshape(-1, 2)
-    return int((at[:, 1] - at[:, 0]).sum())
-
-
-def _report(batches):
-    for batch in batches:
-        n_words = batch.column("__n_words").to_pylist()
-        n_hit = [hits(x) for x in batch.column("__spans").to_pylist()]
-        items = batch.column("__items").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(n_words, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array([len(x) for x in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                pa.array([over(h, n) for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
-                batch.column("__longest"),
-            ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"],
-        )
-
-
-def over(n_hit: int, n_words: int, coverage: int = 20) -> bool:
+        first, following = finder(context.broadcast(block), cut)
+        text = F.col("text").cast("string")
+        if again:
+            # between passes the rows are written, so that one automaton at a time is held by the workers
+            out = stage(out, "decontaminate").withColumn(name, following(text, name))
+        else:
+            out = docs.withColumn(name, first(text))
+        again = True
+    return out, name
+
+
+def over(found: Column, coverage: int = 20) -> Column:
     """The contamination rule: some hit, and hit words are at least 1/coverage of all."""
-    return n_hit > 0 and coverage * n_hit >= n_words
+    return (found["n_hit"] > 0) & (found["n_hit"] * coverage >= found["n_words"])
 
 
 def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: words, hit words, items, digest of the item ids, contaminated, longest match."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
-    return scan(rows, bench, window=window, block_words=block_words).mapInArrow(_report, schema)
-
-
-def scrubber(coverage: int, cut: bool):
-    """Drop rows over the coverage limit; with ``cut``, remove the hit spans from the others."""
-
-    def run(batches):
-        for batch in batches:
-            spans = batch.column("__spans").to_pylist()
-            keep = [not over(hits(x), n, coverage) for x, n in zip(spans, batch.column("__n_words").to_pylist(), strict=True)]
-            out = batch.drop_columns(FOUND.names)
-            if cut and any(spans):
-                texts = out.column("text").to_pylist()
-                for i, x in enumerate(spans):
-                    if x:
-                        raw = texts[i].encode()
-                        places = [m.span() for m in ALNUM_WORD.finditer(raw.lower())]
-                        for s, e in reversed(np.frombuffer(x, np.int64).reshape(-1, 2).tolist()):
-                            raw = raw[: places[s][0]].rstrip() + b" " + raw[places[e - 1][1] :].lstrip()
-                        texts[i] = raw.decode().strip()
-                at = out.schema.get_field_index("text")
-                out = out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    return run
+    rows, name = scan(rows, bench, window, block_words)
+    f = F.col(name)
+    return rows.select(
+        "doc_id", f["n_words"].alias("n_words"), f["n_hit"].alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), over(f).alias("contaminated"), f["longest"].alias("longest_match"),
+    )
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, coverage: int = 20, cut: bool = True, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents under the coverage limit, with their columns; spans of window length or more cut out if ``cut``."""
-    return scan(docs, bench, window=window, block_words=block_words).mapInArrow(scrubber(coverage, cut), docs.schema)
+    rows, name = scan(docs, bench, window, block_words, cut)
+    kept = rows.where(~over(F.col(name), coverage))
+    return kept.select(*(F.coalesce(F.col(name)["rest"], "text").alias(c) if cut and c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go; the others stay as they are."""
+    """Pipeline stage: documents over the coverage limit go; the others stay as they are, short hits included."""
     bounded_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=False)

@@ -12,7 +12,8 @@ locator, and should they differ the contents are kept apart.
 
 Defined cases: null or missing text is the empty text; a null id is below all
 others; rows repeating an id are copies like any other; an empty table gives
-no rows.
+no rows; texts of any length are compared whole; further columns of a stage's
+input stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, new_path, rows_of, stage
+from .common import ascii_lower, bounded_batches, fresh, new_path, rows_of, stage
 
 LANDED = "digest binary, text string, ids array<long>, top long, n long"
 ENTRY = "digest binary, top long, n long, landed long, holder struct<top: long, file: string, row_at: long>"
@@ -143,21 +144,21 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     kept = exact_dedup(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
     kept = stage(kept.groupBy("doc_id", "digest").agg(F.count("*").alias("times")), "kept")
-    return keep_rows(docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower("text"), 256))), kept, ["doc_id", "digest"])
+    return keep_rows(docs, kept, {"doc_id": F.col("doc_id").cast("long"), "digest": F.unhex(F.sha2(ascii_lower("text"), 256))})
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``docs`` whose keys are in ``kept``; of rows that repeat all keys (``times`` > 1) one.
+def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose keys (expressions over ``docs``) are in ``kept``; of rows that repeat all keys (``times`` > 1) one.
 
-    ``kept`` has one row per key.  ``docs`` holds every key but the id as ``__<key>``.
+    ``kept`` has one row per key.  The columns of ``docs`` stay as they are, whatever their names.
     """
-    columns = [c for c in docs.columns if not c.startswith("__")]
-    right = kept.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("times").alias("__times"))
-    on = [F.col(k if k == "doc_id" else f"__{k}").eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    found = docs.join(right, on)
-    once = found.where("__times = 1").select(*columns)
+    own = dict(zip([*keys, "times", "row"], fresh(docs, *(f"{k}_kept" for k in keys), "times_kept", "row_kept"), strict=True))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    right = kept.select(*(F.col(k).alias(own[k]) for k in keys), F.col("times").alias(own["times"]))
+    found = docs.join(right, [e.eqNullSafe(F.col(own[k])) for k, e in keys.items()])
+    once = found.where(F.col(own["times"]) == 1).select(*columns)
     again = (
-        found.where("__times > 1").groupBy(*(f"__k_{k}" for k in keys))
-        .agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")
+        found.where(F.col(own["times"]) > 1).groupBy(*(own[k] for k in keys))
+        .agg(F.min(F.struct(*columns)).alias(own["row"])).select(f"{own['row']}.*")
     )
     return once.unionByName(again)

@@ -4,22 +4,19 @@ The most frequent words of the corpus are compiled into a minimal acyclic
 automaton: equal suffixes share states, and the numbers on a word's arcs add up
 to its rank, which points at its ids.  The automaton is flat arrays in one file
 that Spark hands to every executor, where workers map it into memory and look
-up all distinct words of a batch at once, a letter a step.  Words that it
-does not hold are merged exactly by the tokenizer's own model.  Texts with
-characters beyond plain ones, or that may hold a special token, are encoded by
-the library as a whole, so results equal the library's on every text.
+up all words that a worker has not met before at once, a letter a step.  Words
+that it does not hold are merged exactly by the ranks of the file.  Only texts
+that hold the string of a special token are encoded by the library as a whole.
 
 Defined cases: null text is empty and has no ids; repeated rows and ids are
-coded row by row; an empty table gives no rows (and an empty lexicon).
+coded row by row; an empty table gives no rows (and an empty lexicon); texts of
+any length are coded whole; further columns take no part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
-import os
-import uuid
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -29,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_path, stage, tokenizer_path
-from .merges import Merges
-from .pieces import _LETTERS, UNUSUAL, WORD_SPLIT
+from .pieces import Encoder, PieceTable, Splitter, groups, load, merges
 
 #: Words in the lexicon, and the longest it takes (bytes); both bound the file.
 WORDS, LONGEST = 32_768, 32
@@ -152,67 +148,29 @@ class Lexicon:
         out[short[alive]] = rank[alive]
         return out
 
-    def ids_of(self, rank: int) -> list[int]:
-        return self.ids[self.start[rank] : self.start[rank + 1]].tolist()
+    def ids_of(self, rank: int) -> np.ndarray:
+        return self.ids[self.start[rank] : self.start[rank + 1]]
 
 
-class Known(dict):
-    """Ids by word; a word that is missing gets an empty list, to be filled."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: dict[str, list[int]] = {}
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self[word] = self.new[word] = []
-        return ids
-
-    def take(self) -> dict[str, list[int]]:
-        new, self.new = self.new, {}
-        return new
-
-
-class WordEncoder:
+class WordEncoder(Encoder):
     """Ids of texts as ``encode(text, add_special_tokens=False)`` gives them, and back."""
 
     def __init__(self, path: str, lexicon: Lexicon | None = None) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.lexicon = lexicon
-        self.known = Known()  # words of earlier batches too
-        self.merge = Merges(self.library, _LETTERS, lambda word: [t.id for t in self.library.model.tokenize(word.decode("latin-1").translate(_LETTERS))])
-        n = self.library.get_vocab_size()
-        self.tokens = [self.library.id_to_token(i) or "" for i in range(n)]
-
-    def words(self, text: str) -> list[str] | None:
-        """The words of a plain text; None if only the library can split it."""
-        return None if UNUSUAL.search(text) else WORD_SPLIT.findall(text.lower())
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.known) > 200_000:
-            self.known.clear()
-        ids_of, out = self.known.__getitem__, []
-        for text in texts:
-            words = self.words(text) if text else []
-            out.append([self.library.encode(text, add_special_tokens=False).ids] if words is None else list(map(ids_of, words)))
-        self.fill(self.known.take())
-        return [list(chain.from_iterable(x)) for x in out]
-
-    def fill(self, new: dict[str, list[int]]) -> None:
-        """Ids of new words: from the lexicon, the others merged."""
-        coded, places = [w.encode() for w in new], list(new.values())
-        ranks = self.lexicon.ranks(coded) if self.lexicon else np.full(len(coded), -1)
-        for i in np.flatnonzero(ranks >= 0):
-            places[i] += self.lexicon.ids_of(ranks[i])
+        library = load(path)
+        super().__init__(library, True, "<i4", self.looked_up)
+        self.lexicon, self.merge = lexicon, merges(library)
+        self.tokens = [library.id_to_token(i) or "" for i in range(library.get_vocab_size())]
+
+    def looked_up(self, words: list[bytes], dtype: str) -> list[np.ndarray]:
+        """Ids of words: from the lexicon, of the others merged."""
+        ranks = self.lexicon.ranks(words) if self.lexicon else np.full(len(words), -1)
+        out = [self.lexicon.ids_of(r) if r >= 0 else None for r in ranks.tolist()]
         unseen = np.flatnonzero(ranks < 0).tolist()
-        for i, ids in zip(unseen, self.merge([coded[i] for i in unseen], "<i4"), strict=True):
-            places[i] += ids.tolist()
+        for i, ids in zip(unseen, self.merge([words[i] for i in unseen], dtype), strict=True):
+            out[i] = ids
+        return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The tokens of the ids, special ones too; the file has no decoder, so a space parts them."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
@@ -229,13 +187,30 @@ def word_encoder(path: str, file: str | None = None) -> WordEncoder:
 
 
 def _count(path: str):
+    """text -> words and how often this task met them since it last handed them on."""
+
     def run(batches):
-        encoder = word_encoder(path)
+        split, table, names = Splitter(load(path), True), PieceTable(), []
+        total = np.zeros(1 << 16, np.int64)
+
+        def out():
+            used = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in used.tolist()], pa.binary()).cast(pa.string()), pa.array(total[used], pa.int64())], names=["word", "n"])
+
         for batch in batches:
-            n: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                n.update(encoder.words(text) or () if text else ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+            texts = batch.column(0).to_pylist()
+            for first, last in groups(texts):
+                data, begin, end, _ = split.split([split.plain(t) or "" for t in texts[first:last]])
+                numbers, new = table.numbers(data, begin, end)
+                names += new
+                while len(total) < len(names):
+                    total = np.concatenate([total, np.zeros_like(total)])
+                total += np.bincount(numbers, minlength=len(total))
+                if table.full:
+                    yield out()
+                    table.clear()
+                    names, total = [], np.zeros(1 << 16, np.int64)
+        yield out()
 
     return run
 
@@ -245,23 +220,37 @@ def _level(n):
     return F.when(n <= 1024, n).otherwise(F.lit(1024) + F.floor((F.log2(n) - 10) * 64)).cast("int")
 
 
+def upto(sizes: list[tuple[int, int]], room: int) -> tuple[int | None, int]:
+    """The last key of (key, size) that still fits, and the room that is left."""
+    last = None
+    for key, size in sizes:
+        if size > room:
+            break
+        last, room = key, room - size
+    return last, room
+
+
 def compile_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> str:
     """Count the words of all documents, compile the most frequent, and send the file to the executors.
 
-    A histogram of the counts tells how rare a word may be for at most ``words`` to be taken; words of that
-    count are all in or all out.  Only the histogram, of a few thousand rows whatever the corpus, and the
-    chosen words reach the driver.
+    A histogram of the counts tells which words are frequent enough; of those at the limit, which do not all fit,
+    the ones whose hashes are least are taken, by a second histogram.  Only the histograms, of a few thousand and
+    65,536 rows at most whatever the corpus, and the chosen words reach the driver.
     """
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(_count(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stage(counts.where(F.octet_length("word") <= LONGEST).withColumn("level", _level(F.col("n"))), "words")
-    least, taken = None, 0
-    for level, size in sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True):  # bounded
-        if taken + size > words:
-            break
-        least, taken = level, taken + size
-    top = [] if least is None else counts.where(F.col("level") >= least).select("word").collect()  # at most ``words``
-    chosen = sorted(r.word.encode() for r in top)
+    counts = counts.where(F.octet_length("word") <= LONGEST).select("word", _level(F.col("n")).alias("level"), F.pmod(F.xxhash64("word"), F.lit(1 << 16)).cast("int").alias("hash"))
+    counts = stage(counts, "words")
+    levels = sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True)  # bounded
+    least, room = upto(levels, words)
+    taken = F.lit(False) if least is None else F.col("level") >= least
+    limit = next((x for x, _ in levels if least is None or x < least), None)
+    if limit is not None and room:
+        hashes = counts.where(F.col("level") == limit).groupBy("hash").count().collect()  # bounded
+        last, _ = upto(sorted(map(tuple, hashes)), room)
+        if last is not None:
+            taken = taken | (F.col("level") == limit) & (F.col("hash") <= last)
+    chosen = sorted(r.word.encode() for r in counts.where(taken).select("word").collect())  # at most ``words``
     encoder = word_encoder(path)
     return send(spark, pack(chosen, [x.tolist() for x in encoder.merge(chosen, "<i4")]))
 
@@ -282,7 +271,7 @@ def _digest(path: str, file: str):
         encoder = word_encoder(path, file)
         numbers = [str(i) for i in range(len(encoder.tokens))]
         for batch in batches:
-            ids = encoder.encode(batch.column("text").to_pylist())
+            ids = [x.tolist() for x in encoder.arrays(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -300,7 +289,7 @@ def _encode(path: str, file: str):
     def run(batches):
         encoder = word_encoder(path, file)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoder.encode(batch.column("text").to_pylist()), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(encoder.arrays(batch.column("text").to_pylist())), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
 

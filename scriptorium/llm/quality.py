@@ -15,8 +15,9 @@ unlabelled documents together weigh no more than the labelled rows.
 
 Defined cases: null text is empty; null metadata is a value of its own; labels
 that repeat an id count once (the lowest), unlabelled rows that repeat one count
-each; without labels of both classes
-nothing can be learned, all scores are 0.5 and all documents are kept.
+each, of labelled rows that repeat one that with the least features counts;
+without labels of both classes nothing can be learned, all scores are 0.5 and
+all documents are kept; further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,26 +196,31 @@ def corpus_sums(features: DataFrame, rounds: list[Round], at: tuple[np.ndarray,
     unlabelled = features.where("quality is null").select("text_view", "meta_view")
     # in the order of the tasks, so that sums do not depend on which ends first
     pieces = unlabelled.mapInArrow(add, schema).repartition(PIECES, "piece").sortWithinPartitions("piece", "part")
-    for row in pieces.mapInArrow(merge, schema).toLocalIterator():
+    for row in pieces.mapInArrow(merge, schema).collect():  # one vector of a fixed size
         out[row.piece * per : (row.piece + 1) * per] = np.frombuffer(row.sums)
     return out[:n]
 
 
 def refit(features: DataFrame, both: tuple[np.ndarray, np.ndarray], y: np.ndarray, rounds: list[Round], weight: float, l2: float = 1.0, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Newton steps of both views over labelled rows and all that the corpus was taught, from the last weights."""
-    ws = list(rounds[-1].weights)
-    for _ in range(steps):
-        sums, first, most = corpus_sums(features, rounds, tuple(ws)), 0, 0.0
-        for v, x in enumerate(both):
-            x, d, w = x.astype(np.float64), x.shape[1], ws[v]
+    """Newton steps of both views from the last weights.
+
+    The loss of labelled rows is exact; that of all the corpus was taught is taken to second order around the last
+    weights, so that a round reads the features once.
+    """
+    sums, first, out = corpus_sums(features, rounds, rounds[-1].weights), 0, []
+    for x, start in zip(both, rounds[-1].weights, strict=True):
+        x, d, w = x.astype(np.float64), x.shape[1], start
+        slope, bend = sums[first : first + d], sums[first + d : first + d + d * d].reshape(d, d)
+        first += d + d * d
+        for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            slope = x.T @ (p - y) + l2 * w + weight * sums[first : first + d]
-            bend = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(d) + weight * sums[first + d : first + d + d * d].reshape(d, d)
-            step = np.linalg.solve(bend, slope)
-            ws[v], first, most = w - step, first + d + d * d, max(most, np.abs(step).max())
-        if most < 1e-3:
-            break
-    return ws[0], ws[1]
+            down = x.T @ (p - y) + l2 * w + weight * (slope + bend @ (w - start))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(d) + weight * bend, down)
+            w = w - step
+            if np.abs(step).max() < 1e-6:
+                break
+        out.append(w)
+    return out[0], out[1]
 
 
 def co_train(features: DataFrame, text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, per_round: float = 0.1) -> CoTrained | None:
@@ -272,42 +278,39 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         .join(F.broadcast(known), "doc_id", "left")
     )
     features = stage(rows.mapInArrow(featured, FEATURES), "features")
-    got = features.where("quality is not null").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    # of labelled rows that repeat an id that with the least features, so that the model does not depend on their order
+    got = features.where("quality is not null").groupBy("doc_id", "quality").agg(F.min(F.struct("text_view", "meta_view")).alias("v"))
+    got = got.select("doc_id", "quality", "v.text_view", "v.meta_view").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
     return co_train(features, *unpacked(got), np.array([int(q > 0) for q in got.column("quality").to_pylist()]))
 
 
-SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("__p_text", "__p_meta", "__score")])
+SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "score")])
 
 
-def scorer(model: CoTrained | None):
-    """Add the three probabilities to each row."""
-
-    def run(batches):
-        for batch in batches:
-            if model is None:
-                scores = [np.full(batch.num_rows, 0.5)] * 3
-            else:
-                scores = model.score(*views(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.asarray(s, np.float64)) for s in scores)], names=[*batch.schema.names, *SCORES.names])
-
-    return run
+def scored(docs: DataFrame, model: CoTrained | None) -> Column:
+    """The three probabilities of a row as a struct; only the columns that are looked at go through Python."""
 
+    @F.arrow_udf(SCORES)
+    def probabilities(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        if model is None:
+            found = [np.full(len(text), 0.5)] * 3
+        else:
+            found = model.score(text_view(text), meta_view(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist()))
+        return pa.StructArray.from_arrays([pa.array(np.asarray(x, np.float64)) for x in found], SCORES.names)
 
-def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    return docs.mapInArrow(scorer(model), T.StructType([*docs.schema.fields, *SCORES.fields]))
+    return probabilities(docs["text"].cast("string"), docs["lang"].cast("string"), docs["source"].cast("string"), docs["n_chars"].cast("long"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """doc_id, p_text, p_meta, score and keep for every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    out = score(rows, train(docs, labels))
-    return out.select("doc_id", F.col("__p_text").alias("p_text"), F.col("__p_meta").alias("p_meta"), F.col("__score").alias("score"), (F.col("__score") >= keep_at).alias("keep"))
+    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), scored(docs, train(docs, labels)).alias("s"))
+    return out.select("doc_id", "s.p_text", "s.p_meta", "s.score", (F.col("s.score") >= keep_at).alias("keep"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are more likely bad than good go."""
     bounded_batches(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where(F.col("__score") >= KEEP_AT).select(*docs.columns)
+    return docs.where(scored(docs, model)["score"] >= KEEP_AT)

@@ -1,29 +1,34 @@
 """Minimum-cost-flow resharding.
 
-The corpus is cut into blocks by text hash within each old shard, so equal
-texts share a block; blocks are bounded in number, and only their byte sums
-reach the driver.  A minimum-cost flow from old shard sizes to new capacities
-(keeping bytes in place is free, moving one costs 1) says how many bytes go
-where; whole blocks are then assigned to these flows.  A block is split by
-document id only if it alone exceeds a shard.  Rows are rewritten in ranges of
-(shard, doc_id), so that no task gets a whole shard, and numbered from the
+The corpus lies in files below ``shard=<n>`` folders.  It is cut into blocks by
+text hash within each old shard, so equal texts share a block; blocks are bounded
+in number, and only their byte sums reach the driver.  A minimum-cost flow from
+old shard sizes to new capacities (keeping bytes in place is free, moving one
+costs 1) says how many bytes go where; whole blocks are then assigned to these
+flows, and the small differences that whole blocks leave are evened out, at no
+cost where possible.  A block that exceeds a shard is cut by a second hash of the
+text, and only a text that by itself exceeds a shard by document id.  The shards
+that gain or lose rows are rewritten in ranges of (shard, doc_id), so that no task
+gets a whole shard; the others keep their files.  Rows are numbered from the
 files: place in the file plus the rows of the shard's earlier files.
 
 The law is ``bytes``: shard sizes are near equal.  A row's size is the UTF-8
 length of its text (null: none) plus 1.
 
 Defined cases: a null id sorts first and is placed by its text; repeated rows
-are rows of their own; an empty table has no rows and no files.
+are rows of their own; an empty table has no rows and no files; texts of any
+length are one row; further columns stay, whatever their names, but ``shard``,
+which is the layout's own.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
+from .common import fresh, new_path, stage
 
 SHARDS, OLD_SHARDS, BLOCKS = 16, 12, 12_288
 
@@ -86,7 +91,8 @@ def plan(blocks: list[tuple[int, int, int]], capacities: list[int], rounds: int
         else:
             quota[s][j] -= size
         out[s, b], held[j] = j, held[j] + size
-    # rounding to whole blocks leaves small differences: move small blocks from the fullest to the emptiest
+    # rounding to whole blocks leaves small differences: move small blocks from the fullest to the emptiest,
+    # those first that thereby come home, then those that are not at home anyway
     inside = defaultdict(list)
     for s, b, size in blocks:
         inside[out[s, b]].append((size, s, b))
@@ -97,7 +103,7 @@ def plan(blocks: list[tuple[int, int, int]], capacities: list[int], rounds: int
         fit = [x for x in inside[hi] if 0 < x[0] < 2 * want]
         if not fit:
             break
-        best = min(fit, key=lambda x: abs(x[0] - want))
+        best = min(fit, key=lambda x: ((x[1] != lo) - (x[1] != hi), abs(x[0] - want)))
         inside[hi].remove(best)
         inside[lo].append(best)
         out[best[1], best[2]] = lo
@@ -110,73 +116,95 @@ def uneven(crc: Column, shards: int) -> Column:
     return F.least(F.floor((F.sqrt(1 + F.lit(4.0 * shards * (shards + 1)) * (crc / float(1 << 32))) - 1) / 2), F.lit(shards - 1)).cast("int")
 
 
-def placed(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with ``shard``; the plan holds at most ``BLOCKS`` blocks an old shard row, whatever the corpus."""
+#: Parts of a block that exceeds a shard: whole texts by hash, and single texts that exceed a shard by doc_id.
+PARTS = 64
+
+
+def placed(docs: DataFrame, old: Column, shards: int = SHARDS, name: str = "to") -> DataFrame:
+    """``docs`` with the new shard of each row in a column ``name``; the plan has some ``BLOCKS`` rows, whatever the corpus."""
     spark = docs.sparkSession
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
-    old = uneven(crc, OLD_SHARDS) if old_shard is None else old_shard
-    block = F.pmod(F.xxhash64(crc), F.lit(BLOCKS // OLD_SHARDS)).cast("int")
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(64)).cast("int")
-    keyed = docs.withColumns({"__old": old, "__block": block, "__part": part, "__size": size})
-    sums = keyed.groupBy("__old", "__block").agg(F.sum("__size").alias("bytes")).collect()  # bounded by BLOCKS
-    total = sum(r.bytes for r in sums)
+    was, block, part, size, whole, to, own, key = fresh(docs.withColumn(name, F.lit(0)), "was", "block", "part", "size", "whole", "to_shard", "own", "key")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    by_text, by_id = F.xxhash64(text), F.xxhash64(F.col("doc_id").cast("string"))
+    # another hash than that of the old layout, so that blocks of a shard are even
+    keyed = docs.withColumns({was: old.cast("int"), block: F.pmod(by_text, F.lit(BLOCKS // OLD_SHARDS)).cast("int"), size: F.octet_length(text).cast("long") + 1})
+    sums = [(r[was], r[block], r.bytes) for r in keyed.groupBy(was, block).agg(F.sum(size).alias("bytes")).collect()]  # bounded by BLOCKS
+    total = sum(n for *_, n in sums)
     capacities = [total // shards + (j < total % shards) for j in range(shards)]
-    whole = [(r["__old"], r["__block"], r.bytes) for r in sums if r.bytes <= max(capacities, default=0)]
-    large = {(r["__old"], r["__block"]) for r in sums if r.bytes > max(capacities, default=0)}
-    parts = []
-    if large:  # fewer than ``shards``, as each holds more than a shard
-        wanted = F.broadcast(spark.createDataFrame(sorted(large), "`__old` int, `__block` int"))
-        parts = keyed.join(wanted, ["__old", "__block"]).groupBy("__old", "__block", "__part").agg(F.sum("__size").alias("bytes")).collect()
-    unit = {(s, b): (s, b * 64) for s, b, _ in whole}
-    blocks = [(s, b * 64, n) for s, b, n in whole] + [(r["__old"], r["__block"] * 64 + r["__part"], r.bytes) for r in parts]
-    chosen = plan(blocks, capacities)
-    rows = [(s, b, p, j) for (s, u), j in chosen.items() for b, p in [(u // 64, None if (s, u // 64) in unit else u % 64)]]
-    to = spark.createDataFrame(rows, "o int, b int, p int, shard int")
-    on = (F.col("__old") == F.col("o")) & (F.col("__block") == F.col("b"))
-    same_part = F.col("p").isNull() | (F.col("p") == F.col("__part"))
-    return keyed.join(F.broadcast(to), on & same_part).drop("o", "b", "p", "__block", "__part")
+    most = max(capacities, default=0)
+    blocks = [(s, b * 4 * PARTS, n) for s, b, n in sums if n <= most]
+    large = sorted((s, b) for s, b, n in sums if n > most)  # fewer than ``shards``
+    unit = F.lit(0)
+    if large:
+        in_large = F.struct(was, block).isin([F.struct(F.lit(s), F.lit(b)) for s, b in large])
+        inside = keyed.where(in_large).withColumn(own, by_text)
+        alone = [r[own] for r in inside.groupBy(own).agg(F.sum(size).alias("bytes")).where(F.col("bytes") > most).select(own).collect()]  # fewer than ``shards``
+        part_of = 1 + F.pmod(F.shiftright(by_text, 20), F.lit(PARTS))
+        if alone:
+            part_of = F.when(by_text.isin(alone), 2 * PARTS + F.pmod(by_id, F.lit(PARTS))).otherwise(part_of)
+        unit = F.when(in_large, part_of).otherwise(unit)
+        cut = inside.withColumn(part, part_of).groupBy(was, block, part).agg(F.sum(size).alias("bytes")).collect()  # 2 * PARTS * shards at most
+        blocks += [(r[was], r[block] * 4 * PARTS + r[part], r.bytes) for r in cut]
+    rows = [(s, u, j) for (s, u), j in plan(blocks, capacities).items()]
+    chosen = spark.createDataFrame(rows, f"`{own}` int, `{key}` int, `{to}` int")
+    on = (F.col(was) == F.col(own)) & (F.col(block) * 4 * PARTS + unit.cast("int") == F.col(key))
+    return keyed.join(F.broadcast(chosen), on).select(*(F.col(f"`{c}`") for c in docs.columns), F.col(to).alias(name))
 
 
 def rewrite(rows: DataFrame, root: str) -> None:
     """Write the rows of each shard (column ``shard``) in doc_id order; large shards over many tasks."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "shard", "doc_id").sortWithinPartitions("shard", "doc_id")
+    # equal ids are parted by their size
+    dealt = rows.repartitionByRange(n, "shard", "doc_id", F.octet_length("text")).sortWithinPartitions("shard", "doc_id")
     dealt.write.option("compression", "zstd").partitionBy("shard").parquet(root)
 
 
-def reshard(spark, old_root: str, new_root: str, shards: int) -> DataFrame:
+def reshard(spark: SparkSession, old_root: str, new_root: str, shards: int, schema: str | None = None) -> DataFrame:
     """Move a sharded table (``shard=<n>`` folders) to a new shard count, rewriting affected shards only.
 
-    Returns shard and folder of the new layout: untouched shards keep their old folder.
+    Returns shard and folder of the new layout, a row a shard: untouched shards keep their old folder.
     """
-    table = spark.read.parquet(old_root)
-    moved = placed(table.withColumnRenamed("shard", "was"), F.col("was").cast("int"), shards)
-    gone = stage(moved.where("was <> shard").select("was", "shard").distinct(), "moves")  # at most old x new rows
-    affected = gone.select(F.col("was").alias("shard")).union(gone.select("shard")).distinct()
-    rewrite(moved.drop("was", "__old", "__size").join(F.broadcast(affected), "shard"), new_root)
-    kept = table.select("shard").distinct().join(affected, "shard", "left_anti").select(F.col("shard").cast("int"), F.lit(old_root).alias("root"))
-    return kept.unionByName(affected.select(F.col("shard").cast("int"), F.lit(new_root).alias("root")))
+    table = spark.read.schema(schema).parquet(old_root) if schema else spark.read.parquet(old_root)
+    (to,) = fresh(table, "to")
+    moved = placed(table, F.col("shard"), shards, to)
+    pairs = stage(moved.select("shard", F.col(to).alias("into")).distinct(), "moves")  # at most old x new rows
+    gone = pairs.where("shard <> into")
+    affected = gone.select("shard").union(gone.select("into")).distinct()
+    mine = moved.drop("shard").withColumnRenamed(to, "shard")
+    rewrite(mine.join(F.broadcast(affected), "shard"), new_root)
+    kept = pairs.where("shard = into").select("shard").join(affected, "shard", "left_anti").select("shard", F.lit(old_root).alias("root"))
+    return stage(kept.unionByName(affected.join(pairs.select(F.col("into").alias("shard")).distinct(), "shard").select("shard", F.lit(new_root).alias("root"))), "layout")
+
+
+TABLE = "doc_id long, text string, shard int"
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Place all documents, write the shards, and report each row from the files."""
+    """Lay all documents out in ``OLD_SHARDS`` uneven shards, reshard them, and report each row from the files."""
     spark = docs.sparkSession
-    root = new_path(spark, "shards")
-    rows = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shards=shards)
-    rewrite(rows.select("doc_id", "text", "shard"), root)
-    back = spark.read.schema("doc_id long, text string, shard int").parquet(root).select("doc_id", "text", "shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
+    old_root, new_root = new_path(spark, "old-shards"), new_path(spark, "shards")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows.withColumn("shard", uneven(F.crc32(text.cast("binary")), OLD_SHARDS)).write.option("compression", "zstd").partitionBy("shard").parquet(old_root)
+    layout = [tuple(r) for r in reshard(spark, old_root, new_root, shards, TABLE).collect()]  # a row a shard
+    back = None
+    for root in (old_root, new_root):
+        own = [s for s, r in layout if r == root]
+        part = spark.read.schema(TABLE).parquet(root).where(F.col("shard").isin(own) if own else F.lit(False))
+        part = part.select("doc_id", "text", "shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        back = part if back is None else back.unionByName(part) if own else back
+    order = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
     files = stage(back.groupBy("shard", "file").agg(F.count("*").alias("n")), "shard-files")
-    earlier = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("shard").orderBy(order, "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))  # a row a file
-    text = F.coalesce("text", F.lit(""))
+    crc = F.crc32(text.cast("binary"))
     return back.join(bases, "file").select(
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        crc.alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
         (F.col("base") + F.col("at")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        uneven(crc, OLD_SHARDS).alias("old_shard"),
     )

@@ -1,7 +1,7 @@
 """Token files: ids under a canonical, length-limited Huffman code.
 
 1. Documents are encoded; each ends with the id 0.  The ids are staged packed,
-   and counted over the whole corpus.
+   with each task's counts of them, whose sums are those of the whole corpus.
 2. Package-merge gives the code lengths (at most ``LIMIT`` bits), from which the
    canonical code follows; the table has the size of the vocabulary.
 3. Packed ids are dealt by ranges of doc_id (dealing samples its input, which so is
@@ -16,8 +16,9 @@ Files carry a name of their own for each attempt; only those that the committed
 index names count, so a lost executor leaves no doubt.
 
 Defined cases: null text is empty and has the single id 0; a null doc_id sorts
-first; repeated ids stay in any order beside each other; an empty table gives
-no files and no rows.
+first; rows that repeat an id stand beside each other, ordered by their tokens;
+an empty table gives no files and no rows; further columns take no part; texts
+of any length are one document.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, rows_of, stage, tokenizer_path
+from .common import new_path, packed_counts, rows_of, stage, summed_counts, tokenizer_path
 from .pieces import byte_encoder
 
 MAGIC = b"HUFTOK01"
@@ -107,8 +108,10 @@ class Code:
         n_bytes = (bit[ends] - bit[first] + 7) // 8
         starts = np.concatenate([[0], np.cumsum(n_bytes)])
         at = bit[:-1] + np.repeat(starts[:-1] * 8 - bit[first], ends - first)
-        wide = self.codes[ids].astype(np.int64) << (32 - size - (at & 15))
-        words = np.bincount(at >> 4, wide >> 16, int(starts[-1] // 2 + 2)) + np.bincount((at >> 4) + 1, wide & 0xFFFF, int(starts[-1] // 2 + 2))
+        # a code of up to 17 bits touches two words of 16, a longer one three
+        reach = 2 if self.width <= 17 else 3
+        wide = self.codes[ids].astype(np.int64) << (16 * reach - size - (at & 15))
+        words = sum(np.bincount((at >> 4) + i, (wide >> 16 * (reach - 1 - i)) & 0xFFFF, int(starts[-1] // 2 + reach)) for i in range(reach))
         return words.astype(">u2").view(np.uint8), starts, at
 
     def decode(self, data: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,24 +132,25 @@ class Code:
         return out
 
 
-def _encode(path: str, dtype: str):
-    def run(batches):
-        encode = byte_encoder(path)
-        for batch in batches:
-            end = np.array([END], dtype).tobytes()
-            ids = [ids + end for ids in encode.packed(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+ENCODED = "doc_id long, tie long, ids binary, chunk int, counts binary"
 
-    return run
 
+def _encode(path: str, dtype: str, vocabulary: int):
+    """doc_id, text -> the ids of each document and a number that orders rows of equal doc_id; and this task's counts."""
 
-def _count(dtype: str, vocabulary: int):
     def run(batches):
-        total = np.zeros(vocabulary, np.int64)
+        encode, total, end = byte_encoder(path), np.zeros(vocabulary, np.int64), np.array([END], dtype).tobytes()
+        names, kinds = [f.split()[0] for f in ENCODED.split(", ")], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+            found = list(encode.arrays(batch.column("text").to_pylist()))
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=vocabulary)
+                total[END] += len(found)
+            ids = [x.tobytes() + end for x in found]
+            columns = [batch.column("doc_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(ids), k) for k in kinds[3:])], names=names)
+        chunks, counts = packed_counts(total)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(chunks), k) for k in kinds[:3]), pa.array(chunks, kinds[3]), pa.array(counts, kinds[4])], names=names)
 
     return run
 
@@ -212,12 +216,11 @@ def write(docs: DataFrame, root: str, tokenizer: str | None = None) -> DataFrame
     spark, path = docs.sparkSession, tokenizer or tokenizer_path("byte_bpe_50k.json")
     vocabulary, dtype = byte_encoder(path).vocabulary, byte_encoder(path).dtype
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    staged = stage(rows.mapInArrow(_encode(path, dtype), "doc_id long, ids binary"), "ids")
-    counts = np.zeros(vocabulary, np.int64)  # of the vocabulary's size, whatever the corpus
-    for i, n in staged.select("ids").mapInArrow(_count(dtype, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():
-        counts[i] = n
-    lengths = spark.sparkContext.broadcast(code_lengths(counts))
-    dealt = staged.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
+    staged = stage(rows.mapInArrow(_encode(path, dtype, vocabulary), ENCODED), "ids")
+    counts = summed_counts(staged.where("chunk is not null").select("chunk", "counts"), vocabulary)
+    lengths = spark.sparkContext.broadcast(code_lengths(counts))  # a byte for each id of the vocabulary
+    coded = staged.where("chunk is null").select("doc_id", "tie", "ids")
+    dealt = coded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return stage(dealt.mapInArrow(_write(root, lengths, dtype), INDEX), "token-index")
 
 
@@ -288,14 +291,8 @@ def read(spark: SparkSession, index: DataFrame, root: str) -> DataFrame:
     return dealt.mapInArrow(_read(root), "doc_id long, start long, n_tokens long, ids binary")
 
 
-def _crc(batches):
-    for batch in batches:
-        crc = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write the files, read them back and digest what was read."""
     root = new_path(docs.sparkSession, "token-files")
     index = write(docs, root, tokenizer)
-    return read(docs.sparkSession, index, root).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(docs.sparkSession, index, root).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bottomk, common, decontaminate, exact_dedup, lexicon, quality, reshard, token_counts, token_files, toxicity, warc
+from scriptorium.llm import bottomk, common, decontaminate, exact_dedup, lexicon, pieces, quality, reshard, token_counts, token_files, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i}" for i in range(400))
@@ -243,3 +243,143 @@ def test_hash_defeating_words_stay_apart(spark):
     rows = [(9001, word), (9002, word.translate(str.maketrans("ab", "ba"))), (9003, word.upper()), (9004, f"{word} {word}")]
     got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
     assert got == brute_components(rows, 2, 80, 100)
+
+
+ODD = ["’quoted’ “text” — dash… • €5", "日本語の文章です。", "Привет, мир! Ещё раз", "مرحبا بالعالم", "emoji 😀👍🏽 here", "ΟΔΥΣΣΕΥΣ Σ σς", "İstanbul ß ﬁ ²³½ Ⅷ", "école İ x　y\x85z",
+       "don't 'tis it's'll '' 's 'S they'Re", "  two  spaces \n\n\t x  ", "a1b22c ３٣", "_under_ score!?!", "<|endoftext|> mid <|endoftext|>", "x" * 100 + " " + "é" * 60, "", None, "\0\0 \x1c\x1f"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoders_equal_the_library(name):
+    path = common.tokenizer_path(name)
+    encoder = pieces.byte_encoder(path) if name.startswith("byte") else lexicon.WordEncoder(path)
+    r = np.random.default_rng(3)
+    letters = list("abst'''   \n1!_éßΣ½本“’") + ["'re", "'ll", "'s"]
+    texts = ODD + ["".join(r.choice(letters, int(r.integers(0, 30)))) for _ in range(3000)]
+    expected = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.arrays(texts)] == expected
+    assert encoder.lengths(texts).tolist() == [len(x) for x in expected]
+    assert sum(encoder.splitter.plain(t) is None for t in ODD) == 1  # only special tokens fall back
+
+
+def test_large_vocabularies_round_trip():
+    r = np.random.default_rng(1)
+    ids = np.concatenate([np.arange(200_000), r.integers(0, 200_000, 5000)])
+    code = token_files.Code(token_files.code_lengths(np.bincount(ids)))
+    ends = np.array([100_000, len(ids)])
+    data, starts, bit = code.encode(ids, ends)
+    assert (code.decode(np.frombuffer(data.tobytes(), np.uint8), bit[np.array([0, 100_000])], np.array([100_000, len(ids) - 100_000])) == ids).all()
+
+
+def test_ties_fill_the_lexicon(spark):
+    from pathlib import Path
+
+    from pyspark import SparkFiles
+
+    rows = [(i, " ".join("".join(chr(97 + (j // 26**k) % 26) for k in range(4)) for j in range(i * 100, i * 100 + 100))) for i in range(40)]
+    name = lexicon.compile_lexicon(spark.createDataFrame(rows, "doc_id long, text string"), common.tokenizer_path("word_bpe_49k.json"), words=3000)
+    assert 2900 <= len(lexicon.Lexicon(str(Path(SparkFiles.getRootDirectory()) / name)).start) - 1 <= 3000
+
+
+def test_token_counts_brute_force(docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json"))
+    sizes = sorted(len(library.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in ROWS)
+    rows = token_counts.token_counts(docs)
+    for r in rows.collect():
+        up = [n for n in sizes if n <= r.n_tokens]
+        assert (r.docs, r.docs_up_to, r.tokens_up_to, r.docs_over, r.tokens_over) == (sizes.count(r.n_tokens), len(up), sum(up), len(sizes) - len(up), sum(sizes) - sum(up))
+        assert r.truncated_total == sum(min(n, r.n_tokens) for n in sizes) and r.share_up_to == len(up) / len(sizes)
+    for q in (0.1, 0.5, 0.99, 1.0):
+        assert token_counts.quantile(rows, q).first().n_tokens == next(n for n in sizes if sum(x <= n for x in sizes) >= q * len(sizes))
+
+
+def test_equal_texts_share_a_shard(spark):
+    # one text exceeds a shard; all groups of ten stay together, also those that share its block
+    rows = [(i, "hot " * 20) for i in range(3000)] + [(10_000 + 10 * g + c, f"text {g} of ten copies") for g in range(1500) for c in range(10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = reshard.shard_documents(table).collect()
+    held, groups, moved, size = defaultdict(int), defaultdict(set), 0, defaultdict(int)
+    text = dict(rows)
+    for r in got:
+        t = text[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t) + 1, zlib.crc32(t), "bytes", None)
+        held[r.shard] += r.size
+        size[r.old_shard] += r.size
+        moved += r.size * (r.old_shard != r.shard)
+        groups[r.text_crc32].add(r.shard)
+    assert len(got) == len(rows) and sorted(held) == list(range(16))
+    assert [c for c, s in groups.items() if len(s) > 1] == [zlib.crc32(b"hot " * 20)]
+    total = sum(held.values())
+    assert max(held.values()) - min(held.values()) < 0.02 * total / 16
+    best = sum(f for (i, j), f in reshard.flows(size, [total // 16 + (j < total % 16) for j in range(16)]).items() if i != j)
+    assert best <= moved <= 1.02 * best
+
+
+def test_untouched_shards_keep_their_files(spark, tmp_path):
+    old, new = f"file://{tmp_path}/old", f"file://{tmp_path}/new"
+    rows = [(i, f"t{i % 50:03d}", "was", i % 4 if i < 300 else 3) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `to` string, shard int")
+    table.write.partitionBy("shard").parquet(old)
+    layout = {r.shard: r.root for r in reshard.reshard(spark, old, new, 4).collect()}
+    assert set(layout) == {0, 1, 2, 3}
+    back = [r for root in (old, new) for r in spark.read.option("basePath", root).parquet(root).collect() if layout[r.shard] == root]
+    assert sorted(r.doc_id for r in back) == list(range(400)) and {r.to for r in back} == {"was"}
+    again = {r.shard: r.root for r in reshard.reshard(spark, new, f"{new}2", 4).collect()} if set(layout.values()) == {new} else {new: new}
+    assert set(again.values()) == {new}
+
+
+CLASHES = ["__spans", "__score", "__digest", "o", "b", "p", "found", "row_kept", "doc_id_kept", "__k_doc_id", "times_kept", "n_words", "value", "digest", "shard2", "quality"]
+
+
+@pytest.mark.parametrize("stage", ["quality_stage", "dedup_stage", "near_stage", "decontaminate_stage"])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, stage):
+    rows = [(*r, *(f"{c}{r[0]}" for c in CLASHES)) for r in [*ROWS, (None, None, None, None, None), (7, "two words", "en", "s1", 9)]]
+    table = spark.createDataFrame(rows, DOCS + "".join(f", `{c}` string" for c in CLASHES))
+    spark.createDataFrame([(1, LONG[:200]), (2, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0), (7, 0, 1), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    run = {f.__name__: f for f in (quality.quality_stage, exact_dedup.dedup_stage, bottomk.near_stage, decontaminate.decontaminate_stage)}[stage]
+    out = run(spark, table, f"file://{tmp_path}")
+    assert out.columns == table.columns
+    got = out.collect()
+    assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHES)
+    assert run(spark, table.limit(0), f"file://{tmp_path}").isEmpty()
+
+
+def test_spans_are_cut_below_the_coverage(spark):
+    item = [f"b{i}" for i in range(15)]
+    clean = [f"c{i}" for i in range(400)]
+    rows = [(1, " ".join([*clean[:200], *item, *clean[200:]])), (2, " ".join([*clean[:50], *item])), (3, " ".join(clean)), (4, None)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: " ".join(clean), 3: " ".join(clean), 4: None}
+
+
+def test_decontamination_brute_force(spark):
+    import re
+
+    r = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(12)] + ["É", "x-y"]
+    items = [(i, " ".join(r.choice(words, int(r.integers(0, 30))))) for i in range(60)] + [(3, "w1 w2"), (None, "w3 w4 w5")]
+    texts = [" ".join(r.choice(words, int(r.integers(0, 60)))) for _ in range(100)]
+    texts += [f"{items[i][1].upper()} zz {' '.join(r.choice(words, 5))}" for i in range(40)] + [None, ""]
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = find(t)
+        for k in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[k : k + 13])].add("" if i is None else str(i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (40, 10**6):
+        got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in decontaminate.report(table, bench, block_words=block).collect()}
+        for d, t in enumerate(texts):
+            w, hit, names = find(t), set(), set()
+            for win, own in windows.items():
+                for k in range(len(w) - len(win) + 1):
+                    if tuple(w[k : k + len(win)]) == win:
+                        hit |= set(range(k, k + len(win)))
+                        names |= own
+            digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+            assert got[d] == (len(w), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(w)), (block, d)
