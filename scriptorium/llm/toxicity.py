@@ -1,21 +1,23 @@
 """Toxicity as ordinal severity: cumulative-link logistic regression on sparse words.
 
 P(grade <= j) = logistic(theta_j - x w): one weight vector for all ordered
-thresholds.  x holds log counts of the words that set toxic and clean labelled
-documents apart.  The labels say only whether a document is toxic, so toxic
-ones are graded 1 to ``GRADES`` by how many marker words they hold, at the
-quantiles of the labelled toxic documents; a label table that carries grades
-can be passed as it is.  The model is fitted on a bounded sample (labelled
-documents whose ids hash lowest, ``max_labelled``); every document is then
-scored, whole text, where it lies, with its expected severity.
+thresholds.  x holds log counts of the words, and of the first few bytes of
+words, that set toxic and clean labelled documents apart.  Labels are grades, 0
+(clean) and up; labels of 0 and 1 have one threshold, and no levels are made up
+for them.  The model is fitted on a bounded sample (labelled documents whose ids
+hash lowest, ``max_labelled``); every document is then scored, whole text, where
+it lies, with its expected severity.
 
 Defined cases: null text has no words; labels that repeat an id count once (the
-highest); without toxic and clean labels nothing can be learned and all
-severities are 0.
+highest), documents that repeat one count by the least of their features;
+without toxic and clean labels nothing can be learned and all severities are 0;
+an empty table has no rows; texts of any length are scored whole; further
+columns take no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,17 +25,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, U64, hashed_words, stage, text_buffers
+from .common import NOT_ALNUM, U64, hashed_words, mix, stage, text_buffers
 
-MAX_LABELLED, FEATURES, GRADES = 8000, 512, 3
+MAX_LABELLED, FEATURES = 8000, 1024
+#: Bytes of the beginnings of longer words that are features too.
+STEMS = (4, 5, 6)
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+
+
+def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of some texts at a time: first text, last text + 1, and of each word and beginning of a word its text and hash."""
+    data, offsets = text_buffers(column)
+    lower = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", lower, strides=(1,))
+    for first, last, places, begins, ends, h in hashed_words(data, offsets, NOT_ALNUM):
+        owner = np.repeat(np.arange(last - first), np.diff(places))
+        owners, hashes = [owner], [h]
+        for n in STEMS:
+            longer = ends - begins > n
+            with np.errstate(over="ignore"):
+                hashes.append(mix((eight[begins[longer]] & U64((1 << 8 * n) - 1)) + U64(n << 56)))
+            owners.append(owner[longer])
+        yield first, last, np.concatenate(owners), np.concatenate(hashes)
 
 
 def word_counts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct word hashes of each text and their counts."""
+    """Distinct feature hashes of each text and their counts."""
     out = []
-    for first, last, places, _, _, h in hashed_words(*text_buffers(column), NOT_ALNUM):
-        for i in range(last - first):
-            out.append(np.unique(h[places[i] : places[i + 1]], return_counts=True))
+    for first, last, owner, h in features(column):
+        order = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[order], np.arange(last - first + 1))
+        h = h[order]
+        out += [np.unique(h[ends[i] : ends[i + 1]], return_counts=True) for i in range(last - first)]
     return out
 
 
@@ -82,8 +105,8 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 2e-4, ste
     return p[:k], p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))])
 
 
-def choose(hashes: list[np.ndarray], toxic: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words with the largest evidence either way (ascending hash), and which of them mark toxic texts."""
+def choose(hashes: list[np.ndarray], toxic: np.ndarray, features: int) -> np.ndarray:
+    """Words with the largest evidence either way (ascending hash)."""
     every, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     owner = np.repeat(toxic, [len(h) for h in hashes])
     pos = np.bincount(inverse, owner, len(every))
@@ -91,8 +114,7 @@ def choose(hashes: list[np.ndarray], toxic: np.ndarray, features: int) -> tuple[
     a, b = toxic.sum(), (~toxic).sum()
     odds = np.log((pos + 0.5) / (a - pos + 0.5)) - np.log((neg + 0.5) / (b - neg + 0.5))
     strength = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) * (pos + neg >= 3)
-    top = np.sort(np.argsort(-strength, kind="stable")[:features])
-    return every[top], (odds[top] > 2) & (pos[top] >= 3)
+    return every[np.sort(np.argsort(-strength, kind="stable")[:features])]
 
 
 def counts_of(rows: list[tuple[np.ndarray, np.ndarray]], words: np.ndarray) -> np.ndarray:
@@ -105,22 +127,20 @@ def counts_of(rows: list[tuple[np.ndarray, np.ndarray]], words: np.ndarray) -> n
     return x
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED, features: int = FEATURES, grades: int = GRADES) -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED, features: int = FEATURES) -> Ordinal | None:
+    """Fit on the grades in ``label``, 0 and up; negative ones count as 0."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("grade"))
     known = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "sample")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    got = rows.select("doc_id", "grade", "text").mapInArrow(_sample, "doc_id long, grade int, words binary, counts binary").toArrow().sort_by("doc_id")
-    y = got.column("grade").to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    found = rows.select("doc_id", "grade", "text").mapInArrow(_sample, "doc_id long, grade int, words binary, counts binary")
+    found = found.groupBy("doc_id", "grade").agg(F.min(F.struct("words", "counts")).alias("f")).select("doc_id", "grade", "f.words", "f.counts")
+    got = found.toArrow().sort_by("doc_id")
+    y = np.maximum(got.column("grade").to_numpy().astype(np.int64), 0) if got.num_rows else np.zeros(0, np.int64)
     if len(np.unique(y > 0)) < 2:
         return None
     sparse = [(np.frombuffer(a, U64), np.frombuffer(c, np.int32)) for a, c in zip(got.column("words").to_pylist(), got.column("counts").to_pylist(), strict=True)]
-    words, markers = choose([h for h, _ in sparse], y > 0, features)
-    x = counts_of(sparse, words)
-    if y.max() == 1:
-        held = np.expm1(x[:, markers]).sum(1)
-        cuts = np.quantile(held[y == 1], [j / grades for j in range(1, grades)]) if markers.any() else np.zeros(grades - 1)
-        y = np.where(y == 1, 1 + (held[:, None] > cuts[None, :]).sum(1), 0)
-    weights, thetas = fit_ordinal(x.astype(np.float64), y, max(grades, int(y.max())))
+    words = choose([h for h, _ in sparse], y > 0, features)
+    weights, thetas = fit_ordinal(counts_of(sparse, words).astype(np.float64), y, int(y.max()))
     return Ordinal(words, weights, thetas)
 
 
@@ -133,12 +153,11 @@ def scorer(model: Ordinal | None):
             else:
                 low = np.zeros(1 << 16, bool)
                 low[(model.words & U64(0xFFFF)).astype(np.int64)] = True
-                for first, last, places, _, _, h in hashed_words(*text_buffers(batch.column("text")), NOT_ALNUM):
+                for first, last, owners, h in features(batch.column("text")):
                     at = np.flatnonzero(low[(h & U64(0xFFFF)).astype(np.int64)])
                     place = np.minimum(np.searchsorted(model.words, h[at]), len(model.words) - 1)
                     ok = model.words[place] == h[at]
-                    at, place = at[ok], place[ok]
-                    owner = np.searchsorted(places, at, "right") - 1
+                    owner, place = owners[at[ok]], place[ok]
                     pair, n = np.unique(owner * len(model.words) + place, return_counts=True)
                     z[first:last] = np.bincount(pair // len(model.words), np.log1p(n) * model.weights[pair % len(model.words)], last - first)
                 above = model.above(z)
@@ -151,6 +170,6 @@ def scorer(model: Ordinal | None):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, severity (expected grade), p_toxic (grade over 0) and toxic (p_toxic of a half or more)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, severity (expected grade: the sum of P(grade > j)), p_toxic (grade over 0) and toxic (p_toxic of a half or more)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scorer(train(docs, labels)), "doc_id long, severity double, p_toxic double, toxic boolean")

@@ -2,6 +2,8 @@
 
 Payload digests are taken first; of equal payloads of ``REVISIT_BYTES`` or more
 the record with the largest id is the response and the others revisit it.
+Payloads are equal if their SHA-256 is; records carry the SHA-1 that the format
+asks for as a field.
 Tasks write gzip members, one record each, to files with a name of their own
 for each attempt, and return the index: file, offset, length, URL, digest.
 Only files that the committed index names count.  A reader sorts the chosen
@@ -10,7 +12,8 @@ parses and checks each record.
 
 Defined cases: null payload is empty, null URL is empty; a null id is below
 all others; rows that repeat id and payload are records of their own; an empty
-table writes no file.
+table writes no file; line breaks in URLs become spaces, in records and index;
+payloads of any length are one record; further columns take no part.
 """
 
 from __future__ import annotations
@@ -35,15 +38,15 @@ INDEX = "page_id long, file string, offset long, length long, url string, digest
 
 
 def payloads(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\r\n]", " ").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
 def targets(rows: DataFrame) -> DataFrame:
-    """digest and target (largest id) of payloads that occur more than once and are large enough."""
-    sized = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n"))
-    found = sized.where(F.col("n") >= REVISIT_BYTES).groupBy("digest", "n").agg(F.max("page_id").alias("target"), F.count("*").alias("times"))
+    """content (SHA-256) and target (largest id) of payloads that occur more than once and are large enough."""
+    sized = rows.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", F.unhex(F.sha2("html", 256)).alias("content"))
+    found = sized.groupBy("content").agg(F.max("page_id").alias("target"), F.count("*").alias("times"))
     # written, so that the join has an exchange on both sides and a hot digest can be split
-    return stage(found.where("times > 1").select("digest", "n", "target"), "warc-targets")
+    return stage(found.where("times > 1").select("content", "target"), "warc-targets")
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, target: int | None, has_target: bool) -> bytes:
@@ -51,7 +54,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, target: i
     name = base64.b32encode(bytes.fromhex(digest)).decode()
     head = [
         "WARC/1.0", f"WARC-Type: {'revisit' if has_target else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}", f"WARC-Payload-Digest: sha1:{name}", f"X-Payload-Length: {len(payload)}",
+        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{name}", f"X-Payload-Length: {len(payload)}",
     ]
     if has_target:
         head += [f"WARC-Refers-To: <urn:page:{target}>", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
@@ -92,9 +95,10 @@ def _write(root: str):
 def write(pages: DataFrame, root: str) -> DataFrame:
     """Write the archives of all pages below ``root``; returns their index."""
     rows = payloads(pages)
-    keyed = rows.withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html"))
+    content = F.when(F.octet_length("html") >= REVISIT_BYTES, F.unhex(F.sha2("html", 256)))
+    keyed = rows.withColumn("digest", F.sha1("html")).withColumn("content", content)
     again = F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target"))
-    marked = keyed.join(targets(rows), ["digest", "n"], "left").withColumn("again", again)
+    marked = keyed.join(targets(rows), "content", "left").withColumn("again", again)
     return stage(marked.select("page_id", "url", "html", "digest", "target", "again").mapInArrow(_write(root), INDEX), "warc-index")
 
 
