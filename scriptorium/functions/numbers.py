@@ -16,8 +16,8 @@ def clamp(value: Column, low: float, high: float, default: float) -> Column:
 
 
 def duration_seconds(text: Column) -> Column:
-    """h:m:s to seconds; 0 if any part is no number."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ":"), lambda p: F.trim(p).try_cast("double"))
+    """h:m:s to seconds; an empty part is 0, and all is 0 if any part is no number."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ":"), lambda p: F.when(F.trim(p) == "", 0.0).otherwise(F.trim(p).try_cast("double")))
     bad = F.exists(parts, lambda p: p.isNull())
     return F.when(bad, 0.0).otherwise(F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + F.coalesce(p, F.lit(0.0))))
 

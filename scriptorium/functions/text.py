@@ -19,10 +19,24 @@ ROLES = {"tool_config": TOOL, "operation_steps": OPERATION, "troubleshooting": T
 ACTION_ROLES = ("operation_steps", "tool_config", "troubleshooting", "case_analysis", "exam_training")
 
 
+#: All that counts as white space at the ends of a text, separators of files to units included.
+WHITE = r"[\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any script at the ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WHITE}|{WHITE}\z", "")
+
+
 def normalize_whitespace(text: Column) -> Column:
     """Unify line ends, squeeze spaces and tabs, trim; line breaks stay."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(text, "[ \t]+", " "))
+
+
+_ENDS = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: The same in DuckDB's SQL, of a column ``text``.
+CLEAN_SQL = rf"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^{_ENDS}|{_ENDS}$', '', 'g')"
 
 
 def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:
@@ -72,6 +86,7 @@ def block_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.coalesce(text, F.lit(""))) * 10 / 17)).cast("long")
 
 
+# Patterns of critical terms and of time markers.
 NUMERIC = (
     r"(?<!\d)(?:19|20)\d{2}年?", r"(?<!\d)\d{1,2}月\d{1,2}日", r"(?<!\d)\d+(?:\.\d+)?%",
     r"(?<!\d)\d+(?:\.\d+)?(?:万|亿)?美元", r"(?<!\d)\d+(?:\.\d+)?(?:万|亿)人",
@@ -114,6 +129,7 @@ def missing_markers(source: Column, cleaned: Column) -> Column:
 
 def rule_clean(text: Column) -> Column:
     """Squeeze, join around punctuation, drop fillers, then drop lines that repeat the last non-blank one."""
+    # fixed values: punctuation that takes no space before it, and fillers
     marks = "[，。！？；：、,.!?;:]"
     t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "　", " "), "[ \t]+", " ")
     t = F.regexp_replace(t, rf"(?U)\s+({marks})", "$1")

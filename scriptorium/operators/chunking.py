@@ -69,7 +69,7 @@ def block_ranges(chunks: DataFrame, group: list[str], order: str, size: str, tar
     """group, block, first, last: blocks of chunks.
 
     A block closes once it holds ``target`` or if the next chunk would take it over ``most``; a last block
-    of under ``least`` joins the one before it.
+    whose text, chunks joined by two line feeds, has under ``least`` joins the one before it.
     """
     w = Window.partitionBy(*group).orderBy(order)
     upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
@@ -88,7 +88,7 @@ def block_ranges(chunks: DataFrame, group: list[str], order: str, size: str, tar
     end = F.size("__items")
 
     def finish(s: Column) -> Column:
-        short = (F.element_at("__items", -1)["upto"] - before(s["lo"]) < least) & (F.size(s["out"]) > 0)
+        short = (F.element_at("__items", -1)["upto"] - before(s["lo"]) + 2 * (end - s["lo"]) < least) & (F.size(s["out"]) > 0)
         joined = _emit(F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.try_element_at(s["out"], F.lit(-1))["lo"], end, F.lit(True))
         return F.when(short, joined).otherwise(_emit(s["out"], s["lo"], end, F.lit(True)))
 

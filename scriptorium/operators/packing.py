@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def greedy_pack(rows: DataFrame, group: list[str], order: str, size: Column, target: int) -> DataFrame:
     """``rows`` with ``pack`` (from 1): a row opens a new pack if it would take a non-empty one over ``target``.
@@ -33,7 +35,7 @@ def greedy_pack(rows: DataFrame, group: list[str], order: str, size: Column, tar
 
 def pack_entries(entries: DataFrame, group: str, order: str, text: str, start: str, end: str, target: int) -> DataFrame:
     """Entries packed to ``target`` characters: text, first start and last end of each pack."""
-    trimmed = entries.withColumn("__text", F.trim(F.coalesce(text, F.lit(""))))
+    trimmed = entries.withColumn("__text", strip(F.col(text)))
     packed = greedy_pack(trimmed, [group], order, F.length("__text"), target)
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("__text").alias("text"))))
     return packed.groupBy(group, "pack").agg(
@@ -42,17 +44,18 @@ def pack_entries(entries: DataFrame, group: str, order: str, text: str, start: s
     )
 
 
-def two_key_dedup(rows: DataFrame, order: str, first: str, second: str, limit: int) -> DataFrame:
-    """Greedy dedup on two keys at once: a row stays if neither key is taken by a row that stayed; at most ``limit`` rows.
+def two_key_dedup(rows: DataFrame, owner: str, order: str, first: str, second: str, limit: int) -> DataFrame:
+    """Per owner, greedy dedup on two keys at once: a row stays if neither key is taken by a row that stayed; ``limit`` rows at most.
 
-    A bounded queue: the fold holds one array of keys, so the input must be small (``limit`` is 200 in production).
+    Repeats of one key pair go first, which changes nothing; a fold over an owner's rows then holds at most ``limit`` pairs.
     """
-    items = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(first).alias("k1"), F.col(second).alias("k2")))).alias("items"))
+    pairs = rows.groupBy(owner, first, second).agg(F.min(order).alias(order))
+    items = pairs.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(first).alias("k1"), F.col(second).alias("k2")))).alias("items"))
     kind = "array<struct<at:{},k1:{},k2:{}>>".format(*(dict(rows.dtypes)[c] for c in (order, first, second)))
 
     def step(kept: Column, x: Column) -> Column:
         taken = F.exists(kept, lambda k: (k["k1"] == x["k1"]) | (k["k2"] == x["k2"])) | (F.size(kept) >= limit)
         return F.when(taken, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = items.select(F.explode(F.aggregate("items", F.array().cast(kind), step)).alias("x")).select(F.col("x.at").alias(order))
-    return rows.join(kept, order, "left_semi")
+    kept = items.select(owner, F.explode(F.aggregate("items", F.array().cast(kind), step)).alias("x"))
+    return kept.select(owner, F.col("x.at").alias(order), F.col("x.k1").alias(first), F.col("x.k2").alias(second))

@@ -41,6 +41,7 @@ def json_summary(spark: SparkSession, d: str) -> DataFrame:
     return json_files.lines_summary(table(spark, d, "events").select("event_type", line.alias("line")), "line", ["k"], ["event_type"]).drop("ks")
 
 
+#: Marked lines among others; a missing counter is 0, a missing flag false, a missing stage unknown.
 LINES = [
     (1, '__APP_DISTILL_PROGRESS__={"message": "a", "percent": 10, "stage": "fetch"}'), (2, "plain output"), (3, "__APP_DISTILL_PROGRESS__={broken}"),
     (4, '__APP_DISTILL_PROGRESS__={"message": "b", "resumed": true, "chunkCompleted": 2, "chunkTotal": 5}'), (5, ""), (6, 'x __APP_DISTILL_PROGRESS__={"message": "c"}'),
@@ -48,7 +49,13 @@ LINES = [
 
 
 def progress(spark: SparkSession, d: str) -> DataFrame:
-    return json_files.progress_events(spark.createDataFrame(LINES, "n int, value string")).select("message", "percent", "stage", "chunkCompleted", "chunkTotal", "resumed")
+    """The lines, and one for each event of a user's log."""
+    logged = table(spark, d, "events").select(
+        F.col("event_id").cast("int").alias("n"),
+        F.concat(F.lit("__APP_DISTILL_PROGRESS__="), F.to_json(F.struct(F.col("event_type").alias("message"), F.when(F.col("event_type") != "error", F.col("event_id") % 100).alias("percent"), F.when(F.col("event_type") == "view", "chunk").alias("stage")))).alias("value"),
+    )
+    lines = spark.createDataFrame(LINES, "n int, value string").unionByName(logged)
+    return json_files.progress_events(lines).select("message", "percent", "stage", "chunkCompleted", "chunkTotal", "resumed")
 
 
 REGISTRY = [
@@ -57,7 +64,11 @@ REGISTRY = [
 
 
 def registry(spark: SparkSession, d: str) -> DataFrame:
-    return json_files.registry_rows(spark.createDataFrame(REGISTRY, "doc string"), "doc", "title string, status string").select("up_id", "key", "entry.title", "entry.status")
+    """Registry documents, and one a customer that holds the customer's name as a video."""
+    video = F.struct(F.col("c_name").alias("title"), F.when(F.col("c_acctbal") > 0, "done").alias("status"))
+    own = F.to_json(F.struct(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("up_id"), F.map_from_arrays(F.array(F.lit("BV9")), F.array(video)).alias("videos")))
+    rows = spark.createDataFrame(REGISTRY, "doc string").unionByName(table(spark, d, "customer").select(own.alias("doc")))
+    return json_files.registry_rows(rows, "doc", "title string, status string").select("up_id", "key", "entry.title", "entry.status")
 
 
 def stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -100,7 +111,7 @@ QUERIES = {
               UNION ALL
               SELECT package, i, n, block + shut::INT, CASE WHEN shut THEN n ELSE held + n END
               FROM (SELECT c.package, c.i, c.n, s.block, s.held, s.held + c.n > {BLOCK_MOST} OR s.held >= {BLOCK_TARGET} AS shut FROM s JOIN c ON c.package = s.package AND c.i = s.i + 1)),
-        b AS (SELECT package, block, min(i) AS first, max(i) AS last, sum(n) AS chars, max(block) OVER (PARTITION BY package) AS blocks FROM s GROUP BY package, block),
+        b AS (SELECT package, block, min(i) AS first, max(i) AS last, sum(n) + 2 * (count(*) - 1) AS chars, max(block) OVER (PARTITION BY package) AS blocks FROM s GROUP BY package, block),
         m AS (SELECT package, CASE WHEN block = blocks AND block > 1 AND chars < {BLOCK_LEAST} THEN block - 1 ELSE block END AS block, first, last FROM b)
         SELECT package, block::INT AS block, min(first)::INT AS first, max(last)::INT AS last FROM m GROUP BY package, block"""),
     "q_merge_groups": Query(merges, """
@@ -115,8 +126,10 @@ QUERIES = {
         g AS (SELECT user_id, run, min(i) AS first, max(i) AS last FROM s WHERE size > 0 GROUP BY user_id, run HAVING count(*) > 1)
         SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first)::INT AS merge, first::INT AS first, last::INT AS last FROM g"""),
     "q_jsonl_summary": Query(json_summary, "SELECT event_type, count(*) AS lines, count(*) FILTER (event_type = 'error') AS broken FROM events GROUP BY event_type"),
-    "q_progress_events": Query(progress, "SELECT * FROM (VALUES ('a', 10.0::DOUBLE, 'fetch', NULL::DOUBLE, NULL::DOUBLE, NULL::BOOLEAN), ('b', 0.0, NULL, 2.0, 5.0, true)) AS v(message, percent, stage, chunkCompleted, chunkTotal, resumed)"),
-    "q_registry_rows": Query(registry, f"SELECT * FROM {values([('u1', 'BV1', 'a', 'done'), ('u1', 'BV2', 'b', None)], 'up_id, key, title, status')}"),
+    "q_progress_events": Query(progress, """
+        SELECT * FROM (VALUES ('a', 10.0::DOUBLE, 'fetch', 0.0::DOUBLE, 0.0::DOUBLE, false), ('b', 0.0, 'unknown', 2.0, 5.0, true)) AS v(message, percent, stage, chunkCompleted, chunkTotal, resumed)
+        UNION ALL SELECT event_type, CASE WHEN event_type <> 'error' THEN event_id % 100 ELSE 0 END::DOUBLE, CASE WHEN event_type = 'view' THEN 'chunk' ELSE 'unknown' END, 0.0, 0.0, false FROM events"""),
+    "q_registry_rows": Query(registry, f"SELECT * FROM {values([('u1', 'BV1', 'a', 'done'), ('u1', 'BV2', 'b', None)], 'up_id, key, title, status')} UNION ALL SELECT 'c' || c_custkey, 'BV9', c_name, CASE WHEN c_acctbal > 0 THEN 'done' END FROM customer"),
     "q_stream_known": Query(stream_known, "SELECT DISTINCT user_id FROM events"),
     "q_stream_windows": Query(stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packages, relational, scheduling, texts
+from . import inventory, packages, relational, scheduling, texts
 from .query import Query
 
-QUERIES: dict[str, Query] = {**texts.QUERIES, **relational.QUERIES, **scheduling.QUERIES, **packages.QUERIES}
+QUERIES: dict[str, Query] = {**texts.QUERIES, **relational.QUERIES, **scheduling.QUERIES, **packages.QUERIES, **inventory.QUERIES}

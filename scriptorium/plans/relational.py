@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import text as X
 from ..operators import packing, relational, trees
 from .query import Query, table, values
 
-DURATIONS = [(1, "1:02:03"), (2, "5:xx"), (3, ""), (4, "90"), (5, None), (6, "0:59"), (7, "100:00:01")]
+DURATIONS = [(1, "1:02:03"), (2, "5:xx"), (3, ""), (4, "90"), (5, None), (6, "0:59"), (7, "100:00:01"), (8, "1::3")]
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
@@ -17,8 +18,8 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", "role", "text", at.alias("from"), (at + 10).alias("to"))
 
 
-PACK = """
-    WITH RECURSIVE e AS (SELECT conv_id, trim(text) AS text, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE length(trim(coalesce(text, ''))) > 0),
+PACK = r"""
+    WITH RECURSIVE e AS (SELECT conv_id, {strip} AS text, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE length({strip}) > 0),
     p AS (SELECT conv_id, i, turn, 1 AS pack, length(text) AS held FROM e WHERE i = 1
           UNION ALL SELECT e.conv_id, e.i, e.turn, p.pack + (p.held + length(e.text) > {n})::INT, CASE WHEN p.held + length(e.text) > {n} THEN length(e.text) ELSE p.held + length(e.text) END
           FROM p JOIN e ON e.conv_id = p.conv_id AND e.i = p.i + 1)
@@ -28,7 +29,7 @@ PACK = """
 
 def entry_pack(spark: SparkSession, d: str) -> DataFrame:
     rows = entries(spark, d)
-    packed = packing.greedy_pack(rows.withColumn("t", F.trim(F.coalesce("text", F.lit("")))), ["conv_id"], "turn", F.length("t"), 900)
+    packed = packing.greedy_pack(rows.withColumn("t", X.strip(F.col("text"))), ["conv_id"], "turn", F.length("t"), 900)
     return packed.groupBy("conv_id", "pack").agg(F.count("*").alias("entries"), F.min("from").alias("start"), F.max("to").alias("end"), F.sum(F.length("t")).cast("long").alias("chars"))
 
 
@@ -39,8 +40,6 @@ def pack_text(spark: SparkSession, d: str) -> DataFrame:
 
 def plain_timing(spark: SparkSession, d: str) -> DataFrame:
     """Time shared out by length: entries of a conversation over 600 seconds, the last ending exactly there."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = entries(spark, d).withColumn("n", F.length("text"))
     total, upto = F.sum("n").over(Window.partitionBy("conv_id")), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -48,8 +47,6 @@ def plain_timing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     return entries(spark, d).select("conv_id", "turn", F.right(F.lag("text").over(w), F.lit(40)).alias("previous_tail"), F.left(F.lead("text").over(w), F.lit(40)).alias("next_head"))
 
@@ -74,20 +71,25 @@ def registry_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Two snapshots of orders merged by key: empty text falls back, zero does not, status stays."""
     orders = table(spark, d, "orders")
     row = lambda x: x.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("views"))
-    old = row(orders.where("o_orderkey % 3 <> 0"))
-    new = row(orders.where("o_orderkey % 2 = 0")).select("id", F.lit("fetched").alias("status"), F.when(F.col("id") % 4 == 0, "").otherwise(F.upper("title")).alias("title"), F.when(F.col("id") % 8 == 0, 0.0).otherwise(F.col("views")).alias("views"))
+    old = row(orders.where("o_orderdate < '1997-01-01'"))
+    new = row(orders.where("o_orderdate >= '1995-01-01'")).select("id", F.lit("fetched").alias("status"), F.when(F.col("id") % 4 == 0, "").otherwise(F.upper("title")).alias("title"), F.when(F.col("id") % 8 == 0, 0.0).otherwise(F.col("views")).alias("views"))
     out = relational.upsert(old, new, "id", keep=["status"], filled=["title"], plain=["views"])
     return out.groupBy("status", "title").agg(F.count("*").alias("n"), F.round(F.sum("views"), 2).alias("views"), F.min("id").alias("first_id"))
 
 
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """Pinned sources with stored state: state kept, name renewed, absent ones pruned, positions closed up per nation."""
-    from pyspark.sql import Window
+    """Pinned sources with stored state: state kept, name renewed, absent ones pruned, positions closed up over all sources.
 
-    pinned = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("mid"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("group"))
-    stored = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("mid"), (F.col("c_custkey") % 97).alias("priority"))
-    w = Window.partitionBy("group").orderBy(F.coalesce("priority", F.lit(10**9)), "mid")
-    return pinned.join(stored, "mid", "left").select("mid", "name", "group", (F.row_number().over(w) - 1).alias("priority"), F.col("priority").isNull().alias("fresh"))
+    Positions come in two levels, over ranges of (priority, id) and within one, so that no task orders all sources.
+    """
+    customer = table(spark, d, "customer")
+    pinned = customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("mid"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("group"))
+    stored = customer.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("mid"), (F.col("c_custkey") % 97).alias("priority"))
+    rows = pinned.join(stored, "mid", "left").withColumns({"fresh": F.col("priority").isNull(), "rank": F.coalesce("priority", F.lit(10**9)), "part": F.floor(F.col("mid") / 10_000)})
+    before = F.sum("n").over(Window.orderBy("rank", "part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = rows.groupBy("rank", "part").agg(F.count("*").alias("n")).select("rank", "part", F.coalesce(before, F.lit(0)).alias("base"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("rank", "part").orderBy("mid")) - 1
+    return rows.withColumn("place", place).join(bases, ["rank", "part"]).select("mid", "name", "group", (F.col("base") + F.col("place")).alias("priority"), "fresh")
 
 
 def creator_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +137,9 @@ def archive_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def durations(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(DURATIONS, "id int, text string")
+    rows = spark.createDataFrame([(-i, x) for i, x in DURATIONS], "id long, text string")
+    own = F.concat_ws(":", (F.col("o_custkey") % 60).cast("string"), (F.col("o_orderkey") % 60).cast("string"))
+    rows = rows.unionByName(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), own.alias("text")))
     seconds = N.duration_seconds(F.col("text"))
     return rows.select("id", seconds.alias("seconds"), N.clock(seconds).alias("clock"))
 
@@ -172,7 +176,7 @@ def geography(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "q_entry_pack": Query(entry_pack, PACK.format(n=900)),
+    "q_entry_pack": Query(entry_pack, PACK.format(n=900, strip=f"regexp_replace(coalesce(text, ''), '^{X._ENDS}|{X._ENDS}$', '', 'g')")),
     "q_pack_text": Query(pack_text),
     "q_plain_text_timing": Query(plain_timing, """
         SELECT conv_id, turn, round(600.0::DOUBLE * (sum(length(text)) OVER w - length(text)) / sum(length(text)) OVER (PARTITION BY conv_id), 6) AS start,
@@ -186,13 +190,13 @@ QUERIES = {
     "q_or_join_first": Query(or_join, """
         SELECT s_suppkey, (SELECT min(c_custkey) FROM customer WHERE c_custkey = s_suppkey OR c_custkey = s_nationkey + 100) AS first_position FROM supplier"""),
     "q_registry_upsert": Query(registry_upsert, """
-        WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS title, o_totalprice AS views FROM orders WHERE o_orderkey % 3 <> 0),
-             n AS (SELECT o_orderkey AS id, 'fetched' AS status, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE upper(o_orderpriority) END AS title, CASE WHEN o_orderkey % 8 = 0 THEN 0.0 ELSE o_totalprice END AS views FROM orders WHERE o_orderkey % 2 = 0),
+        WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS title, o_totalprice AS views FROM orders WHERE o_orderdate < '1997-01-01'),
+             n AS (SELECT o_orderkey AS id, 'fetched' AS status, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE upper(o_orderpriority) END AS title, CASE WHEN o_orderkey % 8 = 0 THEN 0.0 ELSE o_totalprice END AS views FROM orders WHERE o_orderdate >= '1995-01-01'),
              m AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.status, n.status) AS status, coalesce(nullif(n.title, ''), o.title, n.title) AS title, coalesce(n.views, o.views) AS views FROM o FULL JOIN n ON o.id = n.id)
         SELECT status, title, count(*) AS n, round(sum(views), 2) AS views, min(id) AS first_id FROM m GROUP BY status, title"""),
     "q_reconcile_sources": Query(reconcile, """
-        WITH s AS (SELECT c_custkey, c_custkey % 97 AS priority FROM customer WHERE c_custkey % 2 = 0)
-        SELECT c.c_custkey AS mid, c_name AS name, c_nationkey AS "group", (row_number() OVER (PARTITION BY c_nationkey ORDER BY coalesce(s.priority, 1000000000), c.c_custkey) - 1)::INT AS priority, s.priority IS NULL AS fresh
+        WITH s AS (SELECT c_custkey, c_custkey % 97 AS priority FROM customer WHERE c_mktsegment <> 'BUILDING')
+        SELECT c.c_custkey AS mid, c_name AS name, c_nationkey AS "group", row_number() OVER (ORDER BY coalesce(s.priority, 1000000000), c.c_custkey) - 1 AS priority, s.priority IS NULL AS fresh
         FROM customer c LEFT JOIN s ON s.c_custkey = c.c_custkey WHERE c_acctbal > 0"""),
     "q_archive_groups": Query(creator_groups, """
         WITH p AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
@@ -213,7 +217,9 @@ QUERIES = {
         SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open,
                count(*) FILTER (o_orderdate BETWEEN TIMESTAMP '1997-12-25' AND TIMESTAMP '1998-01-01') AS week,
                round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS value, max(o_orderdate) AS latest, count(DISTINCT o_custkey) AS creators FROM orders"""),
-    "q_duration_parse": Query(durations, "SELECT * FROM (VALUES (1, 3723.0::DOUBLE, '01:02:03'), (2, 0.0, '00:00'), (3, 0.0, '00:00'), (4, 90.0, '01:30'), (5, 0.0, '00:00'), (6, 59.0, '00:59'), (7, 360001.0, '100:00:01')) AS v(id, seconds, clock)"),
+    "q_duration_parse": Query(durations, """
+        SELECT * FROM (VALUES (-1, 3723.0::DOUBLE, '01:02:03'), (-2, 0.0, '00:00'), (-3, 0.0, '00:00'), (-4, 90.0, '01:30'), (-5, 0.0, '00:00'), (-6, 59.0, '00:59'), (-7, 360001.0, '100:00:01'), (-8, 3603.0, '01:00:03')) AS v(id, seconds, clock)
+        UNION ALL SELECT o_orderkey, (o_custkey % 60) * 60.0 + o_orderkey % 60, printf('%02d:%02d', o_custkey % 60, o_orderkey % 60) FROM orders"""),
     "q_epoch_heuristic": Query(epochs, """
         SELECT o_orderkey, epoch(o_orderdate)::BIGINT * 1000 AS ms, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') END AS iso FROM orders"""),
     "q_credit_estimate": Query(credit, """

@@ -43,7 +43,9 @@ def status(spark: SparkSession, d: str) -> DataFrame:
 
 def retries(spark: SparkSession, d: str) -> DataFrame:
     """Outcome of a failed run: configuration faults pause, faults without a cure are skipped, others retry three times."""
-    rows = spark.createDataFrame(ERRORS, "id int, message string, tries int")
+    what = F.when(F.col("event_type") == "error", "HTTP Error 412").when(F.col("event_type") == "purchase", "PAID content").when(F.col("event_type") == "signup", "请先登录").otherwise("timeout")
+    logged = table(spark, d, "events").select(F.col("event_id").alias("id"), what.alias("message"), (F.col("event_id") % 5).cast("int").alias("tries"))
+    rows = logged.unionByName(spark.createDataFrame([(-i, m, n) for i, m, n in ERRORS], "id long, message string, tries int"))
     config, hopeless = F.col("message").rlike(f"(?i){CONFIGURATION}"), F.col("message").rlike(f"(?i){NO_RETRY}")
     state = F.when(config, "failed").when(hopeless, "skipped").when(F.col("tries") < 3, "queued").otherwise("failed")
     wait = F.when(state == "queued", N.retry_delay_ms(F.col("tries"))).otherwise(0)
@@ -81,7 +83,10 @@ DEDUP = [(1, "q1", "b1"), (2, "q2", "b1"), (3, "q2", "b2"), (4, "q3", "b3"), (5,
 
 
 def two_keys(spark: SparkSession, d: str) -> DataFrame:
-    return packing.two_key_dedup(spark.createDataFrame(DEDUP, "place int, queue_id string, bvid string"), "place", "queue_id", "bvid", 200)
+    """Queues of customers: of a customer's orders those stay whose state and priority no order that stayed has taken; and a literal queue."""
+    own = table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("place"), F.col("o_orderstatus").alias("queue_id"), F.col("o_orderpriority").alias("bvid"))
+    rows = own.unionByName(spark.createDataFrame([(-1, *r) for r in DEDUP], "owner long, place long, queue_id string, bvid string"))
+    return packing.two_key_dedup(rows, "owner", "place", "queue_id", "bvid", 200)
 
 
 def gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +106,9 @@ QUERIES = {
     "q_retry_transition": Query(retries, f"""
         SELECT id, CASE WHEN c THEN 'failed' WHEN h THEN 'skipped' WHEN tries < 3 THEN 'queued' ELSE 'failed' END AS status, c AS pause,
                CASE WHEN NOT c AND NOT h AND tries < 3 THEN CASE tries WHEN 0 THEN 300000 WHEN 1 THEN 1800000 ELSE 7200000 END ELSE 0 END::BIGINT AS wait_ms
-        FROM (SELECT *, regexp_matches(message, '(?i){CONFIGURATION}') AS c, regexp_matches(message, '(?i){NO_RETRY}') AS h FROM {values(ERRORS, 'id, message, tries')})"""),
+        FROM (SELECT *, regexp_matches(message, '(?i){CONFIGURATION}') AS c, regexp_matches(message, '(?i){NO_RETRY}') AS h 
+              FROM (SELECT -id AS id, message, tries FROM {values(ERRORS, 'id, message, tries')}
+                    UNION ALL SELECT event_id, CASE event_type WHEN 'error' THEN 'HTTP Error 412' WHEN 'purchase' THEN 'PAID content' WHEN 'signup' THEN '请先登录' ELSE 'timeout' END, event_id % 5 FROM events))"""),
     "q_history_backfill": Query(backfill, f"""
         SELECT creator, id, queued_at FROM {QUEUE} WHERE status <> 'done' QUALIFY row_number() OVER (PARTITION BY creator ORDER BY queued_at DESC, id DESC) = 1"""),
     "q_recent_top_n": Query(recent, f"SELECT id, creator, queued_at FROM {QUEUE} ORDER BY queued_at DESC, id DESC LIMIT 9"),
@@ -115,7 +122,15 @@ QUERIES = {
     "q_json_usage_rollup": Query(usage, """
         WITH e AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
         SELECT event_type, sum(k)::BIGINT AS tokens, count(k) AS known, round(avg(k), 6) AS mean, (sum(k) * 100)::BIGINT AS credits FROM e GROUP BY event_type"""),
-    "q_two_key_dedup": Query(two_keys, "SELECT * FROM (VALUES (1, 'q1', 'b1'), (3, 'q2', 'b2'), (4, 'q3', 'b3'), (7, 'q5', 'b4')) AS v(place, queue_id, bvid)"),
+    "q_two_key_dedup": Query(two_keys, f"""
+        WITH RECURSIVE o AS (SELECT o_custkey AS owner, o_orderkey AS place, o_orderstatus AS k1, o_orderpriority AS k2 FROM orders UNION ALL SELECT -1, place, k1, k2 FROM {values(DEDUP, 'place, k1, k2')}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY place) AS i FROM o),
+        s AS (SELECT DISTINCT owner, 0::BIGINT AS i, 0::BIGINT AS place, ''::VARCHAR AS k1, ''::VARCHAR AS k2, false AS kept, []::VARCHAR[] AS a, []::VARCHAR[] AS b FROM r
+              UNION ALL
+              SELECT r.owner, r.i, r.place, r.k1, r.k2, NOT (list_contains(s.a, r.k1) OR list_contains(s.b, r.k2)),
+                     CASE WHEN list_contains(s.a, r.k1) OR list_contains(s.b, r.k2) THEN s.a ELSE list_append(s.a, r.k1) END, CASE WHEN list_contains(s.a, r.k1) OR list_contains(s.b, r.k2) THEN s.b ELSE list_append(s.b, r.k2) END
+              FROM s JOIN r ON r.owner = s.owner AND r.i = s.i + 1)
+        SELECT owner, place, k1 AS queue_id, k2 AS bvid FROM s WHERE kept"""),
     "q_session_gaps": Query(gaps, """
         WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
              s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g)

@@ -30,7 +30,7 @@ def hits_sql(keywords: tuple[str, ...]) -> str:
     return "(" + " + ".join(f"contains(lower(coalesce(text, '')), {quoted(k)})::INT" for k in keywords) + ")"
 
 
-CLEAN = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+CLEAN = X.CLEAN_SQL
 NOISE = f"CASE WHEN {hits_sql(X.NOISE)} >= 3 OR ({hits_sql(X.NOISE)} > 0 AND length({CLEAN}) < 260) THEN 'high' WHEN {hits_sql(X.NOISE)} > 0 THEN 'medium' ELSE 'low' END"
 BEST = f"greatest({', '.join(hits_sql(k) for k in X.ROLES.values())})"
 ROLE = f"CASE WHEN {BEST} = 0 THEN 'concept_explain' " + " ".join(f"WHEN {hits_sql(k)} = {BEST} THEN '{r}'" for r, k in X.ROLES.items()) + " END"
@@ -106,10 +106,11 @@ def language_pick(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that lose lines when a line equal to the one before is dropped."""
-    lines = F.split("text", "\n")
-    same = F.size(F.filter(lines, lambda x, i: (i > 0) & (x == F.get(lines, i - 1))))
-    return table(spark, d, "documents").select("doc_id", F.size(lines).alias("lines"), same.alias("dropped")).where("dropped > 0")
+    """Documents that lose lines when a line equal to the last non-blank one is dropped."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: X.strip(x))
+    full = F.filter(lines, lambda x: x != "")
+    same = F.size(F.filter(F.col("full"), lambda x, i: (i > 0) & (x == F.get("full", i - 1))))
+    return texts(spark, d).select("doc_id", F.size(lines).alias("lines"), full.alias("full")).select("doc_id", "lines", same.alias("dropped")).where("dropped > 0")
 
 
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -176,9 +177,10 @@ QUERIES = {
         WITH s AS (SELECT source, lang, min(doc_id) AS first_doc FROM documents GROUP BY ALL)
         SELECT source, lang, first_doc FROM s
         QUALIFY row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'de' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, lang, first_doc) = 1"""),
-    "q_duplicate_lines": Query(duplicate_lines, """
-        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
-             c AS (SELECT doc_id, len(a)::INT AS lines, len(list_filter(a, lambda x, i: i > 1 AND x = a[i - 1]))::INT AS dropped FROM l)
+    "q_duplicate_lines": Query(duplicate_lines, f"""
+        WITH l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^{X._ENDS}|{X._ENDS}$', '', 'g')) AS a FROM {TEXTS}),
+             f AS (SELECT doc_id, len(a)::INT AS lines, list_filter(a, lambda x: x <> '') AS a FROM l),
+             c AS (SELECT doc_id, lines, len(list_filter(a, lambda x, i: i > 1 AND x = a[i - 1]))::INT AS dropped FROM f)
         SELECT * FROM c WHERE dropped > 0"""),
     "q_url_id_extract": Query(url_parts, """
         SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '/(\\d+)(?:\\.html)?(?:[?#]|$)', 1) AS number, regexp_replace(url, '[?#].*$', '') AS plain FROM pages"""),

@@ -43,7 +43,8 @@ def progress_events(lines: DataFrame, value: str = "value") -> DataFrame:
     """Events of prefix-tagged lines, batch or stream; others and malformed ones are left out."""
     body = F.regexp_extract(value, PROGRESS, 1)
     events = lines.where(F.col(value).rlike(PROGRESS) & parsed(body).isNotNull()).select(F.from_json(body, EVENT).alias("e")).select("e.*")
-    return events.withColumn("percent", F.coalesce("percent", F.lit(0.0)))
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("percent", "audioCompleted", "audioTotal", "chunkCompleted", "chunkTotal") if c in events.columns}
+    return events.withColumns(zero | {"resumed": F.coalesce("resumed", F.lit(False)), "stage": F.coalesce(F.nullif(F.trim("stage"), F.lit("")), F.lit("unknown"))})
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
