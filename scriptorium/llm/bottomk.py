@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WHITE, bounded_batches, hashed_words, mix, packed_counts, rows_of, stage, summed_counts, text_buffers
+from .common import U64, WHITE, bounded_batches, drop, hashed_words, mix, packed_counts, rows_of, stage, summed_counts, text_buffers
 
 #: Ids that are broadcast at most (24 MB); with more the tables are joined.
 BROADCAST_IDS = 1 << 20
@@ -314,12 +314,17 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        drop(edges, least)
         least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         kept = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(kept.unionByName(least.select("u", F.col("m").alias("v"))).distinct().select(F.col("v").alias("a"), F.col("u").alias("b")), "edges")
+        drop(large, least)
         # done when each document hangs on one other, which hangs on none
-        nested = edges.join(stage(edges.select(F.col("a").alias("b")).distinct(), "roots"), "b", "left_semi").limit(1)
-        if edges.groupBy("b").count().where("count > 1").limit(1).union(nested).isEmpty():
+        roots = stage(edges.select(F.col("a").alias("b")).distinct(), "roots")
+        nested = edges.join(roots, "b", "left_semi").limit(1)
+        done = edges.groupBy("b").count().where("count > 1").limit(1).union(nested).isEmpty()
+        drop(roots)
+        if done:
             return edges.select(F.col("b").alias("doc_id"), F.col("a").alias("component"))
 
 
@@ -330,9 +335,10 @@ def contested(members: DataFrame, t: Fraction, k: int) -> DataFrame:
     need = F.least((F.col("n") + least) * num, F.lit(sketch_overlap(k, float(t)) * (num + den)))
     for name in ("open", "across"):
         lists = members.groupBy("value").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("n").alias("least")).where("lo < hi")
-        lists = stage(lists.select(F.col("value").alias("of"), "least"), "lists")
+        lists, before = stage(lists.select(F.col("value").alias("of"), "least"), "lists"), members
         alive = (F.col("value") == F.col("of")) & (F.col("room") * (num + den) >= need) & (F.col("least") * num <= F.col("n") * den)
         members = stage(members.join(lists, alive).select(*members.columns), name)
+        drop(lists, before)
     return members
 
 
@@ -361,7 +367,9 @@ def links(docs: DataFrame, profiles: DataFrame, reps: DataFrame, counts: np.ndar
     def confirmed(pairs: DataFrame) -> DataFrame:
         # small sketches first, so that texts are shuffled for few pairs but links
         likely = stage(sides(pairs, only_ids(sketches, pairs), "sketch").mapInArrow(estimator(t), "a long, b long").distinct(), "likely")
-        return stage(sides(likely, only_ids(docs, likely), "text").mapInArrow(verifier(width, t), "a long, b long").distinct(), "links")
+        found = stage(sides(likely, only_ids(docs, likely), "text").mapInArrow(verifier(width, t), "a long, b long").distinct(), "links")
+        drop(likely)
+        return found
 
     def joined(parts: DataFrame, pairs: DataFrame) -> DataFrame:
         return components(parts.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(confirmed(pairs)))

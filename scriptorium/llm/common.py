@@ -39,6 +39,8 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(base)
     return str(base).rstrip("/")
@@ -52,7 +54,15 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote for tables that nothing reads any more."""
+    for df in staged:
+        drop_path(df.sparkSession, df.staged_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -122,9 +122,9 @@ def decisions(spark: SparkSession, landing: str, entries: str) -> DataFrame:
     if clash.isEmpty():
         out = landed.select("digest", "ids").join(final, "digest")
     else:
-        apart = landed.join(F.broadcast(clash), "digest")  # digests of two contents: a handful at most
+        apart = landed.join(clash, "digest")
         each = apart.groupBy("digest", "text").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
-        plain = landed.join(F.broadcast(clash), "digest", "left_anti").select("digest", "ids").join(final, "digest").select("digest", "ids", "keep_id", "group_size")
+        plain = landed.join(clash, "digest", "left_anti").select("digest", "ids").join(final, "digest").select("digest", "ids", "keep_id", "group_size")
         out = plain.unionByName(apart.join(each, ["digest", "text"]).select("digest", "ids", "keep_id", "group_size"))
     out = out.select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256")).select(*columns)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
