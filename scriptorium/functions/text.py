@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keyword lists that decide noise, roles and version sensitivity.
@@ -39,14 +39,15 @@ _ENDS = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 CLEAN_SQL = rf"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^{_ENDS}|{_ENDS}$', '', 'g')"
 
 
-def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:
+def keyword_hits(text: Column, keywords: tuple[str, ...], lowered: bool = False) -> Column:
     """How many of the keywords occur (not how often)."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = text if lowered else F.lower(F.coalesce(text, F.lit("")))
     return sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0))
 
 
-def noise_level(text: Column) -> Column:
-    hits, size = keyword_hits(text, NOISE), F.length(normalize_whitespace(text))
+def noise_level(text: Column, plain: Column | None = None) -> Column:
+    """``plain``: the text with normalised white space, where it is at hand."""
+    hits, size = keyword_hits(text, NOISE), F.length(normalize_whitespace(text) if plain is None else plain)
     return F.when((hits >= 3) | ((hits > 0) & (size < 260)), "high").when(hits > 0, "medium").otherwise("low")
 
 
@@ -62,14 +63,29 @@ def role(text: Column) -> Column:
     return F.when(best["n"] > 0, best["role"]).otherwise("concept_explain")
 
 
-def teaching_score(text: Column) -> Column:
-    """1 to 5 by length, role and noise."""
-    size, noise = F.length(normalize_whitespace(text)), noise_level(text)
-    score = 1 + F.least(F.lit(3), F.floor(size / 900)) + role(text).isin(*ACTION_ROLES).cast("int")
+def scored(size: Column, role_: Column, noise: Column) -> Column:
+    """1 to 5 by length of the normalised text, role and noise."""
+    score = 1 + F.least(F.lit(3), F.floor(size / 900)) + role_.isin(*ACTION_ROLES).cast("int")
     score = score - F.when(noise == "high", 2).when(noise == "medium", 1).otherwise(0)
     return F.greatest(F.lit(1), F.least(F.lit(5), score)).cast("int")
 
 
+def teaching_score(text: Column) -> Column:
+    return scored(F.length(normalize_whitespace(text)), role(text), noise_level(text))
+
+
+def profiled(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with size, role and noise of a text; lower case and white space are normalised once, in a projection of their own."""
+    own = [c for c in rows.columns if c != text]
+    low = rows.select(*own, F.lower(F.coalesce(text, F.lit(""))).alias(text), F.length(normalize_whitespace(F.col(text))).alias("size"))
+    found = low.select(*own, "size", keyword_hits(F.col(text), NOISE, lowered=True).alias("hits"), F.array(*(keyword_hits(F.col(text), ks, lowered=True) for ks in ROLES.values())).alias("scores"))
+    most = F.array_max("scores")
+    names = F.array(*map(F.lit, ROLES))
+    role_ = F.when(most > 0, F.element_at(names, F.array_position("scores", most).cast("int"))).otherwise("concept_explain")
+    noise = F.when((F.col("hits") >= 3) | ((F.col("hits") > 0) & (F.col("size") < 260)), "high").when(F.col("hits") > 0, "medium").otherwise("low")
+    return found.select(*own, "size", role_.alias("role"), noise.alias("noise"))
+
+
 CJK, WORD = "[一-鿿]", "[A-Za-z0-9_]+"
 
 

@@ -254,8 +254,7 @@ def audio_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def teaching_map(spark: SparkSession, d: str) -> DataFrame:
-    rows = texts(spark, d).select("doc_id", X.normalize_whitespace(F.col("text")).alias("text"))
-    rows = rows.select("doc_id", X.role(F.col("text")).alias("role"), X.teaching_score(F.col("text")).alias("score"), X.noise_level(F.col("text")).alias("noise"))
+    rows = X.profiled(texts(spark, d), "text").withColumn("score", X.scored(F.col("size"), F.col("role"), F.col("noise")))
     return rows.where("score >= 4 and noise <> 'high'").select("doc_id", "role", "score")
 
 

@@ -46,10 +46,15 @@ def joined(column):
 
 
 def noise_profile(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", X.noise_level(F.col("text")).alias("noise"), F.length(X.normalize_whitespace(F.col("text"))).alias("n"))
+    plain = table(spark, d, "documents").select("source", "text", X.normalize_whitespace(F.col("text")).alias("plain"))
+    docs = plain.select("source", X.noise_level(F.col("text"), F.col("plain")).alias("noise"), F.length("plain").alias("n"))
     return docs.groupBy("source", "noise").agg(F.count("*").alias("docs"), F.sum("n").cast("long").alias("chars"), F.max("n").cast("long").alias("longest"))
 
 
+def teaching_scores(spark: SparkSession, d: str) -> DataFrame:
+    return X.profiled(texts(spark, d), "text").select("doc_id", X.scored(F.col("size"), F.col("role"), F.col("noise")).alias("result"))
+
+
 def year_support(spark: SparkSession, d: str) -> DataFrame:
     rows = [(1, "1938年与938年", "1938年 1999年 2001"), (2, "938年", "1938年"), (3, "", "2001年2002年"), (4, None, "x1999"), (5, "1999", None)]
     return spark.createDataFrame(rows, "id int, source string, cleaned string").select("id", F.array_join(X.unsupported_years(F.col("source"), F.col("cleaned")), "|").alias("result"))
@@ -139,7 +144,7 @@ QUERIES = {
     "q_noise_level": Query(per_text(X.noise_level), of_texts(NOISE)),
     "q_noise_reasons": Query(per_text(joined(X.noise_reasons)), of_texts(f"coalesce(array_to_string(list_slice(list_filter([{', '.join(map(quoted, X.NOISE))}], lambda k: contains(lower(coalesce(text, '')), k)), 1, 5), '|'), '')")),
     "q_role_classify": Query(per_text(X.role), of_texts(ROLE)),
-    "q_teaching_score": Query(per_text(X.teaching_score), of_texts(f"greatest(1, least(5, 1 + least(3, length({CLEAN}) // 900) + (({ROLE}) IN ('operation_steps', 'tool_config', 'troubleshooting', 'case_analysis', 'exam_training'))::INT - CASE {NOISE} WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END))::INT")),
+    "q_teaching_score": Query(teaching_scores, of_texts(f"greatest(1, least(5, 1 + least(3, length({CLEAN}) // 900) + (({ROLE}) IN ('operation_steps', 'tool_config', 'troubleshooting', 'case_analysis', 'exam_training'))::INT - CASE {NOISE} WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END))::INT")),
     "q_whitespace_normalise": Query(per_text(lambda t: F.md5(X.normalize_whitespace(t))), of_texts(f"md5({CLEAN})")),
     "q_token_estimate": Query(
         lambda s, d: texts(s, d).select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"), X.block_tokens(F.col("text")).alias("block_tokens")),
