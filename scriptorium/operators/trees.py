@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.places import stage
+
 
 def ancestors(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """id, ancestor, distance for every node and each of its ancestors, itself included; ``depth`` bounds the distance."""
@@ -19,7 +21,7 @@ def ancestors(nodes: DataFrame, depth: int | None = None) -> DataFrame:
         level = level.join(edges, F.col("ancestor") == F.col("__id")).where("__up is not null").select("id", F.col("__up").alias("ancestor"), F.lit(d).alias("distance"))
         if depth is None:
             # cuts the lineage; a tree has fewer levels than nodes, so that a cycle ends too
-            level = level.localCheckpoint()
+            level = stage(level, "level")
             if level.isEmpty():
                 break
         out = out.unionByName(level)
