@@ -120,3 +120,35 @@ def merge_ranges(parts: DataFrame, group: list[str], order: str, role: str, term
     end = F.size("__items")
     finish = lambda s: _emit(s["out"], s["lo"], end, end - s["lo"] >= 1)
     return _numbered(items.select(*group, F.aggregate("__items", start, step, finish).alias("__ranges")), group, "__ranges", "merge")
+
+
+def chapter_groups(chapters: DataFrame, group: list[str], order: str, lessons: str, most: int = 24, micro: int = 2, target: int = 8) -> DataFrame:
+    """group, root, first, last: ranges of chapters that make the root chapters of each course.
+
+    Up to ``most`` chapters stay as they are.  Beyond, chapters of at most ``micro`` lessons gather until two or
+    more hold ``target``; a larger one joins what waits if that stays within ``target`` or is a single chapter,
+    and stands alone otherwise.  Should more than ``most`` ranges be left, equal spans of ranges are joined.
+    """
+    w = Window.partitionBy(*group).orderBy(order)
+    item = F.struct(F.row_number().over(w).alias("i"), F.greatest(F.lit(1), F.coalesce(lessons, F.lit(1))).cast("long").alias("n"))
+    items = chapters.withColumn("__item", item).groupBy(*group).agg(F.array_sort(F.collect_list("__item")).alias("__items"))
+
+    def step(s: Column, x: Column) -> Column:
+        waiting, held, small = x["i"] - s["lo"], s["held"] + x["n"], x["n"] <= micro
+        few = (waiting == 0) | (waiting == 1) | (held <= target)
+        whole = F.when(small, (waiting >= 1) & (held >= target)).otherwise(few)
+        alone = ~small & ~few
+        out = _emit(_emit(s["out"], s["lo"], x["i"] - 1, alone), F.when(alone, x["i"]).otherwise(s["lo"]), x["i"], whole | alone)
+        shut = whole | alone
+        return F.struct(F.when(shut, x["i"] + 1).otherwise(s["lo"]).cast("int").alias("lo"), F.when(shut, 0).otherwise(held).cast("long").alias("held"), out.alias("out"))
+
+    start = F.struct(F.lit(1).alias("lo"), F.lit(0).cast("long").alias("held"), _nothing().alias("out"))
+    end = F.size("__items")
+    finish = lambda s: _emit(s["out"], s["lo"], end, s["lo"] <= end)
+    single = F.transform("__items", lambda x: F.struct(x["i"].alias("lo"), x["i"].alias("hi")))
+    folded = items.select(*group, F.when(end <= most, single).otherwise(F.aggregate("__items", start, step, finish)).alias("__ranges"))
+    n = F.size("__ranges")
+    span = F.when(n <= most, 1).otherwise(F.greatest(F.lit(2), F.ceil(n / most)))
+    spread = folded.select(*group, span.alias("__span"), F.posexplode("__ranges").alias("__n", "__r"))
+    root = (F.floor(F.col("__n") / F.col("__span")) + 1).cast("int")
+    return spread.groupBy(*group, root.alias("root")).agg(F.min("__r.lo").alias("first"), F.max("__r.hi").alias("last"))

@@ -7,9 +7,10 @@ their packs afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import clock
 from ..functions.text import strip
 
 
@@ -59,3 +60,26 @@ def two_key_dedup(rows: DataFrame, owner: str, order: str, first: str, second: s
 
     kept = items.select(owner, F.explode(F.aggregate("items", F.array().cast(kind), step)).alias("x"))
     return kept.select(owner, F.col("x.at").alias(order), F.col("x.k1").alias(first), F.col("x.k2").alias(second))
+
+
+def cleaning_chunks(units: DataFrame, group: str, order: str, text: str, label: str, start: str, end: str, target: int = 7000, context: int = 700) -> DataFrame:
+    """Units packed to ``target`` characters, rendered with headings and times, each chunk with its neighbours' edges.
+
+    A heading stands before a unit whose label differs from that of the unit before it in the chunk; a unit
+    with a start or an end has both before it, a missing one as a question mark.  Empty units are dropped.
+    """
+    packed = greedy_pack(units.withColumn("__text", strip(F.col(text))), [group], order, F.length("__text"), target)
+    unit = Window.partitionBy(group, "pack").orderBy(order)
+    name = F.coalesce(label, F.lit(""))
+    heading = F.when((name != "") & (name != F.coalesce(F.lag(name).over(unit), F.lit(""))), F.concat(F.lit("\n## "), name, F.lit("\n"))).otherwise("")
+    at, to = clock(F.col(start)), clock(F.col(end))
+    asked = lambda x: F.when(x == "", "?").otherwise(x)
+    times = F.when((at == "") & (to == ""), "").otherwise(F.concat(F.lit("["), asked(at), F.lit("-"), asked(to), F.lit("] ")))
+    lines = packed.withColumn("__line", F.struct(F.col(order).alias("at"), name.alias("label"), F.concat(heading, times, "__text").alias("text")))
+    chunks = lines.groupBy(group, "pack").agg(F.array_sort(F.collect_list("__line")).alias("__lines"), F.min(start).alias("start"), F.max(end).alias("end"))
+    labels = F.array_distinct(F.filter(F.transform("__lines", lambda x: x["label"]), lambda x: x != ""))
+    body = strip(F.array_join(F.transform("__lines", lambda x: x["text"]), "\n"))
+    w = Window.partitionBy(group).orderBy("chunk")
+    chunks = chunks.select(group, F.col("pack").alias("chunk"), body.alias("text"), labels.alias("labels"), "start", "end")
+    near = {"previous_tail": F.right(F.lag("text").over(w), F.lit(context)), "next_head": F.left(F.lead("text").over(w), F.lit(context))}
+    return chunks.withColumns({k: F.coalesce(v, F.lit("")) for k, v in near.items()})

@@ -63,3 +63,19 @@ def streak(events: DataFrame, group: str, at: str, as_of: Column, gap_seconds: i
     runs = broken.withColumn("__breaks", F.sum((F.col("__gap") > gap_seconds).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fresh = (micros(as_of) - micros(F.max(at))) / 1e6 <= stale_seconds
     return runs.groupBy(group).agg(F.when(fresh, F.sum((F.col("__breaks") == 0).cast("long"))).otherwise(0).alias("streak"))
+
+
+def reusable(expected: DataFrame, stored: DataFrame, group: str, name: str, key: str, ok: str) -> DataFrame:
+    """group, reusable: whether every expected artifact is stored under its key and in order (``ok``, a boolean column).
+
+    A stored artifact that repeats counts if one of its rows fits; a null key fits nothing.
+    """
+    fit = stored.where(F.col(ok)).select(group, name, key).distinct().withColumn("__fit", F.lit(True))
+    return expected.join(fit, [group, name, key], "left").groupBy(group).agg(F.bool_and(F.col("__fit").isNotNull()).alias("reusable"))
+
+
+def changed_rows(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new`` that ``old`` lacks or holds with other values: what a sink has to write; nulls are equal."""
+    values = [c for c in new.columns if c != key]
+    before = old.select(key, F.struct(*values).alias("__before"))
+    return new.join(before, key, "left").where(~F.struct(*values).eqNullSafe(F.col("__before"))).drop("__before")

@@ -5,7 +5,7 @@ Levels are joined one at a time, each level once, until none is left or a given
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.places import stage
@@ -28,6 +28,14 @@ def ancestors(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     return out
 
 
+def _leaves(nodes: DataFrame, study: str | None) -> DataFrame:
+    """The leaves: nodes that ``study`` (a boolean column) marks, or those without children."""
+    if study:
+        return nodes.where(F.col(study)).select("id")
+    parents = nodes.where("parent is not null").select(F.col("parent").alias("id")).distinct()
+    return nodes.select("id").join(parents, "id", "left_anti")
+
+
 def met(nodes: DataFrame, edges: DataFrame, completed: DataFrame, depth: int | None = None) -> DataFrame:
     """id, met: a dependency is satisfied if it is completed itself or all its leaf descendants are.
 
@@ -41,3 +49,31 @@ def met(nodes: DataFrame, edges: DataFrame, completed: DataFrame, depth: int | N
     state = nodes.select("id").join(done, "id", "left").join(whole, "id", "left").select(F.col("id").alias("needs"), (F.coalesce("done", F.lit(False)) | F.coalesce("all_leaves", F.lit(False))).alias("ok"))
     asked = edges.join(state, "needs", "left").groupBy("id").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("met"))
     return nodes.select("id").join(asked, "id", "left").select("id", F.coalesce("met", F.lit(True)).alias("met"))
+
+
+def reachable(nodes: DataFrame, edges: DataFrame, completed: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, reachable: whether the dependencies of a node and of all its ancestors are met."""
+    state = met(nodes, edges, completed, depth).withColumnRenamed("id", "ancestor")
+    return ancestors(nodes, depth).join(state, "ancestor").groupBy("id").agg(F.bool_and("met").alias("reachable"))
+
+
+def next_leaf(nodes: DataFrame, edges: DataFrame, completed: DataFrame, order: list[Column], study: str | None = None, depth: int | None = None) -> DataFrame:
+    """id: the first leaf, in the given order, that is reachable and not completed; one row at most."""
+    open_ = nodes.join(_leaves(nodes, study), "id").join(completed.select("id"), "id", "left_anti")
+    return open_.join(reachable(nodes, edges, completed, depth).where("reachable"), "id").orderBy(*order).limit(1).select("id")
+
+
+def unlocked(nodes: DataFrame, edges: DataFrame, completed: DataFrame, order: list[Column], study: str | None = None, depth: int | None = None) -> DataFrame:
+    """id: completed nodes, the next leaf, and all ancestors of these, each once."""
+    seeds = completed.select("id").unionByName(next_leaf(nodes, edges, completed, order, study, depth)).distinct()
+    return ancestors(nodes, depth).join(seeds, "id").select(F.col("ancestor").alias("id")).distinct()
+
+
+def celebrations(nodes: DataFrame, before: DataFrame, after: DataFrame, study: str | None = None, depth: int | None = None) -> DataFrame:
+    """stage, total, done: root nodes all of whose leaves are completed after, but were not before."""
+    roots = nodes.where("parent is null").select(F.col("id").alias("ancestor"))
+    flag = lambda rows, name: rows.select("id").distinct().withColumn(name, F.lit(True))
+    under = ancestors(nodes, depth).join(roots, "ancestor").join(_leaves(nodes, study), "id")
+    under = under.join(flag(before, "was"), "id", "left").join(flag(after, "now"), "id", "left")
+    counts = under.groupBy(F.col("ancestor").alias("stage")).agg(F.count("*").alias("total"), F.count("was").alias("was"), F.count("now").alias("done"))
+    return counts.where("was < total and done = total").select("stage", "total", "done")

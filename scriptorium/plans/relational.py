@@ -27,6 +27,16 @@ PACK = r"""
     FROM p JOIN e USING (conv_id, i) GROUP BY conv_id, pack"""
 
 
+PACK_TEXT = rf"""
+    WITH RECURSIVE e AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^{X._ENDS}|{X._ENDS}$', '', 'g') AS text FROM conversations),
+    u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM e WHERE length(text) > 0),
+    p AS (SELECT conv_id, i, 1 AS pack, length(text) AS held FROM u WHERE i = 1
+          UNION ALL SELECT u.conv_id, u.i, p.pack + (p.held + length(u.text) > 1200)::INT, CASE WHEN p.held + length(u.text) > 1200 THEN length(u.text) ELSE p.held + length(u.text) END
+          FROM p JOIN u ON u.conv_id = p.conv_id AND u.i = p.i + 1)
+    SELECT conv_id, pack::INT AS pack, sha1(regexp_replace(string_agg(text, ' ' ORDER BY i), '[ \t]+', ' ', 'g')) AS text_sha1, min(turn * 10)::DOUBLE AS start, max(turn * 10 + 10)::DOUBLE AS "end", count(*) AS entries
+    FROM p JOIN u USING (conv_id, i) GROUP BY conv_id, pack"""
+
+
 def entry_pack(spark: SparkSession, d: str) -> DataFrame:
     rows = entries(spark, d)
     packed = packing.greedy_pack(rows.withColumn("t", X.strip(F.col("text"))), ["conv_id"], "turn", F.length("t"), 900)
@@ -155,15 +165,6 @@ def credit(spark: SparkSession, d: str) -> DataFrame:
     return row.select("l_orderkey", N.credits(F.col("i"), F.col("o"), F.col("t")).alias("c")).groupBy("l_orderkey").agg(F.sum("c").alias("credits"))
 
 
-TREE = [("c", None), ("a", "c"), ("b", "c"), ("a1", "a"), ("a2", "a"), ("b1", "b")]
-NEEDS, DONE = [("b1", "a"), ("b", "a1"), ("a2", "b")], [("a1",), ("a2",)]
-
-
-def tree(spark: SparkSession, d: str) -> DataFrame:
-    nodes = spark.createDataFrame(TREE, "id string, parent string")
-    return trees.met(nodes, spark.createDataFrame(NEEDS, "id string, needs string"), spark.createDataFrame(DONE, "id string"))
-
-
 def geography(spark: SparkSession, d: str) -> DataFrame:
     """Leaves below each node of the tree region - nation - supplier."""
     node = lambda t, i, p: t.select(i.alias("id"), p.alias("parent"))
@@ -177,7 +178,7 @@ def geography(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "q_entry_pack": Query(entry_pack, PACK.format(n=900, strip=f"regexp_replace(coalesce(text, ''), '^{X._ENDS}|{X._ENDS}$', '', 'g')")),
-    "q_pack_text": Query(pack_text),
+    "q_pack_text": Query(pack_text, PACK_TEXT),
     "q_plain_text_timing": Query(plain_timing, """
         SELECT conv_id, turn, round(600.0::DOUBLE * (sum(length(text)) OVER w - length(text)) / sum(length(text)) OVER (PARTITION BY conv_id), 6) AS start,
                round(600.0::DOUBLE * sum(length(text)) OVER w / sum(length(text)) OVER (PARTITION BY conv_id), 6) AS "end"
@@ -224,7 +225,6 @@ QUERIES = {
         SELECT o_orderkey, epoch(o_orderdate)::BIGINT * 1000 AS ms, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') END AS iso FROM orders"""),
     "q_credit_estimate": Query(credit, """
         SELECT l_orderkey, sum(CASE WHEN l_linenumber % 3 = 0 THEN round(l_quantity * 100) ELSE round(l_quantity * 100 + l_tax * 100 * 200) END)::BIGINT AS credits FROM lineitem GROUP BY l_orderkey"""),
-    "q_tree_unlock": Query(tree, "SELECT * FROM (VALUES ('c', true), ('a', true), ('b', true), ('a1', true), ('a2', false), ('b1', true)) AS v(id, met)"),
     "q_tree_leaves": Query(geography, """
         SELECT 'n' || s_nationkey AS ancestor, count(*) AS leaves, 1 AS depth FROM supplier GROUP BY 1
         UNION ALL SELECT 'r' || n_regionkey, count(*), 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1"""),

@@ -55,16 +55,6 @@ def teaching_scores(spark: SparkSession, d: str) -> DataFrame:
     return X.profiled(texts(spark, d), "text").select("doc_id", X.scored(F.col("size"), F.col("role"), F.col("noise")).alias("result"))
 
 
-def year_support(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "1938年与938年", "1938年 1999年 2001"), (2, "938年", "1938年"), (3, "", "2001年2002年"), (4, None, "x1999"), (5, "1999", None)]
-    return spark.createDataFrame(rows, "id int, source string, cleaned string").select("id", F.array_join(X.unsupported_years(F.col("source"), F.col("cleaned")), "|").alias("result"))
-
-
-def marker_loss(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "[00:10-00:20] [00:30-00:40]", "[00:10-00:20]"), (2, "[00:10-00:20]", ""), (3, "[00:10-00:20] [00:10-00:20]", ""), (4, None, None)]
-    return spark.createDataFrame(rows, "id int, source string, cleaned string").select("id", F.array_join(X.missing_markers(F.col("source"), F.col("cleaned")), "|").alias("result"))
-
-
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     """Share of the text that cleaning keeps, critical terms lost, and the verdict, for labelled documents."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
@@ -157,8 +147,6 @@ QUERIES = {
         WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\[(?:\\d{{1,2}}:)?\\d{{2}}:\\d{{2}}-(?:\\d{{1,2}}:)?\\d{{2}}:\\d{{2}}\\]') AS a FROM {TEXTS})
         SELECT doc_id, coalesce(array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|'), '') AS result FROM m"""),
     "q_numeric_terms": Query(per_text(joined(X.numeric_terms))),
-    "q_year_support": Query(year_support),
-    "q_missing_markers": Query(marker_loss),
     "q_rule_clean_lines": Query(per_text(X.rule_clean)),
     "q_slug": Query(per_text(lambda t: F.concat_ws("/", X.slug(t), X.file_name(F.left(t, F.lit(200))))), of_texts(
         "concat_ws('/', left(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), left(regexp_replace(left(coalesce(text, ''), 200), '[\\\\/:*?\"<>|]', '_', 'g'), 80))")),
