@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import courses, inventory, packages, relational, scheduling, texts
+from . import courses, inventory, packages, relational, scheduling, texts, tracks
 from .query import Query
 
-QUERIES: dict[str, Query] = {**texts.QUERIES, **relational.QUERIES, **scheduling.QUERIES, **packages.QUERIES, **inventory.QUERIES, **courses.QUERIES}
+QUERIES: dict[str, Query] = {**texts.QUERIES, **relational.QUERIES, **scheduling.QUERIES, **packages.QUERIES, **inventory.QUERIES, **courses.QUERIES, **tracks.QUERIES}
