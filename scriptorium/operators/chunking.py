@@ -127,7 +127,7 @@ def chapter_groups(chapters: DataFrame, group: list[str], order: str, lessons: s
 
     Up to ``most`` chapters stay as they are.  Beyond, chapters of at most ``micro`` lessons gather until two or
     more hold ``target``; a larger one joins what waits if that stays within ``target`` or is a single chapter,
-    and stands alone otherwise.  Should more than ``most`` ranges be left, equal spans of ranges are joined.
+    and stands alone otherwise.  A missing or zero count of lessons is 1.  Should more than ``most`` ranges be left, equal spans of ranges are joined.
     """
     w = Window.partitionBy(*group).orderBy(order)
     item = F.struct(F.row_number().over(w).alias("i"), F.greatest(F.lit(1), F.coalesce(lessons, F.lit(1))).cast("long").alias("n"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Waits before the retries, and what each settling outcome makes of an item.
 DELAYS_MS = (5 * 60_000, 30 * 60_000, 2 * 3_600_000)
 SETTLED = {"ok": "done", "config": "failed", "hopeless": "skipped"}
 
