@@ -18,6 +18,8 @@ any length are scanned whole; further columns, whatever their names, stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from .common import ALNUM_WORD, NOT_ALNUM, U64, bounded_batches, fresh, hashed_words, stage, text_buffers
 
 WINDOW = 13
-#: Item words in one automaton; larger benchmarks take several passes.
+#: Item words in one automaton; larger benchmarks take several passes over the texts.
 BLOCK_WORDS = 100_000
 
 
@@ -166,10 +168,22 @@ FOUND = T.StructType(
 )
 
 
+def findings(n_words: list[int], spans: list, items: list, longest: list[int], text: pa.Array | None) -> pa.StructArray:
+    """``FOUND`` of some documents; the spans are merged, and cut out where texts are given."""
+    spans = [merged(x) for x in spans]
+    rest = [None] * len(spans) if text is None else [without(t.as_py(), x) if x else None for t, x in zip(text, spans, strict=True)]
+    columns = [
+        pa.array(n_words, pa.int64()), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        pa.array(longest, pa.int64()), pa.array([np.array(x, np.int64).tobytes() for x in spans], pa.binary()), pa.array(rest, pa.string()),
+    ]
+    return pa.StructArray.from_arrays(columns, FOUND.names)
+
+
 def finder(shared, cut: bool):
-    """An Arrow function of a text and of what earlier blocks found: what is found with one block more (``FOUND``)."""
+    """An Arrow function of a text: what one automaton finds in it (``FOUND``)."""
 
-    def found(text: pa.Array, before: pa.Array | None) -> pa.Array:
+    @F.arrow_udf(FOUND)
+    def found(text: pa.Array) -> pa.Array:
         automaton: ItemAutomaton = shared.value
         data, offsets = text_buffers(text)
         raw = data.tobytes()
@@ -201,28 +215,22 @@ def finder(shared, cut: bool):
                 spans.append(at)
                 items.append(names)
                 longest.append(most)
-        if before is not None:
-            for i, (old, names, most) in enumerate(zip(*(before.field(c).to_pylist() for c in ("spans", "items", "longest")), strict=True)):
-                spans[i] = [*map(tuple, np.frombuffer(old, np.int64).reshape(-1, 2).tolist()), *spans[i]]
-                items[i] = {*names, *items[i]}
-                longest[i] = max(longest[i], most)
-        spans = [merged(x) for x in spans]
-        rest = [without(t.as_py(), x) if x else None for t, x in zip(text, spans, strict=True)] if cut else [None] * len(text)
-        columns = [
-            pa.array(n_words, pa.int64()), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            pa.array(longest, pa.int64()), pa.array([np.array(x, np.int64).tobytes() for x in spans], pa.binary()), pa.array(rest, pa.string()),
-        ]
-        return pa.StructArray.from_arrays(columns, FOUND.names)
+        return findings(n_words, spans, items, longest, text if cut else None)
 
-    @F.arrow_udf(FOUND)
-    def first_block(text: pa.Array) -> pa.Array:
-        return found(text, None)
+    return found
+
+
+def gatherer(cut: bool):
+    """An Arrow function of a text (null unless spans are cut) and of what several automata found in it: all of it together."""
 
     @F.arrow_udf(FOUND)
-    def next_block(text: pa.Array, before: pa.Array) -> pa.Array:
-        return found(text, before)
+    def gathered(text: pa.Array, parts: pa.Array) -> pa.Array:
+        rows = parts.to_pylist()
+        spans = [[tuple(x) for f in row for x in np.frombuffer(f["spans"], np.int64).reshape(-1, 2).tolist()] for row in rows]
+        items = [{x for f in row for x in f["items"]} for row in rows]
+        return findings([max(f["n_words"] for f in row) for row in rows], spans, items, [max(f["longest"] for f in row) for row in rows], text if cut else None)
 
-    return first_block, next_block
+    return gathered
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -235,19 +243,27 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> tuple[DataFrame, str]:
-    """``docs`` with what all items find in a struct column (``FOUND``), whose name is returned as well."""
-    context, (name,) = docs.sparkSession.sparkContext, fresh(docs, "found")
-    out, again = docs, False
-    for block in blocks(bench, window, block_words):
-        first, following = finder(context.broadcast(block), cut)
-        text = F.col("text").cast("string")
-        if again:
-            # between passes the rows are written, so that one automaton at a time is held by the workers
-            out = stage(out, "decontaminate").withColumn(name, following(text, name))
-        else:
-            out = docs.withColumn(name, first(text))
-        again = True
-    return out, name
+    """``docs`` with what all items find in a struct column (``FOUND``), whose name is returned as well.
+
+    With more items than one automaton takes, the documents are written once under a key; each automaton reads
+    their texts and writes its findings only, and these, gathered by key, meet the documents again at the end.
+    """
+    context, (name, key) = docs.sparkSession.sparkContext, fresh(docs, "found", "key")
+    automata, text = blocks(bench, window, block_words), F.col("text").cast("string")
+    block, following = next(automata), next(automata, None)
+    if following is None:
+        return docs.withColumn(name, finder(context.broadcast(block), cut)(text)), name
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate")
+    parts = []
+    for block in chain((block, following), automata):
+        shared = context.broadcast(block)
+        part = rows.select(key, finder(shared, False)(text).alias(name))
+        # the first keeps every document for its number of words; none is held by the workers beside the next
+        parts.append(stage(part if not parts else part.where(F.col(name)["longest"] > 0), "found"))
+        shared.destroy()
+    all_found = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.collect_list(name).alias(name))
+    out = rows.join(all_found, key)
+    return out.withColumn(name, gatherer(cut)(text if cut else F.lit(None).cast("string"), F.col(name))).drop(key), name
 
 
 def over(found: Column, coverage: int = 20) -> Column:

@@ -349,8 +349,12 @@ def test_spans_are_cut_below_the_coverage(spark):
     item = [f"b{i}" for i in range(15)]
     clean = [f"c{i}" for i in range(400)]
     rows = [(1, " ".join([*clean[:200], *item, *clean[200:]])), (2, " ".join([*clean[:50], *item])), (3, " ".join(clean)), (4, None)]
-    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    others = [(i, " ".join(f"o{i}{k}" for k in range(20))) for i in (2, 3)]
+    bench = spark.createDataFrame([(1, " ".join(item)), *others], "item_id long, text string")
     got = {r.doc_id: r.text for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    for words in (1, 30):
+        again = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_words=words).collect()
+        assert {r.doc_id: r.text for r in again} == got
     assert got == {1: " ".join(clean), 3: " ".join(clean), 4: None}
 
 
