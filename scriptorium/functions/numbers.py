@@ -41,6 +41,13 @@ def epoch_guess(value: Column) -> Column:
     return F.when(value > 10_000_000_000, value).otherwise(value * 1000)
 
 
+def moment(text: Column) -> Column:
+    """Epoch milliseconds of a text: a positive number of seconds or milliseconds, or a date in ISO form; null for anything else."""
+    number_ = text.try_cast("double")
+    dated = F.when(text.rlike(r"^\d{4}-\d\d"), F.unix_millis(text.try_cast("timestamp")))
+    return F.when(number_ > 0, epoch_guess(number_).cast("long")).when(number_.isNull(), dated)
+
+
 def credits(tokens_in: Column, tokens_out: Column, total: Column) -> Column:
     """100 credits an input token, 200 an output token; without either, 100 a token of the total."""
     i, o, t = (F.greatest(number(c), F.lit(0.0)) for c in (tokens_in, tokens_out, total))
