@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, decontaminate, exact_dedup, lexicon, quality, reshard, token_counts, token_files, toxicity, warc
+from . import bottomk, decontaminate, exact_dedup, lexicon, merkle, quality, reshard, token_counts, token_files, toxicity, warc
 from .common import bounded_batches, documents
 
 
@@ -59,16 +59,55 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.shard_documents(documents(spark, sf_dir))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_decontaminate, op2_token_files, op3_warc, op4_quality, op5_token_counts,
             op6_bpe, op7_toxicity, op8_exact_dedup, op9_near_dedup, op10_sharding,
+            op11_merkle,
         )
     }
 
 
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+def _merkle_sql(levels: int = 40) -> str:
+    """Trees level by level; a leaf's place on a level is its place on the first divided by a power of two."""
+    leaf = lambda n_chars: "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * strlen(doc_id::VARCHAR))), lambda c, k: CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END)"
+    crc = crc.format("(CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, (k // 8 + 1)::INT, 1))) ELSE c END)")
+    return f"""
+        WITH RECURSIVE d AS MATERIALIZED (
+          SELECT doc_id, coalesce('v' || lang, 'n') AS g, {leaf('n_chars')} AS leaf, coalesce(xor({crc}, 4294967295) % 7 = 0, false) AS probed, {leaf('(n_chars::HUGEINT + 1)')} AS changed FROM documents),
+        l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+        t AS (SELECT g, 0 AS k, i, n AS size, leaf AS h FROM l
+              UNION ALL
+              SELECT g, k + 1, i // 2, (any_value(size) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE size > 1 GROUP BY g, k, i // 2),
+        tree AS MATERIALIZED (SELECT * FROM t),
+        r AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS gi, count(*) OVER () AS gn FROM tree WHERE size = 1),
+        u AS (SELECT 0 AS k, gi AS i, gn AS size, subroot AS h FROM r
+              UNION ALL
+              SELECT k + 1, i // 2, (any_value(size) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE size > 1 GROUP BY k, i // 2),
+        upper AS MATERIALIZED (SELECT * FROM u),
+        paths AS MATERIALIZED (
+          SELECT l.g, l.i AS leaf_i, t.k, (l.i >> t.k) % 2 = 1 AS on_right, s.h FROM l JOIN tree t ON t.g = l.g AND t.i = l.i >> t.k AND t.size > 1 LEFT JOIN tree s ON s.g = t.g AND s.k = t.k AND s.i = xor(t.i, 1::BIGINT)
+          UNION ALL
+          SELECT l.g, l.i, {levels} + t.k, (r.gi >> t.k) % 2 = 1, s.h FROM l JOIN r ON r.g = l.g JOIN upper t ON t.i = r.gi >> t.k AND t.size > 1 LEFT JOIN upper s ON s.k = t.k AND s.i = xor(t.i, 1::BIGINT)),
+        p AS MATERIALIZED (SELECT g, leaf_i AS i, list({{'r': on_right, 'h': coalesce(h, '')}} ORDER BY k) AS path FROM paths GROUP BY g, leaf_i),
+        f AS (SELECT l.g, l.i, 1 AS k, coalesce(p.path, []) AS path, CASE WHEN probed AND changed IS NOT NULL THEN changed ELSE leaf END AS h FROM l LEFT JOIN p ON p.g = l.g AND p.i = l.i
+              UNION ALL
+              SELECT g, i, k + 1, path, sha256(CASE WHEN path[k].r THEN path[k].h || h ELSE h || path[k].h END) FROM f WHERE k <= len(path))
+        SELECT l.doc_id, l.leaf, r.subroot, w.h AS root, sha256(list_aggregate(list_transform(f.path, lambda x: x.h), 'string_agg', '')) AS proof_sha256, f.h AS folded_root, f.h = w.h AS verified
+        FROM l JOIN r ON r.g = l.g JOIN f ON f.g = l.g AND f.i = l.i AND f.k = len(f.path) + 1 CROSS JOIN (SELECT h FROM upper WHERE size = 1) w"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_exact_dedup": """
@@ -85,4 +124,5 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN n >= 1000 AND page_id <> target THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN n >= 1000 AND page_id <> target THEN target END AS refers_to
             FROM t""",
+        "op11_merkle": _merkle_sql(),
     }
