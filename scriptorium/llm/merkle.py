@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, rows_of, scratch, stage
 
 BLOCK = 4096  # leaves in a block
-FIRST, NEXT = 5, 8  # levels that the first fold and later ones climb beyond what they get
+FIRST, NEXT = 5, 8  # levels that the first fold climbs beyond a block of mean size, and later ones beyond the fold before
 DIGEST = 32
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -194,9 +194,9 @@ def _fold(top: int):
     return run
 
 
-def _links(nodes: DataFrame, mean_run: float, levels: int) -> list[DataFrame]:
-    """Folds ``nodes`` upwards until one a group is left; the links of each fold, the last one's to the groups' roots."""
-    out, top = [], height(max(1, round(mean_run))) + FIRST
+def _links(nodes: DataFrame, top: int, levels: int) -> list[DataFrame]:
+    """Folds ``nodes`` up to level ``top``, then further, until one a group is left; the links of each fold, the last one's to the groups' roots."""
+    out = []
     while True:
         at = F.when(F.lit(top) - F.col("level") > 62, 0).otherwise(F.expr(f"shiftright(idx, {top} - level)")).alias("at")
         done = stage(nodes.select("grp", "total", "level", "idx", "hash", at).groupBy("grp", "at").applyInArrow(_fold(top), LINK), "merkle-links")
@@ -210,11 +210,11 @@ def _tree(items: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame,
     blocks = _blocks(items, order)
     sized = blocks.join(_placed(blocks), ["part", "seq"])
     edges = stage(sized.select("part", "seq", "grp", "leaves", "start", "total").mapInArrow(_edges, EDGE), "merkle-edges")
-    largest = edges.agg(F.max("total")).first()[0]
+    largest, highest = edges.agg(F.max("total"), F.max("level")).first()
     if largest is None:
         return blocks, edges, []
     mean_run = blocks.agg(F.avg(F.size("ids"))).first()[0]
-    return blocks, edges, _links(edges, mean_run, height(largest))
+    return blocks, edges, _links(edges, max(highest, height(max(1, round(mean_run))) + FIRST), height(largest))
 
 
 def _paths(edges: DataFrame, links: list[DataFrame], above: DataFrame) -> DataFrame:

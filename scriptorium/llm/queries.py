@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, decontaminate, exact_dedup, lexicon, merkle, quality, reshard, token_counts, token_files, toxicity, warc
+from . import bottomk, decontaminate, exact_dedup, hamerly, lexicon, merkle, pivots, quality, reshard, token_counts, token_files, toxicity, warc
 from .common import bounded_batches, documents
 
 
@@ -63,13 +63,21 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(documents(spark, sf_dir))
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_decontaminate, op2_token_files, op3_warc, op4_quality, op5_token_counts,
             op6_bpe, op7_toxicity, op8_exact_dedup, op9_near_dedup, op10_sharding,
-            op11_merkle,
+            op11_merkle, op12_top_k, op13_clusters,
         )
     }
 
@@ -108,6 +116,28 @@ def _merkle_sql(levels: int = 40) -> str:
         FROM l JOIN r ON r.g = l.g JOIN f ON f.g = l.g AND f.i = l.i AND f.k = len(f.path) + 1 CROSS JOIN (SELECT h FROM upper WHERE size = 1) w"""
 
 
+#: DuckDB: a vector is there and its components are finite.
+_WHOLE = "embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)"
+
+
+def _clusters_sql(rounds: int = 3, k: int = 16, dim: int = 64) -> str:
+    """Every round is two tables: the nearest centroid of each vector, then the centroids."""
+    near = "SELECT rid, any_value(vec_id) AS vec_id, any_value(y) AS y, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM (SELECT v.rid, v.vec_id, v.y, k.c, list_sum(list_transform(range(1, {dim} + 1), lambda i: (v.y[i] - k.m[i]) * (v.y[i] - k.m[i])))::BIGINT AS d FROM v CROSS JOIN k{r} k) GROUP BY rid"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding AS e, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS y FROM embeddings WHERE len(embedding) = {dim} AND {_WHOLE})",
+        f"k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS c, y AS m FROM v QUALIFY c < {k})",
+    ]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({near.format(dim=dim, r=r)})")
+        mean = f"SELECT c, list(floor_mean ORDER BY i) AS m FROM (SELECT c, i, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS floor_mean FROM (SELECT c, unnest(y) AS x, generate_subscripts(y, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c"
+        parts.append(f"k{r + 1} AS MATERIALIZED (SELECT k.c, coalesce(n.m::BIGINT[], k.m) AS m FROM k{r} k LEFT JOIN ({mean}) n ON n.c = k.c)")
+    parts.append(f"z AS MATERIALIZED ({near.format(dim=dim, r=rounds)})")
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT z.vec_id, z.c::INT AS cluster, z.d AS distance, (sum(z.d) OVER (PARTITION BY z.c))::BIGINT AS cluster_inertia, (sum(z.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.m, ',')) AS centroid_sha256
+        FROM z JOIN k{rounds} k ON k.c = z.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_exact_dedup": """
@@ -125,4 +155,10 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN n >= 1000 AND page_id <> target THEN target END AS refers_to
             FROM t""",
         "op11_merkle": _merkle_sql(),
+        "op12_top_k": f"""
+            WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS y FROM embeddings WHERE vec_id IS NOT NULL AND {_WHOLE}),
+            s AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.y), len(c.y)) + 1), lambda i: q.y[i] * c.y[i])), 0)::BIGINT AS score
+                  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+            SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+        "op13_clusters": _clusters_sql(),
     }
