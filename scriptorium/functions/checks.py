@@ -20,7 +20,7 @@ def reasons(*pairs: tuple[Column, str]) -> Column:
 
 
 def summary_route(mode: Column, ready: Column, seconds: Column, chars: Column, most_seconds: int = 1800, most_chars: int = 30_000) -> Column:
-    """Whether a text is summed up, and what speaks against it; a forced mode overrules the reasons, a disabled one everything."""
+    """Whether a text is summed up, and what speaks against it; a forced mode overrules the reasons, a disabled one everything.  The codes of the reasons are this library's own."""
     off, forced = mode.isin("off", "none", "skip"), mode.isin("force", "on", "always")
     against = reasons((~ready, "missing_key"), (seconds > most_seconds, "duration_over_route"), (chars > most_chars, "content_over_route"), (off, "disabled"))
     return F.struct((~off & (forced | (F.size(against) == 0))).alias("eligible"), against.alias("reasons"))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CJK, WHITE, strip
+from .text import CJK, SPACE, WHITE, strip
 
 #: Fixed value: what parts the tokens of a material.
-TOKEN_BREAKS = r"[，。、“”‘’：；（）()\[\]【】、《》\s/]+"
+TOKEN_BREAKS = rf"[，。、“”‘’：；（）()\[\]【】、《》{SPACE}/]+"
+#: The number of a page, and page numbers before a title.
+PAGE_NUMBER = r"P(\d+)"
+PAGE_PREFIX = rf"^(?:P?\p{{Nd}}+[.\-、：:{SPACE}]*)+"
+#: Fixed value: the characters of one script that tell a language.
+HAN = "[一-鿿]"
 #: Fixed value: what no outgoing text may hold.
 FORBIDDEN = r"(?i)<think\b|</think>|api[\s_-]?key|cookie|authorization|bearer\s+[a-z0-9._-]+|smtp\s*password|smtp授权|授权码"
 #: Fixed value: what a rejected summary holds.
@@ -26,13 +31,13 @@ def tokens(text: Column) -> Column:
 
 def page_number(label: Column) -> Column:
     """The number after the first P, or 0."""
-    return F.coalesce(F.nullif(F.regexp_extract(text_of(label), r"P(\d+)", 1), F.lit("")).try_cast("int"), F.lit(0))
+    return F.coalesce(F.nullif(F.regexp_extract(text_of(label), PAGE_NUMBER, 1), F.lit("")).try_cast("int"), F.lit(0))
 
 
 def without_page(title: Column) -> Column:
     """The title without leading page numbers; unchanged if nothing else is left."""
     plain = strip(title)
-    return F.coalesce(F.nullif(F.regexp_replace(plain, r"^(?:P?\d+[.\-、：:\s]*)+", ""), F.lit("")), plain)
+    return F.coalesce(F.nullif(F.regexp_replace(plain, PAGE_PREFIX, ""), F.lit("")), plain)
 
 
 def fence_body(text: Column) -> Column:
@@ -65,13 +70,13 @@ def secret(value: Column) -> Column:
 
 def cjk_share(text: Column) -> Column:
     t = text_of(text)
-    return F.round(F.when(t == "", 0.0).otherwise(F.regexp_count(t, F.lit(CJK)) / F.length(t)), 4)
+    return F.when(t == "", 0.0).otherwise(F.regexp_count(t, F.lit(CJK)) / F.length(t))
 
 
 def guessed_language(text: Column) -> Column:
     """zh if there are 8 CJK characters and no fewer than Latin letters, else null."""
     t = text_of(text)
-    return F.when(F.regexp_count(t, F.lit(CJK)) >= F.greatest(F.lit(8), F.regexp_count(t, F.lit("[A-Za-z]"))), "zh")
+    return F.when(F.regexp_count(t, F.lit(HAN)) >= F.greatest(F.lit(8), F.regexp_count(t, F.lit("[A-Za-z]"))), "zh")
 
 
 def usable_summary(text: Column) -> Column:
@@ -85,18 +90,38 @@ def path_segment(text: Column, fallback: str, most: int = 120) -> Column:
     return F.trim(F.left(F.coalesce(F.nullif(F.trim(F.regexp_replace(t, "[. ]+$", "")), F.lit("")), F.lit(fallback)), F.lit(most)))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def decimals(value: Column, n: Column | int) -> Column:
+    """A double at ``n`` (0, 1 or 2) decimals: its exact value is rounded, and a tie, which only odd multiples of 1/2, 1/4 or 1/8 are, goes up."""
+
+    def shown(of: Column) -> Column:
+        x, d = of["x"], of["d"]
+        steps = x * F.element_at(F.array(F.lit(2.0), F.lit(4.0), F.lit(8.0)), d + 1)
+        tie = (steps == F.floor(steps)) & (F.pmod(steps, F.lit(2.0)) == 1)
+        return F.replace(F.call_function("format_number", F.when(tie, x + 0.001).otherwise(x), F.element_at(F.array(F.lit("0"), F.lit("0.0"), F.lit("0.00")), d + 1)), F.lit(","), F.lit(""))
+
+    return let(F.struct(value.alias("x"), (F.lit(n) if isinstance(n, int) else n).alias("d")), shown)
+
+
 def compact_number(value: Column) -> Column:
-    large, middle = F.format_string("%.2f 亿", value / 1e8), F.format_string("%.1f 万", value / 1e4)
+    """Hundreds of millions with two decimals, tens of thousands with one, rounded from the exact value of the double, ties upwards."""
+    large, middle = F.concat(decimals(value / 1e8, 2), F.lit(" 亿")), F.concat(decimals(value / 1e4, 1), F.lit(" 万"))
     return F.when(value > 0, F.when(value >= 1e8, large).when(value >= 1e4, middle).otherwise(F.floor(value + 0.5).cast("string"))).otherwise("0")
 
 
 def byte_size(value: Column) -> Column:
-    out = F.lit("0 B")
-    for k, unit in enumerate(("B", "KB", "MB", "GB")):
-        size = value / float(1024**k)
-        shown = F.format_string("%.0f %s" if not k else "%.1f %s", size, F.lit(unit))
-        out = F.when(value >= float(1024**k) if k else value > 0, F.when(size >= 10, F.format_string("%.0f %s", size, F.lit(unit))).otherwise(shown)).otherwise(out)
-    return out
+    """B, KB, MB or GB; whole from 10 of a unit on, one decimal below except of bytes."""
+    k = F.when(value >= 1024.0**3, 3).when(value >= 1024.0**2, 2).when(value >= 1024.0, 1).otherwise(0)
+
+    def shown(of: Column) -> Column:
+        size, unit = of["size"], of["k"]
+        return F.concat(decimals(size, F.when((size >= 10) | (unit == 0), 0).otherwise(1)), F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), unit + 1))
+
+    return F.when(value > 0, let(F.struct((value / F.pow(F.lit(1024.0), k)).alias("size"), k.alias("k")), shown)).otherwise("0 B")
 
 
 def elapsed(value: Column) -> Column:

@@ -37,8 +37,8 @@ def epoch_to_iso(seconds: Column) -> Column:
 
 
 def epoch_guess(value: Column) -> Column:
-    """Epoch milliseconds of a number that may be seconds (up to 1e10) or milliseconds."""
-    return F.when(value > 10_000_000_000, value).otherwise(value * 1000)
+    """Epoch milliseconds of a number that may be seconds (below 1e10) or milliseconds."""
+    return F.when(value >= 10_000_000_000, value).otherwise(value * 1000)
 
 
 def moment(text: Column) -> Column:

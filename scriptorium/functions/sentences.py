@@ -15,10 +15,11 @@ ENDS = r"(?<=[。！？!?；;])\s*|\n+"
 
 
 def take_unique(texts: Column, limit: int) -> Column:
-    """The first ``limit`` texts, normalised, that are not empty and differ by more than case; null is an empty array."""
+    """The first ``limit`` texts, normalised, that are not empty and differ by more than case (ß is ss); null is an empty array."""
+    folded = lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
 
     def step(kept: Column, x: Column) -> Column:
-        skip = (x == "") | (F.size(kept) >= limit) | F.exists(kept, lambda k: F.lower(k) == F.lower(x))
+        skip = (x == "") | (F.size(kept) >= limit) | F.exists(kept, lambda k: folded(k) == folded(x))
         return F.when(skip, kept).otherwise(F.concat(kept, F.array(x)))
 
     plain = F.transform(F.coalesce(texts, F.array().cast("array<string>")), normalize_whitespace)

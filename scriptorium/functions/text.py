@@ -19,13 +19,15 @@ ROLES = {"tool_config": TOOL, "operation_steps": OPERATION, "troubleshooting": T
 ACTION_ROLES = ("operation_steps", "tool_config", "troubleshooting", "case_analysis", "exam_training")
 
 
-#: All that counts as white space at the ends of a text, separators of files to units included.
-WHITE = r"[\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: All that counts as white space, separators of files to units included: as a class, and as characters.
+SPACE = r"\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = f"[{SPACE}]+"
+SPACES = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(text: Column) -> Column:
     """Without white space of any script at the ends; null is empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WHITE}|{WHITE}\z", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -86,7 +88,9 @@ def profiled(rows: DataFrame, text: str) -> DataFrame:
     return found.select(*own, "size", role_.alias("role"), noise.alias("noise"))
 
 
-CJK, WORD = "[一-鿿]", "[A-Za-z0-9_]+"
+# What counts as a CJK character and as a word, and the weight of each kind.
+CJK, WORD = r"[\u3400-\u9fff]", "[A-Za-z0-9_]+"
+PER_CJK, PER_WORD, PER_OTHER = 0.72, 1.15, 0.28
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -94,8 +98,7 @@ def estimate_tokens(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     cjk, words = F.regexp_count(text, F.lit(CJK)), F.regexp_count(text, F.lit(WORD))
     other = F.length(F.regexp_replace(F.regexp_replace(text, CJK, ""), WORD, ""))
-    tenths = cjk * 72 + words * 115 + other * 28  # in hundredths, so that rounding is exact
-    return F.greatest(F.lit(1), F.ceil(tenths / 100)).cast("long")
+    return F.greatest(F.lit(1), F.ceil(cjk * PER_CJK + words * PER_WORD + other * PER_OTHER)).cast("long")
 
 
 def block_tokens(text: Column) -> Column:

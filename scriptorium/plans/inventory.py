@@ -20,6 +20,7 @@ STRIP = f"regexp_replace(coalesce(text, ''), '^{WHITE}|{WHITE}$', '', 'g')"
 EXTRA = [
     (-20, "```json\n{\"a\": 1}\n```"), (-21, "  <think>long\nthought</think>\n# X <THINK a>"), (-22, "P3、P12: 标题"), (-23, "12.3"), (-24, "# H\n> [link](http://x) ![i](u) `c` ```\ncode\n``` a_b"),
     (-25, "sk-ABC 123 ~"), (-26, "标题含非法字符: <> / \\ | ? * 但应该保留主要文字..."), (-27, "Request was REJECTED " + "x" * 200), (-28, "bearer abc.def"), (-29, "smtp授权 x"), (-30, "　全角　"),
+    (-31, "P1　标题"), (-32, "你好　世界 再 见"), (-33, "㐀㐁㐂㐃㐄㐅㐆㐇 abc"), (-34, "P３、 12 标题"), (-35, "\u2003P7\u00a0：x"),
 ]
 MORE = f"(SELECT doc_id, text FROM {TEXTS} UNION ALL SELECT doc_id, text FROM {values(EXTRA, 'doc_id, text')})"
 
@@ -183,23 +184,28 @@ def registry_list(spark: SparkSession, d: str) -> DataFrame:
 
 def numbers_shown(spark: SparkSession, d: str) -> DataFrame:
     price = F.floor(F.col("o_totalprice") * F.col("o_custkey"))
+    size = price.cast("double") / F.when(F.col("o_orderkey") % 2 == 0, 4096.0).otherwise(1.0)
     seconds = F.floor(F.col("o_totalprice") / 7).cast("long")
     return table(spark, d, "orders").select(
-        "o_orderkey", L.compact_number(price.cast("long")).alias("compact"), L.elapsed(seconds).alias("elapsed"), L.duration_text(seconds).alias("duration"),
-        L.ago(seconds * 10_000).alias("ago"), L.bar_percent(F.col("o_totalprice"), F.lit(400_000.0)).alias("bar"),
+        "o_orderkey", L.let(price.cast("long"), L.compact_number).alias("compact"), L.elapsed(seconds).alias("elapsed"), L.duration_text(seconds).alias("duration"),
+        L.ago(seconds * 10_000).alias("ago"), L.bar_percent(F.col("o_totalprice"), F.lit(400_000.0)).alias("bar"), L.byte_size(size).alias("bytes"),
     )
 
 
 NUMBERS = """
     WITH t AS (SELECT o_orderkey, o_totalprice AS p, floor(o_totalprice * o_custkey)::BIGINT AS v, floor(o_totalprice / 7)::BIGINT AS s FROM orders)
     SELECT o_orderkey,
-      CASE WHEN v <= 0 THEN '0' WHEN v >= 100000000 THEN printf('%.2f 亿', v / 1e8) WHEN v >= 10000 THEN printf('%.1f 万', v / 1e4) ELSE v::VARCHAR END AS compact,
+      CASE WHEN v <= 0 THEN '0' WHEN v >= 100000000 THEN printf('%.2f 亿', v / 1e8 + CASE WHEN v / 1e8 * 8 = floor(v / 1e8 * 8) AND v / 1e8 * 8 % 2 = 1 THEN 0.001 ELSE 0 END) WHEN v >= 10000 THEN printf('%.1f 万', v / 1e4 + CASE WHEN v / 1e4 * 4 = floor(v / 1e4 * 4) AND v / 1e4 * 4 % 2 = 1 THEN 0.01 ELSE 0 END) ELSE v::VARCHAR END AS compact,
       CASE WHEN s <= 0 THEN '' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || (s % 60) || 's' ELSE '' END
            ELSE (s // 3600) || 'h' || CASE WHEN s // 60 % 60 > 0 THEN ' ' || (s // 60 % 60) || 'm' ELSE '' END END AS elapsed,
       CASE WHEN s <= 0 THEN '' WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration,
       CASE WHEN s * 10 < 60 THEN '刚刚继续过' WHEN s * 10 < 3600 THEN greatest(1, floor(s * 10 / 60 + 0.5)::INT) || ' 分钟前' WHEN s * 10 < 86400 THEN greatest(1, floor(s * 10 / 3600 + 0.5)::INT) || ' 小时前'
            WHEN s * 10 < 604800 THEN greatest(1, floor(s * 10 / 86400 + 0.5)::INT) || ' 天前' ELSE '' END AS ago,
-      CASE WHEN p > 0 THEN greatest(8, least(100, floor(p / 400000.0::DOUBLE * 100 + 0.5)::INT)) ELSE 0 END AS bar FROM t"""
+      CASE WHEN p > 0 THEN greatest(8, least(100, floor(p / 400000.0::DOUBLE * 100 + 0.5)::INT)) ELSE 0 END AS bar,
+      CASE WHEN b <= 0 THEN '0 B' ELSE CASE WHEN z >= 10 THEN printf('%.0f', z + CASE WHEN z - floor(z) = 0.5 THEN 0.1 ELSE 0 END) WHEN k = 0 THEN printf('%.0f', z + CASE WHEN z - floor(z) = 0.5 THEN 0.1 ELSE 0 END)
+           ELSE printf('%.1f', z + CASE WHEN z * 4 = floor(z * 4) AND z * 4 % 2 = 1 THEN 0.01 ELSE 0 END) END || ['~ B', '~ KB', '~ MB', '~ GB'][k + 1][2:] END AS bytes
+    FROM (SELECT *, b / CASE k WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS z FROM (SELECT *, CASE WHEN b >= 1073741824 THEN 3 WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END AS k
+          FROM (SELECT *, v::DOUBLE / CASE WHEN o_orderkey % 2 = 0 THEN 4096 ELSE 1 END AS b FROM t)))"""
 
 
 def cleaning_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -244,13 +250,20 @@ def valid_edges(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("l_orderkey").agg(F.count("*").alias("parts"), F.min("l_partkey").alias("first_part"))
 
 
+#: A recording within both is one part.
+AUDIO_BYTES, AUDIO_SECONDS = 24 * 1024 * 1024, 1500
+
+
 def audio_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Logical parts of long recordings: as many as size and length ask for, at least two, of a minute or more."""
-    o = table(spark, d, "orders").where("o_totalprice > 100000").select("o_orderkey", (F.col("o_totalprice") * 400).alias("bytes"), F.floor(F.col("o_totalprice") / 50).alias("seconds"))
-    parts = F.greatest(F.lit(2), F.ceil(F.col("bytes") / (24 * 1024 * 1024)).cast("int"), F.ceil(F.col("seconds") / 1500).cast("int"))
-    step = F.greatest(F.lit(60), F.ceil(F.col("seconds") / parts)).cast("long")
-    out = o.withColumn("step", step).select("o_orderkey", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seconds").cast("long") - 1, F.col("step"))).alias("start"), F.col("seconds").cast("long").alias("seconds"))
-    return out.groupBy("o_orderkey").agg(F.count("*").alias("parts"), F.max("step").alias("step"), F.max(F.col("seconds") - F.col("start")).alias("whole"))
+    """Logical parts of recordings: one if size and length allow, else as many as they ask for, at least two, of a minute or more; what is within half a second of the end starts no part."""
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 400).alias("bytes"), (F.col("o_totalprice") / 50).alias("seconds"))
+    single = (F.col("bytes") <= AUDIO_BYTES) & (F.col("seconds") <= AUDIO_SECONDS)
+    asked = F.greatest(F.lit(2), F.ceil(F.col("bytes") / AUDIO_BYTES).cast("int"), F.ceil(F.col("seconds") / AUDIO_SECONDS).cast("int"))
+    step = F.when(single, F.col("seconds")).otherwise(F.greatest(F.lit(60.0), F.col("seconds") / asked))
+    count = F.when(single, 1).otherwise(F.ceil((F.col("seconds") - 0.5) / F.col("step"))).cast("int")
+    parts = o.withColumn("step", step).select("o_orderkey", "step", "seconds", F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
+    start = F.col("part") * F.col("step")
+    return parts.select("o_orderkey", (F.col("part") + 1).alias("part"), F.round(start * 1000).cast("long").alias("start_ms"), F.round(F.least("step", F.col("seconds") - start) * 1000).cast("long").alias("length_ms"))
 
 
 def teaching_map(spark: SparkSession, d: str) -> DataFrame:
@@ -304,25 +317,27 @@ def stripped(expr: str) -> str:
     return f"regexp_replace({expr}, '^{WHITE}|{WHITE}$', '', 'g')"
 
 
+SPACE = WHITE[1:-2]
+TOKENS = f"list_filter(string_split_regex(coalesce(text, ''), '[，。、“”‘’：；（）()\\[\\]【】、《》{SPACE}/]+'), lambda x: length(x) >= 2)"
 FENCE = r"(?is)^```(?:json|markdown|md)?\s*(.*?)\s*```$"
-CJK_N, LATIN_N = "len(regexp_extract_all(coalesce(text, ''), '[一-鿿]'))", "len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]'))"
+HAN_N, CJK_N, LATIN_N = "len(regexp_extract_all(coalesce(text, ''), '[一-鿿]'))", "len(regexp_extract_all(coalesce(text, ''), '[\\x{3400}-\\x{9fff}]'))", "len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]'))"
 MARKDOWN = replaced("(?s)```.*?```", " ")
 for _p, _t in ((r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), ("[#>*_`~|:-]", " "), (WHITE, " ")):
     MARKDOWN = f"regexp_replace({MARKDOWN}, {quoted(_p)}, {quoted(_t)}, 'g')"
 
 QUERIES = {
     "q_material_tokens": Query(each(lambda t: F.concat_ws("|", F.size(L.tokens(t)).cast("string"), F.md5(F.array_join(L.tokens(t), "|")))), of_more(
-        "concat_ws('|', len(list_filter(string_split_regex(coalesce(text, ''), '[，。、“”‘’：；（）()\\[\\]【】、《》\\s\\x0b/]+'), lambda x: length(x) >= 2)), md5(array_to_string(list_filter(string_split_regex(coalesce(text, ''), '[，。、“”‘’：；（）()\\[\\]【】、《》\\s\\x0b/]+'), lambda x: length(x) >= 2), '|')))")),
+        f"concat_ws('|', len({TOKENS}), md5(array_to_string({TOKENS}, '|')))")),
     "q_truncate": Query(each(lambda t: X.truncate(X.normalize_whitespace(t), 120)), of_more("CASE WHEN length({c}) > 120 THEN rtrim(left({c}, 119)) || '…' ELSE {c} END".format(c=X.CLEAN_SQL))),
     "q_page_number": Query(each(L.page_number), of_more("coalesce(TRY_CAST(nullif(regexp_extract(coalesce(text, ''), 'P(\\d+)', 1), '') AS INT), 0)")),
-    "q_page_prefix": Query(each(lambda t: F.md5(L.without_page(t))), of_more(f"md5(coalesce(nullif(regexp_replace({STRIP}, '^(?:P?\\d+[.\\-、：:\\s]*)+', ''), ''), {STRIP}))")),
+    "q_page_prefix": Query(each(lambda t: F.md5(L.without_page(t))), of_more(f"md5(coalesce(nullif(regexp_replace({STRIP}, '^(?:P?\\pN+[.\\-、：:{SPACE}]*)+', ''), ''), {STRIP}))")),
     "q_fence_body": Query(each(lambda t: F.md5(L.fence_body(t))), of_more(f"md5(CASE WHEN regexp_matches({STRIP}, {quoted(FENCE)}) THEN {stripped(f'regexp_extract({STRIP}, {quoted(FENCE)}, 1)')} ELSE {STRIP} END)")),
     "q_without_thoughts": Query(each(lambda t: F.md5(L.without_thoughts(t))), of_more("md5(" + stripped(f"regexp_replace({replaced(r'(?is)<think\b[^>]*>.*?</think>')}, '(?i)</?think\\b[^>]*>', '', 'g')") + ")")),
     "q_plain_markdown": Query(each(lambda t: F.md5(L.plain_markdown(t))), of_more(f"md5(trim({MARKDOWN}))")),
     "q_clip": Query(each(lambda t: F.md5(L.clipped(t, 1000, " [cut]"))), of_more(f"md5(CASE WHEN length({STRIP}) <= 1000 THEN {STRIP} ELSE left({STRIP}, 1000) || ' [cut]' END)")),
     "q_secret": Query(each(L.secret), of_more(f"CASE WHEN regexp_full_match({STRIP}, '[\\x20-\\x7e]+') THEN {STRIP} ELSE '' END")),
     "q_cjk": Query(each(lambda t: F.concat_ws("|", L.guessed_language(t), F.round(L.cjk_share(t) * 10000).cast("long").cast("string"))), of_more(
-        f"concat_ws('|', CASE WHEN {CJK_N} >= greatest(8, {LATIN_N}) THEN 'zh' END, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE round(round({CJK_N}::DOUBLE / length(text), 4) * 10000)::BIGINT END)")),
+        f"concat_ws('|', CASE WHEN {HAN_N} >= greatest(8, {LATIN_N}) THEN 'zh' END, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE round({CJK_N}::DOUBLE / length(text) * 10000)::BIGINT END)")),
     "q_forbidden": Query(each(lambda t: L.text_of(t).rlike(L.FORBIDDEN)), of_more(f"regexp_matches(coalesce(text, ''), {quoted(L.FORBIDDEN)})")),
     "q_usable_summary": Query(each(L.usable_summary), of_more(f"length({STRIP}) >= 120 AND NOT regexp_matches({STRIP}, {quoted(L.REJECTED)})")),
     "q_path_segment": Query(each(lambda t: L.path_segment(t, "untitled")), of_more(
@@ -354,9 +369,10 @@ QUERIES = {
         SELECT p_partkey, CASE WHEN n = 1 THEN title ELSE title || ' ' || least(n, 4) END AS name, lag(p_partkey) OVER w AS after, lead(p_partkey) OVER w AS next FROM r WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)"""),
     "q_valid_edges": Query(valid_edges, """SELECT l_orderkey, count(DISTINCT l_partkey) AS parts, min(l_partkey) AS first_part FROM lineitem
         WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1"""),
-    "q_audio_parts": Query(audio_parts, """WITH o AS (SELECT o_orderkey, o_totalprice * 400 AS bytes, floor(o_totalprice / 50)::BIGINT AS seconds FROM orders WHERE o_totalprice > 100000),
-        s AS (SELECT *, greatest(60, ceil(seconds / greatest(2, ceil(bytes / 25165824)::INT, ceil(seconds / 1500)::INT)))::BIGINT AS step FROM o)
-        SELECT o_orderkey, ceil(seconds / step)::BIGINT AS parts, step, seconds AS whole FROM s"""),
+    "q_audio_parts": Query(audio_parts, """WITH o AS (SELECT o_orderkey, o_totalprice * 400 AS bytes, o_totalprice / 50 AS seconds, o_totalprice * 400 <= 25165824 AND o_totalprice / 50 <= 1500 AS alone FROM orders),
+        s AS (SELECT *, CASE WHEN alone THEN seconds ELSE greatest(60, seconds / greatest(2, ceil(bytes / 25165824)::INT, ceil(seconds / 1500)::INT)) END AS step FROM o),
+        p AS (SELECT *, unnest(range(CASE WHEN alone THEN 1 ELSE ceil((seconds - 0.5) / step)::BIGINT END)) AS k FROM s)
+        SELECT o_orderkey, (k + 1)::INT AS part, round(k * step * 1000)::BIGINT AS start_ms, round(least(step, seconds - k * step) * 1000)::BIGINT AS length_ms FROM p"""),
     "q_teaching_map": Query(teaching_map, f"""WITH t AS (SELECT doc_id, {ROLE} AS role, greatest(1, least(5, 1 + least(3, length({X.CLEAN_SQL}) // 900) + (({ROLE}) IN ('operation_steps', 'tool_config', 'troubleshooting', 'case_analysis', 'exam_training'))::INT - CASE {NOISE} WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END))::INT AS score, {NOISE} AS noise FROM {TEXTS})
         SELECT doc_id, role, score FROM t WHERE score >= 4 AND noise <> 'high'"""),
     "q_noise_segments": Query(noise_segments, f"""SELECT doc_id, {NOISE} AS noise, least(5, len(list_filter([{', '.join(map(quoted, X.NOISE))}], lambda k: contains(lower(coalesce(text, '')), k))))::INT AS reasons FROM {TEXTS} WHERE {NOISE} <> 'low'"""),

@@ -207,7 +207,7 @@ QUERIES = {
     "q_cleaning_accepted": Query(cleaning_accepted, """WITH t AS (SELECT l_orderkey, l_quantity::INT AS m, l_partkey % 90 AS k, l_linenumber - 1 AS lost, floor(l_extendedprice / 10) AS s, floor(l_extendedprice * (1 - l_discount * 4) / 10) AS c FROM lineitem)
         SELECT l_orderkey, count(*) FILTER (lost <= CASE WHEN m < 5 THEN 0 ELSE greatest(1, floor(m * 0.05::DOUBLE)) END AND lost <= CASE WHEN k < 8 THEN 0 ELSE greatest(1, floor(k * 0.05::DOUBLE)) END) AS accepted,
                count(*) FILTER (c < greatest(240, floor(s * 0.75::DOUBLE)) AND s > 800) AS short, count(*) AS n FROM t GROUP BY 1"""),
-    "q_cleaning_lengths": Query(cleaning_lengths, f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, doc_id % 8 AS k, round({CJK_N}::DOUBLE / length(text), 4) AS share FROM documents),
+    "q_cleaning_lengths": Query(cleaning_lengths, f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, doc_id % 8 AS k, {CJK_N}::DOUBLE / length(text) AS share FROM documents),
         c AS (SELECT doc_id, n, share, k, (CASE WHEN k = 7 THEN n * 2 WHEN k = 6 THEN floor(n * 0.3::DOUBLE) ELSE floor(n * (k + 3) / 8) END) AS m FROM t)
         SELECT doc_id, concat_ws(',', CASE WHEN n > 800 AND m / n < CASE WHEN share < 0.12 AND k = 6 THEN 0.24 ELSE 0.72 END THEN 'short' END, CASE WHEN n > 800 AND m / n > 1.45 THEN 'long' END) AS issues FROM c"""),
     "q_published": Query(published, PUBLISHED),

@@ -13,6 +13,7 @@ LITERALS = [
     (-1, "大家好，请点赞投币关注，三连"), (-2, "大家好 " + "课" * 300), (-3, "关注这个课程"), (-4, "打开终端，点击安装，输入 API key 并运行"),
     (-5, "报错 权限 超时 怎么排查"), (-6, "2001年2002年 12.5% 3月4日 和 1999 12万美元 3亿人 2001年"), (-7, "概念 原理 python 版本"),
     (-8, "[00:10-00:20] a [00:20-01:02:03] b [00:10-00:20] c"), (-9, None), (-10, "嗯，今天 天气好。\n今天\n\n今天\nHello . World"), (-11, "A\n\nA\r\nB\n\n\nB\nC"),
+    (-12, "㐀㐁㒰 一鿿"), (-13, "." * 25), (-14, "-" * 50 + " 你好"),
 ]
 TEXTS = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {values(LITERALS, 'doc_id, text')})"
 
@@ -139,17 +140,17 @@ QUERIES = {
     "q_token_estimate": Query(
         lambda s, d: texts(s, d).select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"), X.block_tokens(F.col("text")).alias("block_tokens")),
         f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM {TEXTS}),
-            c AS (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g')) AS cjk, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w,
-                         length(regexp_replace(regexp_replace(text, '[一-鿿]', '', 'g'), '[A-Za-z0-9_]+', '', 'g')) AS other FROM t)
-            SELECT doc_id, greatest(1, (cjk * 72 + w * 115 + other * 28 + 99) // 100)::BIGINT AS tokens, greatest(1, (n * 10 + 16) // 17)::BIGINT AS block_tokens FROM c""",
+            c AS (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, '[\\x{{3400}}-\\x{{9fff}}]', '', 'g')) AS cjk, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w,
+                         length(regexp_replace(regexp_replace(text, '[\\x{{3400}}-\\x{{9fff}}]', '', 'g'), '[A-Za-z0-9_]+', '', 'g')) AS other FROM t)
+            SELECT doc_id, greatest(1, ceil(cjk * 0.72::DOUBLE + w * 1.15::DOUBLE + other * 0.28::DOUBLE))::BIGINT AS tokens, greatest(1, (n * 10 + 16) // 17)::BIGINT AS block_tokens FROM c""",
     ),
     "q_time_markers": Query(per_text(joined(X.time_markers)), f"""
         WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\[(?:\\d{{1,2}}:)?\\d{{2}}:\\d{{2}}-(?:\\d{{1,2}}:)?\\d{{2}}:\\d{{2}}\\]') AS a FROM {TEXTS})
         SELECT doc_id, coalesce(array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|'), '') AS result FROM m"""),
     "q_numeric_terms": Query(per_text(joined(X.numeric_terms))),
     "q_rule_clean_lines": Query(per_text(X.rule_clean)),
-    "q_slug": Query(per_text(lambda t: F.concat_ws("/", X.slug(t), X.file_name(F.left(t, F.lit(200))))), of_texts(
-        "concat_ws('/', left(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), left(regexp_replace(left(coalesce(text, ''), 200), '[\\\\/:*?\"<>|]', '_', 'g'), 80))")),
+    "q_slug": Query(per_text(lambda t: F.concat_ws("/", X.slug(t), X.file_name(t))), of_texts(
+        "concat_ws('/', left(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), left(regexp_replace(coalesce(text, ''), '[\\\\/:*?\"<>|]', '_', 'g'), 80))")),
     "q_escape_html": Query(per_text(lambda t: F.md5(X.escape_html(t))), of_texts("""md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'))""")),
     "q_quality_gate": Query(quality_gate),
     "q_decision_draft": Query(decision, """

@@ -76,3 +76,19 @@ def test_labels(of, spark):
     assert of(lambda t: L.path_segment(t, "x"), "标题含非法字符: <> / \\ | ? * 但应该保留主要文字") == "标题含非法字符 但应该保留主要文字"
     shown = spark.createDataFrame([(0.0,), (500.0,), (2048.0,), (1.5e7,), (5e9,)], "v double").select(L.byte_size(F.col("v")).alias("r")).collect()
     assert [r.r for r in shown] == ["0 B", "500 B", "2.0 KB", "14 MB", "4.7 GB"]
+
+
+def test_shown_numbers_round_the_exact_double(spark):
+    """Not the shortest decimal of the double; ties, which only some dyadic fractions are, go up."""
+    shown = {1.005e8: "1.00 亿", 1.015e8: "1.01 亿", 2.505e8: "2.51 亿" if 2.505 > 2505 / 1000 else "2.50 亿", 1.125e8: "1.13 亿", 12_500: "1.3 万", 10_500: "1.1 万", 0: "0", 9_999.5: "10000"}
+    rows = spark.createDataFrame([(float(k),) for k in shown], "v double").select("v", L.compact_number(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in rows} == {float(k): v for k, v in shown.items()}
+    sizes = {0.0: "0 B", 512.0: "512 B", 1536.0: "1.5 KB", 1024.0 * 1.25: "1.3 KB", 10.5 * 1024: "11 KB", 5.0 * 2**30: "5.0 GB"}
+    rows = spark.createDataFrame([(k,) for k in sizes], "v double").select("v", L.byte_size(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in rows} == sizes
+
+
+def test_unicode_space_and_wide_cjk(spark):
+    row = spark.createDataFrame([("P1　标题", "你好　世界", "㐀㐁", "x")], "a string, b string, c string, d string").select(
+        L.without_page(F.col("a")), L.tokens(F.col("b")), L.cjk_share(F.col("c")), L.guessed_language(F.repeat("c", F.lit(9)))).first()
+    assert list(row) == ["标题", ["你好", "世界"], 1.0, None]
