@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over ``documents``, each reading what the one before kept."""
+"""The corpus pipeline: five stages over ``documents``, each reading what the one before kept.
+
+Cases: null and empty texts are documents like others to the classifier, equal to each other in exact
+deduplication, linked with nothing in near deduplication, never contaminated, and encoded as no ids; rows
+that repeat count as copies of each other, so one stays; ties are those of the stages' operators; an empty
+table passes through all stages; columns besides those of documents are kept up to the last stage, whatever
+their names and types (maps and variants included).  Names that differ in case only are refused by Spark.
+"""
 
 from __future__ import annotations
 
