@@ -24,6 +24,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ascii_lower, bounded_batches, fresh, new_path, rows_of, stage
 
@@ -147,11 +148,23 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_rows(docs, kept, {"doc_id": F.col("doc_id").cast("long"), "digest": F.unhex(F.sha2(ascii_lower("text"), 256))})
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.MapType | T.VariantType | T.CalendarIntervalType)
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Rows of ``docs`` whose keys (expressions over ``docs``) are in ``kept``; of rows that repeat all keys (``times`` > 1) one.
 
-    ``kept`` has one row per key.  The columns of ``docs`` stay as they are, whatever their names.
+    ``kept`` has one row per key.  The columns of ``docs`` stay as they are, whatever their names and types.
     """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    # maps and variants have no order: rows that differ in them alone are ordered by their JSON
+    odd = [c for c in docs.columns if not _orderable(docs.schema[c].dataType)]
+    one = F.min_by(row, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in odd), F.to_json(F.struct(*(F.col(f"`{c}`") for c in odd))))) if odd else F.min(row)
     own = dict(zip([*keys, "times", "row"], fresh(docs, *(f"{k}_kept" for k in keys), "times_kept", "row_kept"), strict=True))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     right = kept.select(*(F.col(k).alias(own[k]) for k in keys), F.col("times").alias(own["times"]))
@@ -159,6 +172,6 @@ def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> Data
     once = found.where(F.col(own["times"]) == 1).select(*columns)
     again = (
         found.where(F.col(own["times"]) > 1).groupBy(*(own[k] for k in keys))
-        .agg(F.min(F.struct(*columns)).alias(own["row"])).select(f"{own['row']}.*")
+        .agg(one.alias(own["row"])).select(f"{own['row']}.*")
     )
     return once.unionByName(again)

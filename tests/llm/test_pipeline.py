@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import common, quality
+from scriptorium.llm import bottomk, common, exact_dedup, quality
 from tests.llm.test_operators import brute_components, lower
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `row` string"
@@ -95,3 +95,16 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{d}/{name}.parquet")
     assert corpus_pipeline.run(spark, d).isEmpty()
+
+
+def test_stages_keep_columns_of_any_type(spark):
+    """Maps, variants, arrays and structs beside the documents, with rows that repeat and rows that differ in a map alone."""
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.sql(f"""
+        SELECT id AS doc_id, text, 'en' AS lang, 's' AS source, 5L AS n_chars, map(k, 1) AS tags, parse_json(concat('{{"a": "', k, '"}}')) AS meta, array(k) AS list, struct(k, map(k, k) AS m) AS nested
+        FROM VALUES (1L, '{text}', 'x'), (1L, '{text}', 'y'), (1L, '{text}', 'y'), (2L, '{text} more', 'z'), (3L, NULL, 'w') AS v(id, text, k)""")
+    exact = exact_dedup.dedup_stage(spark, docs, "")
+    assert exact.dtypes == docs.dtypes
+    assert sorted((r.doc_id, dict(r.tags)) for r in exact.collect()) == [(1, {"x": 1}), (2, {"z": 1}), (3, {"w": 1})]
+    near = bottomk.near_stage(spark, docs, "")
+    assert near.dtypes == docs.dtypes and sorted(r.doc_id for r in near.collect()) == [1, 3]
