@@ -1,154 +1,201 @@
 """Chunks with overlap, blocks with a tail rule, and runs of related parts.
 
-Each is a fold inside the JVM over a sorted array of small structs (lengths,
-labels and flags, no texts) per package.  A buffer is always a range of
-positions, so the state of a fold is its first position and what it emitted.
-A package is one course or conversation; it is what the arrays are bounded by.
+Each is a fold over the ordered rows of a package (``folds``) that holds the open chunk, block or run and
+no more, so a package may be of any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections import deque
+from collections.abc import Iterator
 
-RANGE = "array<struct<lo:int,hi:int>>"
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..functions.text import estimate_tokens, strip
+from .folds import fold
 
-def _emit(out: Column, lo: Column, hi: Column, when: Column) -> Column:
-    one = F.array(F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi")))
-    return F.when(when, F.concat(out, one)).otherwise(out)
 
+class Chunks:
+    """Units packed by tokens: a chunk closes before a unit of another label, keeping nothing; before a unit that would
+    take it over ``target``; and after a unit that took it over ``most``.  The latter two keep the last ``overlap``
+    units for the next chunk.  At the end, kept units alone make no chunk; before another label or an overflow they do.
+    """
 
-def _nothing() -> Column:
-    return F.array().cast(RANGE)
+    def __init__(self, target: int, most: int, overlap: int, show=lambda units: (units[0][0], units[-1][0])):
+        self.target, self.most, self.overlap, self.show = target, most, overlap, show
+        self.units: deque = deque()
+        self.held, self.chunk, self.position, self.fresh = 0, 0, 0, False
+
+    def _close(self, keep: int) -> tuple:
+        self.chunk += 1
+        row = (self.chunk, *self.show(self.units))
+        while len(self.units) > keep:
+            self.held -= self.units.popleft()[2]
+        self.fresh = False
+        return row
+
+    def take(self, label, tokens, *rest) -> Iterator[tuple]:
+        self.position += 1
+        tokens = tokens or 0
+        if self.units and self.units[-1][1] != label:
+            yield self._close(0)
+        if self.units and self.held + tokens > self.target:
+            yield self._close(self.overlap)
+        self.units.append((self.position, label, tokens, *rest))
+        self.held, self.fresh = self.held + tokens, True
+        if self.held > self.most:
+            yield self._close(self.overlap)
+
+    def end(self) -> Iterator[tuple]:
+        if self.units and self.fresh:
+            yield self._close(0)
 
 
-def _numbered(folded: DataFrame, group: list[str], ranges: str, name: str) -> DataFrame:
-    """A row for each range: its number from 1, first and last position."""
-    spread = folded.select(*group, F.posexplode(ranges).alias("__n", "__r"))
-    return spread.select(*group, (F.col("__n") + 1).alias(name), F.col("__r.lo").alias("first"), F.col("__r.hi").alias("last"))
+def chunk_ranges(units: DataFrame, group: list[str], order: str, label: str, tokens: str, target: int, most: int, overlap: int) -> DataFrame:
+    """group, chunk, first, last: ranges of unit positions (from 1) that make the chunks of each package (see ``Chunks``)."""
+    return fold(units, group, [order], [label, tokens], lambda: Chunks(target, most, overlap), "chunk int, first int, last int")
 
 
-def chunk_ranges(units: DataFrame, group: list[str], order: str, label: str, tokens: str, target: int, most: int, overlap: int) -> DataFrame:
-    """group, chunk, first, last: ranges of unit positions (from 1) that make the chunks of each package.
+def build_chunks(units: DataFrame, group: list[str], order: list[str], label: str, text: str, tokens: str, start: str, end: str, target: int = 5200, most: int = 6200, overlap: int = 4) -> DataFrame:
+    """group, chunk, text, labels, start, end, units, tokens: the chunks of each package, whole (see ``Chunks``).
 
-    A chunk closes before a unit of another label, keeping nothing; before a unit that would take it
-    over ``target``; and after a unit that took it over ``most``.  The latter two keep the last
-    ``overlap`` units for the next chunk.  At the end, kept units alone make no chunk; before another
-    label or an overflow they do.
+    The text has a heading for each label and then the texts of the units, a line each; its tokens are counted
+    anew; start and end are the least and largest that any unit has.  An empty text stays a line; null is empty.
     """
-    w = Window.partitionBy(*group).orderBy(order)
-    before = F.coalesce(F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    turned = ~F.col(label).eqNullSafe(F.lag(label).over(w))
-    unit = F.struct(F.row_number().over(w).alias("i"), before.alias("before"), F.col(tokens).cast("long").alias("n"), turned.alias("turned"))
-    items = units.withColumn("__unit", unit).groupBy(*group).agg(F.array_sort(F.collect_list("__unit")).alias("__items"))
-
-    def held(lo: Column, upto: Column) -> Column:
-        return upto - F.col("__items")[lo - 1]["before"]
-
-    # each step has a fold of its own, so that a later condition names the state and not how it came about
-    def step(s: Column, x: Column) -> Column:
-        i = x["i"]
-        full_at = x["before"] + x["n"]
-        some = s["lo"] < i
-        turn = some & x["turned"]
-        over = some & ~x["turned"] & (held(s["lo"], full_at) > target)
-        lo = F.when(turn, i).when(over, F.greatest(s["lo"], i - overlap)).otherwise(s["lo"])
-        large = held(lo, full_at) > most
-        out = _emit(_emit(s["out"], s["lo"], i - 1, turn | over), lo, i, large)
-        next_lo = F.when(large, F.greatest(lo, i + 1 - overlap)).otherwise(lo)
-        return F.struct(next_lo.cast("int").alias("lo"), (~large).alias("fresh"), out.alias("out"))
-
-    start = F.struct(F.lit(1).alias("lo"), F.lit(False).alias("fresh"), _nothing().alias("out"))
-    end = F.size("__items")
-    finish = lambda s: _emit(s["out"], s["lo"], end, s["fresh"] & (s["lo"] <= end))
-    return _numbered(items.select(*group, F.aggregate("__items", start, step, finish).alias("__ranges")), group, "__ranges", "chunk")
 
+    def show(held: deque) -> tuple:
+        labels = list(dict.fromkeys(u[1] for u in held))
+        header, body = "\n".join(f"## {x or ''}" for x in labels), "\n".join(u[3] or "" for u in held)
+        starts, ends = [u[4] for u in held if u[4] is not None], [u[5] for u in held if u[5] is not None]
+        return f"{header}\n\n{body}", labels, min(starts, default=None), max(ends, default=None), len(held)
 
-def block_ranges(chunks: DataFrame, group: list[str], order: str, size: str, target: int, most: int, least: int) -> DataFrame:
-    """group, block, first, last: blocks of chunks.
+    times = {start: F.col(start).cast("double"), end: F.col(end).cast("double")}
+    chunks = fold(units.withColumns(times), group, order, [label, tokens, text, start, end], lambda: Chunks(target, most, overlap, show), "chunk int, text string, labels array<string>, start double, end double, units int")
+    return chunks.withColumn("text", strip(F.col("text"))).withColumn("tokens", estimate_tokens(F.col("text")))
 
-    A block closes once it holds ``target`` or if the next chunk would take it over ``most``; a last block
-    whose text, chunks joined by two line feeds, has under ``least`` joins the one before it.
-    """
-    w = Window.partitionBy(*group).orderBy(order)
-    upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    item = F.struct(F.row_number().over(w).alias("i"), upto.alias("upto"), F.col(size).cast("long").alias("n"))
-    items = chunks.withColumn("__item", item).groupBy(*group).agg(F.array_sort(F.collect_list("__item")).alias("__items"))
 
-    def before(lo: Column) -> Column:
-        at = F.col("__items")[lo - 1]
-        return at["upto"] - at["n"]
+class Blocks:
+    """A block closes once it holds ``target`` or if the next chunk would take it over ``most``; a last block whose
+    text, chunks joined by two line feeds, has under ``least`` joins the one before it."""
 
-    def step(s: Column, x: Column) -> Column:
-        base = before(s["lo"])
-        close = (s["lo"] < x["i"]) & ((x["upto"] - base > most) | (x["upto"] - x["n"] - base >= target))
-        return F.struct(F.when(close, x["i"]).otherwise(s["lo"]).cast("int").alias("lo"), _emit(s["out"], s["lo"], x["i"] - 1, close).alias("out"))
+    def __init__(self, target: int, most: int, least: int):
+        self.target, self.most, self.least = target, most, least
+        self.done: tuple[int, int] | None = None  # the block before the open one
+        self.first, self.last, self.held, self.block = 1, 0, 0, 0
 
-    end = F.size("__items")
+    def _shown(self) -> Iterator[tuple]:
+        if self.done:
+            self.block += 1
+            yield (self.block, *self.done)
 
-    def finish(s: Column) -> Column:
-        short = (F.element_at("__items", -1)["upto"] - before(s["lo"]) + 2 * (end - s["lo"]) < least) & (F.size(s["out"]) > 0)
-        joined = _emit(F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.try_element_at(s["out"], F.lit(-1))["lo"], end, F.lit(True))
-        return F.when(short, joined).otherwise(_emit(s["out"], s["lo"], end, F.lit(True)))
+    def take(self, size) -> Iterator[tuple]:
+        size = size or 0
+        if self.last >= self.first and (self.held + size > self.most or self.held >= self.target):
+            yield from self._shown()
+            self.done, self.first, self.held = (self.first, self.last), self.last + 1, 0
+        self.last, self.held = self.last + 1, self.held + size
 
-    start = F.struct(F.lit(1).alias("lo"), _nothing().alias("out"))
-    return _numbered(items.select(*group, F.aggregate("__items", start, step, finish).alias("__ranges")), group, "__ranges", "block")
+    def end(self) -> Iterator[tuple]:
+        if self.done and self.held + 2 * (self.last - self.first) < self.least:
+            self.done = (self.done[0], self.last)
+            yield from self._shown()
+        else:
+            yield from self._shown()
+            self.done = (self.first, self.last)
+            yield from self._shown()
 
 
-def merge_ranges(parts: DataFrame, group: list[str], order: str, role: str, terms: str, noisy: str, most: int = 4, free: int = 3) -> DataFrame:
-    """group, merge, first, last: runs of two to ``most`` neighbouring parts worth merging.
+def block_ranges(chunks: DataFrame, group: list[str], order: str, size: str, target: int, most: int, least: int) -> DataFrame:
+    """group, block, first, last: blocks of chunks, by their positions from 1 (see ``Blocks``)."""
+    return fold(chunks, group, [order], [size], lambda: Blocks(target, most, least), "block int, first int, last int")
+
+
+class Merges:
+    """A part joins the run before it if it has the same role and shares a term with its neighbour, or the run is
+    shorter than ``free``; a noisy part belongs to no run and ends one; a run of ``most`` is whole."""
+
+    def __init__(self, most: int, free: int, keep: int):
+        self.most, self.free, self.keep = most, free, keep
+        self.position, self.size, self.merge = 0, 0, 0
+        self.role, self.terms, self.of_run = None, frozenset(), {}
+
+    def _close(self) -> Iterator[tuple]:
+        if self.size >= 2:
+            self.merge += 1
+            yield self.merge, self.position - self.size + 1, self.position, self.role_of_run, list(self.of_run)[: self.keep]
+        self.size, self.of_run = 0, {}
+
+    def take(self, role, terms, noisy) -> Iterator[tuple]:
+        own = [t for t in terms or () if t is not None]
+        joins = not noisy and self.size > 0 and role == self.role and (self.size < self.free or not self.terms.isdisjoint(own))
+        if not joins:
+            yield from self._close()
+        self.position += 1
+        self.role, self.terms = role, frozenset(own)
+        if not noisy:
+            if not self.size:
+                self.role_of_run = role
+            self.size += 1
+            self.of_run |= dict.fromkeys(own)
+            if self.size >= self.most:
+                yield from self._close()
+
+    def end(self) -> Iterator[tuple]:
+        yield from self._close()
+
+
+def merge_groups(parts: DataFrame, group: list[str], order: str, role: str, terms: str, noisy: str, most: int = 4, free: int = 3, keep: int = 8) -> DataFrame:
+    """group, merge, first, last, role, terms: runs of two to ``most`` neighbouring parts worth merging, their role and their
+    first ``keep`` terms as text, each once (see ``Merges``)."""
+    rows = parts.withColumn(terms, F.col(terms).cast("array<string>"))
+    return fold(rows, group, [order], [role, terms, noisy], lambda: Merges(most, free, keep), "merge int, first int, last int, role string, terms array<string>")
 
-    A part joins the run before it if it has the same role and shares a term with its neighbour, or the run
-    is shorter than ``free``; a noisy part belongs to no run and ends one.
-    """
-    w = Window.partitionBy(*group).orderBy(order)
-    same = F.col(role).eqNullSafe(F.lag(role).over(w))
-    shared = F.coalesce(F.arrays_overlap(terms, F.lag(terms).over(w)), F.lit(False))
-    item = F.struct(F.row_number().over(w).alias("i"), same.alias("same"), shared.alias("shared"), F.coalesce(noisy, F.lit(False)).alias("noisy"))
-    items = parts.withColumn("__item", item).groupBy(*group).agg(F.array_sort(F.collect_list("__item")).alias("__items"))
-
-    def step(s: Column, x: Column) -> Column:
-        size = x["i"] - s["lo"]  # of the run that ends before this part
-        joins = ~x["noisy"] & (size > 0) & x["same"] & (x["shared"] | (size < free))
-        whole = joins & (size + 1 >= most)
-        out = _emit(s["out"], s["lo"], F.when(whole, x["i"]).otherwise(x["i"] - 1), whole | (~joins & (size >= 2)))
-        lo = F.when(whole | x["noisy"], x["i"] + 1).when(joins, s["lo"]).otherwise(x["i"])
-        return F.struct(lo.cast("int").alias("lo"), out.alias("out"))
-
-    start = F.struct(F.lit(1).alias("lo"), _nothing().alias("out"))
-    end = F.size("__items")
-    finish = lambda s: _emit(s["out"], s["lo"], end, end - s["lo"] >= 1)
-    return _numbered(items.select(*group, F.aggregate("__items", start, step, finish).alias("__ranges")), group, "__ranges", "merge")
+
+def merge_ranges(parts: DataFrame, group: list[str], order: str, role: str, terms: str, noisy: str, most: int = 4, free: int = 3) -> DataFrame:
+    """group, merge, first, last of ``merge_groups``."""
+    return merge_groups(parts, group, order, role, terms, noisy, most, free).select(*group, "merge", "first", "last")
+
+
+class Chapters:
+    """Chapters of at most ``micro`` lessons gather until two or more hold ``target``; a larger one joins what waits if that
+    stays within ``target`` or is a single chapter, and stands alone otherwise.  A course of up to ``most`` stays as it is."""
+
+    def __init__(self, most: int, micro: int, target: int):
+        self.most, self.micro, self.target = most, micro, target
+        self.position, self.first, self.held = 0, 1, 0
+
+    def take(self, lessons, chapters) -> Iterator[tuple]:
+        n = max(1, lessons or 1)
+        self.position += 1
+        if chapters <= self.most:
+            self.first = self.position + 1
+            yield self.position, self.position
+            return
+        waiting, held = self.position - self.first, self.held + n
+        small, few = n <= self.micro, waiting <= 1 or held <= self.target
+        if not small and not few:
+            yield self.first, self.position - 1
+            self.first = self.position
+        if (waiting >= 1 and held >= self.target) if small else True:
+            yield self.first, self.position
+            self.first, self.held = self.position + 1, 0
+        else:
+            self.held = held
+
+    def end(self) -> Iterator[tuple]:
+        if self.first <= self.position:
+            yield self.first, self.position
 
 
 def chapter_groups(chapters: DataFrame, group: list[str], order: str, lessons: str, most: int = 24, micro: int = 2, target: int = 8) -> DataFrame:
-    """group, root, first, last: ranges of chapters that make the root chapters of each course.
+    """group, root, first, last: ranges of chapters that make the root chapters of each course (see ``Chapters``).
 
-    Up to ``most`` chapters stay as they are.  Beyond, chapters of at most ``micro`` lessons gather until two or
-    more hold ``target``; a larger one joins what waits if that stays within ``target`` or is a single chapter,
-    and stands alone otherwise.  A missing or zero count of lessons is 1.  Should more than ``most`` ranges be left, equal spans of ranges are joined.
+    A missing or zero count of lessons is 1.  Should more than ``most`` ranges be left, equal spans of ranges are joined.
     """
-    w = Window.partitionBy(*group).orderBy(order)
-    item = F.struct(F.row_number().over(w).alias("i"), F.greatest(F.lit(1), F.coalesce(lessons, F.lit(1))).cast("long").alias("n"))
-    items = chapters.withColumn("__item", item).groupBy(*group).agg(F.array_sort(F.collect_list("__item")).alias("__items"))
-
-    def step(s: Column, x: Column) -> Column:
-        waiting, held, small = x["i"] - s["lo"], s["held"] + x["n"], x["n"] <= micro
-        few = (waiting == 0) | (waiting == 1) | (held <= target)
-        whole = F.when(small, (waiting >= 1) & (held >= target)).otherwise(few)
-        alone = ~small & ~few
-        out = _emit(_emit(s["out"], s["lo"], x["i"] - 1, alone), F.when(alone, x["i"]).otherwise(s["lo"]), x["i"], whole | alone)
-        shut = whole | alone
-        return F.struct(F.when(shut, x["i"] + 1).otherwise(s["lo"]).cast("int").alias("lo"), F.when(shut, 0).otherwise(held).cast("long").alias("held"), out.alias("out"))
-
-    start = F.struct(F.lit(1).alias("lo"), F.lit(0).cast("long").alias("held"), _nothing().alias("out"))
-    end = F.size("__items")
-    finish = lambda s: _emit(s["out"], s["lo"], end, s["lo"] <= end)
-    single = F.transform("__items", lambda x: F.struct(x["i"].alias("lo"), x["i"].alias("hi")))
-    folded = items.select(*group, F.when(end <= most, single).otherwise(F.aggregate("__items", start, step, finish)).alias("__ranges"))
-    n = F.size("__ranges")
+    counted = chapters.join(chapters.groupBy(*group).agg(F.count("*").alias("__chapters")), group)
+    ranges = fold(counted, group, [order], [lessons, "__chapters"], lambda: Chapters(most, micro, target), "first int, last int")
+    place, n = F.row_number().over(Window.partitionBy(*group).orderBy("first")), F.count("*").over(Window.partitionBy(*group))
     span = F.when(n <= most, 1).otherwise(F.greatest(F.lit(2), F.ceil(n / most)))
-    spread = folded.select(*group, span.alias("__span"), F.posexplode("__ranges").alias("__n", "__r"))
-    root = (F.floor(F.col("__n") / F.col("__span")) + 1).cast("int")
-    return spread.groupBy(*group, root.alias("root")).agg(F.min("__r.lo").alias("first"), F.max("__r.hi").alias("last"))
+    roots = ranges.withColumn("root", (F.floor((place - 1) / span) + 1).cast("int"))
+    return roots.groupBy(*group, "root").agg(F.min("first").alias("first"), F.max("last").alias("last"))

@@ -1,9 +1,4 @@
-"""Order-dependent packing: greedy folds over the ordered rows of a group.
-
-A fold runs inside the JVM over a sorted array of small structs (lengths and
-positions only), so a group costs a few bytes a row; the texts are joined to
-their packs afterwards.
-"""
+"""Order-dependent packing: greedy folds over the ordered rows of a group, in bounded memory (``folds``)."""
 
 from __future__ import annotations
 
@@ -12,34 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clock
 from ..functions.text import strip
+from .folds import running
 
 
-def greedy_pack(rows: DataFrame, group: list[str], order: str, size: Column, target: int) -> DataFrame:
+def greedy_pack(rows: DataFrame, group: list[str], order: str | list[str], size: Column, target: int) -> DataFrame:
     """``rows`` with ``pack`` (from 1): a row opens a new pack if it would take a non-empty one over ``target``.
 
     Rows of size 0 belong to no pack and are dropped.
     """
-    sized = rows.withColumn("__size", size).where("__size > 0")
-    items = sized.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("__size").cast("long").alias("size")))).alias("__items"))
-    start = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("packs"))
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["pack"] == 0) | (s["held"] + x["size"] > target)
-        pack = s["pack"] + full.cast("int")
-        return F.struct(pack.alias("pack"), F.when(full, x["size"]).otherwise(s["held"] + x["size"]).alias("held"), F.concat(s["packs"], F.array(pack)).alias("packs"))
+    def step(state: tuple[int, int], size: int) -> tuple[tuple[int, int], int]:
+        pack, held = state
+        full = pack == 0 or held + size > target
+        return ((pack + 1, size) if full else (pack, held + size)), pack + full
 
-    packs = items.withColumn("__packs", F.aggregate("__items", start, step, lambda s: s["packs"]))
-    zipped = F.explode(F.arrays_zip(F.col("__items").getField("at").alias("at"), F.col("__packs").alias("pack")))
-    numbered = packs.select(*group, zipped.alias("z")).select(*group, F.col("z.at").alias(order), F.col("z.pack").alias("pack"))
-    return sized.drop("__size").join(numbered, [*group, order])
+    sized = rows.withColumn("__size", size.cast("long")).where("__size > 0")
+    order = [order] if isinstance(order, str) else order
+    return running(sized, group, [*order, "__size"], "__size", lambda: (0, 0), step, "pack").drop("__size")
 
 
-def pack_entries(entries: DataFrame, group: str, order: str, text: str, start: str, end: str, target: int) -> DataFrame:
+def pack_entries(entries: DataFrame, group: str | list[str], order: str, text: str, start: str, end: str, target: int) -> DataFrame:
     """Entries packed to ``target`` characters: text, first start and last end of each pack."""
+    group = [group] if isinstance(group, str) else group
     trimmed = entries.withColumn("__text", strip(F.col(text)))
-    packed = greedy_pack(trimmed, [group], order, F.length("__text"), target)
+    packed = greedy_pack(trimmed, group, order, F.length("__text"), target)
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("__text").alias("text"))))
-    return packed.groupBy(group, "pack").agg(
+    return packed.groupBy(*group, "pack").agg(
         F.regexp_replace(F.array_join(F.transform(parts, lambda p: p["text"]), " "), "[ \t]+", " ").alias("text"),
         F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("entries"),
     )
