@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, courses, inventory, packages, records, relational, scheduling, texts, tracks
+from . import chunks, courses, inventory, lessons, packages, records, relational, scheduling, texts, tracks
 from .query import Query
 
-QUERIES: dict[str, Query] = {**texts.QUERIES, **relational.QUERIES, **scheduling.QUERIES, **packages.QUERIES, **inventory.QUERIES, **courses.QUERIES, **tracks.QUERIES, **records.QUERIES, **chunks.QUERIES}
+QUERIES: dict[str, Query] = {**texts.QUERIES, **relational.QUERIES, **scheduling.QUERIES, **packages.QUERIES, **inventory.QUERIES, **courses.QUERIES, **tracks.QUERIES, **records.QUERIES, **chunks.QUERIES, **lessons.QUERIES}
