@@ -112,7 +112,7 @@ def block_ranges(chunks: DataFrame, group: list[str], order: str, size: str, tar
 
 
 class Merges:
-    """A part joins the run before it if it has the same role and shares a term with its neighbour, or the run is
+    """A part joins the run before it if it has the same role and shares a term, whatever its case, with its neighbour, or the run is
     shorter than ``free``; a noisy part belongs to no run and ends one; a run of ``most`` is whole."""
 
     def __init__(self, most: int, free: int, keep: int):
@@ -123,11 +123,12 @@ class Merges:
     def _close(self) -> Iterator[tuple]:
         if self.size >= 2:
             self.merge += 1
-            yield self.merge, self.position - self.size + 1, self.position, self.role_of_run, list(self.of_run)[: self.keep]
+            yield self.merge, self.position - self.size + 1, self.position, self.role_of_run, list(self.of_run.values())[: self.keep]
         self.size, self.of_run = 0, {}
 
     def take(self, role, terms, noisy) -> Iterator[tuple]:
-        own = [t for t in terms or () if t is not None]
+        own = {t.casefold(): t for t in reversed(terms or ()) if t is not None}
+        own = {k: own[k] for k in dict.fromkeys(t.casefold() for t in terms or () if t is not None)}
         joins = not noisy and self.size > 0 and role == self.role and (self.size < self.free or not self.terms.isdisjoint(own))
         if not joins:
             yield from self._close()
@@ -137,7 +138,7 @@ class Merges:
             if not self.size:
                 self.role_of_run = role
             self.size += 1
-            self.of_run |= dict.fromkeys(own)
+            self.of_run |= {k: t for k, t in own.items() if k not in self.of_run}
             if self.size >= self.most:
                 yield from self._close()
 
