@@ -6,6 +6,9 @@ a local folder is used only where that setting is absent (tests).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import re
 import uuid
@@ -136,6 +139,14 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
         spark.conf.set(size, f"{mb}m")
 
 
+def release_memory() -> None:
+    """Give memory that earlier tasks of this worker freed back to the system: several workers and a JVM share an executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, stage, tokenizer_path
+from .common import bounded_batches, new_path, release_memory, stage, tokenizer_path
 from .pieces import Encoder, PieceTable, Splitter, groups, load, merges
 
 #: Words in the lexicon, and the longest it takes (bytes); both bound the file.
@@ -187,30 +187,35 @@ def word_encoder(path: str, file: str | None = None) -> WordEncoder:
 
 
 def _count(path: str):
-    """text -> words and how often this task met them since it last handed them on."""
+    """text -> words of at most ``LONGEST`` bytes and how often this task met them since it last handed them on."""
 
     def run(batches):
+        release_memory()
         split, table, names = Splitter(load(path), True), PieceTable(), []
         total = np.zeros(1 << 16, np.int64)
 
         def out():
             used = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in used.tolist()], pa.binary()).cast(pa.string()), pa.array(total[used], pa.int64())], names=["word", "n"])
+            for at in range(0, len(used), 1 << 15):
+                some = used[at : at + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some.tolist()], pa.binary()).cast(pa.string()), pa.array(total[some], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for first, last in groups(texts):
                 data, begin, end, _ = split.split([split.plain(t) or "" for t in texts[first:last]])
+                fits = end - begin <= LONGEST  # longer ones enter no lexicon
+                begin, end = begin[fits], end[fits]
                 numbers, new = table.numbers(data, begin, end)
                 names += new
                 while len(total) < len(names):
                     total = np.concatenate([total, np.zeros_like(total)])
                 total += np.bincount(numbers, minlength=len(total))
                 if table.full:
-                    yield out()
+                    yield from out()
                     table.clear()
                     names, total = [], np.zeros(1 << 16, np.int64)
-        yield out()
+        yield from out()
 
     return run
 
@@ -268,6 +273,7 @@ def send(spark: SparkSession, data: bytes) -> str:
 
 def _digest(path: str, file: str):
     def run(batches):
+        release_memory()
         encoder = word_encoder(path, file)
         numbers = [str(i) for i in range(len(encoder.tokens))]
         for batch in batches:

@@ -27,7 +27,8 @@ LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
 #: Bytes of the pieces that the table holds; longer ones are kept in a dictionary.
 SHORT = 23
 #: Pieces that a table holds before it starts anew, and its slots.
-MOST, SLOTS = 1 << 19, 1 << 20
+MOST, SLOTS = 1 << 18, 1 << 19
+MOST_BYTES = 8 << 20  # of pieces that do not fit in a slot
 #: Characters whose lower case may depend on their neighbours or on the Unicode version.
 UNSURE = re.compile("[ΣԀ-֏Ⴀ-ჿᎠ-᏿ᲀ-Ჿ℀-↏⒰-⓯Ⰰ-ⷿꙀ-ꟿꬰ-ꮿ\U00010000-\U0010ffff]")
 
@@ -155,6 +156,7 @@ class PieceTable:
 
     def clear(self) -> None:
         self.slots, self.long, self.size = np.zeros((SLOTS, 4), U64), {}, 0  # of a slot: three words, number + 1
+        self.long_bytes = 0
 
     def _probe(self, key: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each key or -1, and the slot where the search ended."""
@@ -196,6 +198,7 @@ class PieceTable:
             number = self.long.get(piece)
             if number is None:
                 number = self.long[piece] = new.setdefault(piece, self.size + len(new))
+                self.long_bytes += len(piece)
             out[i] = number
         self.size += len(new)
         return out, list(new)
@@ -214,7 +217,7 @@ class PieceTable:
 
     @property
     def full(self) -> bool:
-        return self.size > MOST
+        return self.size > MOST or self.long_bytes > MOST_BYTES
 
 
 def groups(texts: list[str | None], upto: int = GROUP) -> Iterator[tuple[int, int]]:
