@@ -12,14 +12,12 @@ from .query import Query, quoted, table
 from .texts import NOISE, ROLE
 
 WORDS = ("点击", "报错，注意", "关注")
-PLACE = F.col("p_partkey") % 40
-PACKAGE = F.floor(F.col("p_partkey") / 40)
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
     """Forty parts that follow each other are a package."""
     text = F.concat(F.col("p_name"), F.lit(". "), F.col("p_type"), F.lit(" (API, v2.1) "), F.element_at(F.array(*map(F.lit, WORDS)), F.col("p_size") % 3 + 1))
-    return table(spark, d, "part").select(PACKAGE.alias("package"), F.col("p_partkey").alias("order"), PLACE.alias("place"), "p_size", text.alias("text"))
+    return table(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("package"), F.col("p_partkey").alias("order"), (F.col("p_partkey") % 40).alias("place"), "p_size", text.alias("text"))
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
