@@ -67,12 +67,15 @@ def timed_entries(segments: Column, chars: Column, offset: Column, duration: Col
     whole = F.when(duration > 0, duration).otherwise(F.greatest(chars / F.lit(7.0), n * F.lit(4.0)))
     sizes = F.transform(segments, F.length)
     total = F.greatest(F.lit(1), F.aggregate(sizes, F.lit(0), lambda a, x: a + x))
-    start = F.struct(offset.cast("double").alias("at"), F.array().cast("array<struct<from:double,to:double,content:string>>").alias("out"))
+    kind = "array<struct<from:double,to:double,content:string>>"
+    start = F.struct(F.lit(0).alias("before"), F.array().cast(kind).alias("out"))
+    at = lambda chars_: offset.cast("double") + whole * chars_ / total
 
     def step(s: Column, i: Column) -> Column:
         text = F.get(segments, i)
-        end = F.when(i == n - 1, offset + whole).otherwise(s["at"] + whole * (F.length(text) / total))
-        one = F.struct(s["at"].alias("from"), F.greatest(end, s["at"] + F.lit(0.2)).alias("to"), text.alias("content"))
-        return F.struct(end.cast("double").alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+        upto = s["before"] + F.length(text)
+        end = F.when(i == n - 1, offset + whole).otherwise(at(upto))
+        one = F.struct(at(s["before"]).alias("from"), F.greatest(end, at(s["before"]) + F.lit(0.2)).alias("to"), text.alias("content"))
+        return F.struct(upto.alias("before"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<from:double,to:double,content:string>>"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
