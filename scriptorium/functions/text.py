@@ -136,6 +136,22 @@ def unsupported_years(source: Column, cleaned: Column) -> Column:
     return F.filter(full_years(cleaned), lambda y: ~F.contains(source, F.left(y, F.lit(4))) & ~F.contains(source, F.concat(F.substring(y, 2, 3), F.lit("年"))))
 
 
+def soften_years(source: Column, cleaned: Column) -> Column:
+    """The cleaned text with its unsupported years gone: a month and day after one stay (without the weekday), else 当时 is put.
+
+    Digits next to a number of the same four digits keep it, unless 年 follows.  Null is empty.
+    """
+    text = F.coalesce(cleaned, F.lit(""))
+
+    def without(t: Column, y: Column) -> Column:
+        year = F.left(y, F.lit(4))
+        t = F.regexp_replace(t, F.concat(year, F.lit(r"年(\p{Nd}{1,2}月\p{Nd}{1,2}日)(?:星期[一二三四五六日天])?")), F.lit("$1"))
+        t = F.regexp_replace(t, F.concat(year, F.lit("年")), F.lit("当时"))
+        return F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{Nd})"), year, F.lit(r"(?!\p{Nd})")), F.lit("当时"))
+
+    return F.aggregate(unsupported_years(F.coalesce(source, F.lit("")), text), text, without)
+
+
 def time_markers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MARKER), F.lit(0)))
 

@@ -102,6 +102,15 @@ def year_support(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.regexp_replace(F.array_join(X.unsupported_years(F.col("source"), F.col("cleaned")), "|"), "年", "").alias("result"))
 
 
+def years_softened(spark: SparkSession, d: str) -> DataFrame:
+    """Shipping notes of all lines; the order tells the year, for every third line with its first digit lost."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    year = F.year("l_shipdate").cast("string")
+    source = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("在"), F.substring(year, 2, 3), F.lit("年"))).otherwise(F.concat(F.year("o_orderdate").cast("string"), F.lit("年下单")))
+    note = F.concat(F.date_format("l_shipdate", "yyyy年M月d日"), F.lit("星期三发货，"), year, F.lit("年收到，编号"), year, F.lit("5，"), year, F.lit(" 与 v"), year, F.lit(".0"))
+    return rows.select("l_orderkey", "l_linenumber", X.soften_years(source, note).alias("note"))
+
+
 def marker_loss(spark: SparkSession, d: str) -> DataFrame:
     """Time markers of all turns that those of the assistant's turns lack."""
     at = F.format_string("[00:%02d-00:%02d]", (F.col("turn") * 2).cast("int"), (F.col("turn") * 2 + 1).cast("int"))
@@ -166,6 +175,10 @@ QUERIES = {
         SELECT n.id, CASE WHEN f.k IS NULL THEN 'queued' WHEN t = 'view' THEN 'done' WHEN t = 'error' THEN 'skipped' ELSE 'failed' END AS status, least(3, coalesce(e.faults, most)) AS retries,
                CASE WHEN f.k IS NULL OR t = 'signup' THEN [0, 300000, 1800000, 7200000][least(3, coalesce(e.faults, most)) + 1] ELSE 0 END::BIGINT AS wait_ms
         FROM n LEFT JOIN f ON f.id = n.id LEFT JOIN e ON e.id = f.id AND e.k = f.k"""),
+    "q_years_softened": Query(years_softened, """
+        WITH n AS (SELECT l_orderkey, l_linenumber, l_linenumber % 3 = 0 OR year(l_shipdate) = year(o_orderdate) AS known, year(l_shipdate)::VARCHAR AS y, month(l_shipdate) || '月' || day(l_shipdate) || '日' AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+        SELECT l_orderkey, l_linenumber, CASE WHEN known THEN y || '年' || day || '星期三发货，' || y || '年收到，编号' || y || '5，' || y || ' 与 v' || y || '.0'
+               ELSE day || '发货，当时收到，编号' || y || '5，当时 与 v当时.0' END AS note FROM n"""),
     "q_year_support": Query(year_support, """
         SELECT o_orderkey, coalesce(string_agg(DISTINCT year(l_shipdate)::VARCHAR, '|' ORDER BY year(l_shipdate)::VARCHAR) FILTER (year(l_shipdate) <> year(o_orderdate)), '') AS result
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""),

@@ -92,3 +92,15 @@ def test_unicode_space_and_wide_cjk(spark):
     row = spark.createDataFrame([("P1　标题", "你好　世界", "㐀㐁", "x")], "a string, b string, c string, d string").select(
         L.without_page(F.col("a")), L.tokens(F.col("b")), L.cjk_share(F.col("c")), L.guessed_language(F.repeat("c", F.lit(9)))).first()
     assert list(row) == ["标题", ["你好", "世界"], 1.0, None]
+
+
+@pytest.mark.parametrize(
+    "source, cleaned, softened",
+    [
+        ("", "1998年5月6日星期日开会", "5月6日开会"), ("1998", "1998年5月6日星期日开会", "1998年5月6日星期日开会"), ("998年", "1998 年", "1998 年"), ("", "2001年和2001", "当时和当时"),
+        ("", "编号 20015 与 2001年", "编号 20015 与 当时"), ("2001年", "2001年到2002年", "2001年到当时"), (None, "1999", "当时"), ("x", None, ""), (None, "", ""), ("", "无年份 123", "无年份 123"),
+    ],
+)
+def test_years_that_nothing_supports(spark, source, cleaned, softened):
+    rows = spark.createDataFrame([(source, cleaned)], "s string, c string")
+    assert rows.select(X.soften_years(F.col("s"), F.col("c"))).first()[0] == softened
