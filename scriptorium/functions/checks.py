@@ -56,3 +56,23 @@ def source_type(label: Column) -> Column:
         F.when(F.contains(F.lower(label), F.lit("sensevoice")) | F.contains(label, F.lit("本地")), "local_transcript")
         .when(F.contains(label, F.lit("转写")), "audio_transcript").when(F.contains(label, F.lit("字幕")), "bilibili_subtitle").otherwise("merged_text")
     )
+
+
+# Notes to a writer, what of a list they name at most, and the bounds of a length.
+NOTES = ("上一版缺少或改写关键数字/日期/术语：", "上一版缺少时间戳：", "上一版疑似新增原文不支持的完整年份：", "上一版输出偏短，疑似总结化；请保留更多有效信息", "上一版输出偏长，疑似扩写；请只清稿不补充", "上一版结构不适配 UP 类型：")
+NAMED, NAMED_ISSUES, SHORT, LONG = 12, 4, 0.72, 1.45
+
+
+def repair_notes(terms: Column, markers: Column, years: Column, ratio: Column, issues: Column, least: Column | None = None) -> Column:
+    """What to mend in a text: missing terms and time marks, years without support, its length, its structure.
+
+    Lists that are null or empty give no note; a missing ratio is 1, a missing least one 0.72.
+    """
+    named = lambda note, of, most, by: F.when(F.size(F.coalesce(of, F.array().cast("array<string>"))) > 0, F.concat(F.lit(note), F.array_join(F.slice(of, 1, most), by)))
+    ratio, least = F.coalesce(ratio, F.lit(1.0)), F.coalesce(F.lit(None).cast("double") if least is None else least, F.lit(SHORT))
+    return F.array_compact(
+        F.array(
+            *(named(note, of, NAMED, ", ") for note, of in zip(NOTES, (terms, markers, years), strict=False)),
+            F.when(ratio < least, NOTES[3]), F.when(ratio > LONG, NOTES[4]), named(NOTES[5], issues, NAMED_ISSUES, "；"),
+        )
+    )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import checks as C
 from scriptorium.operators import listings as L
 
 COLUMNS = "title string, creator string, source_id string, source_url string, stage string, text_source string, read_path string, pinned_name string"
@@ -35,3 +36,11 @@ def test_sources_keep_their_order(spark):
     assert got() == [1, 4, 0, 2, 3, 5]
     assert got("sIGN") == [1, 3, 5]
     assert got("", True) == [1, 4]
+
+
+def test_repair_notes(spark):
+    names = "t array<string>, m array<string>, y array<string>, r double, s array<string>, l double"
+    rows = spark.createDataFrame([(None, [], None, None, None, None), ([str(i) for i in range(20)], None, [], 0.72, list("abcde"), None), ([], ["1:00"], ["1999年"], 0.7, [], None), (None, None, None, 0.7, None, 0.24), (None, None, None, 1.5, None, None)], names)
+    got = [r[0] for r in rows.select(C.repair_notes(*map(F.col, "tmyrsl"))).collect()]
+    n = C.NOTES
+    assert got == [[], [n[0] + ", ".join(map(str, range(12))), n[5] + "a；b；c；d"], [n[1] + "1:00", n[2] + "1999年", n[3]], [], [n[4]]]
