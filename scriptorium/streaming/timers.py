@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from .retries import DELAYS_MS, SETTLED
 
@@ -107,10 +107,22 @@ def returning(outcomes: DataFrame, delays: tuple[int, ...] = DELAYS_MS, at: str
 PAGE_FIELDS = ("version", "provider", "model", "language", "label", "prompt", "signature")
 CHUNK_FIELDS = ("version", "provider", "model", "language", "offset", "chunk", "prompt")
 FOUND = _struct(request=LONG, page=TEXT, chunk=TEXT)
+_FOUND = StructType([StructField(f.name, ArrayType(f.dataType)) for f in FOUND])
+_AT_ONCE = 1000
+
+
+def _asked(row: Row) -> tuple:
+    """Place, page and chunk of a packed request; one without a number comes last."""
+    request, page, chunk = row["asked"].split("|")
+    return not request, int(request or 0), page, chunk
 
 
 class Cache(StatefulProcessor):
-    """The page that was kept last, and the chunks kept so far, of one page number of one source."""
+    """The page that was kept last, and the chunks kept so far, of one page number of one source.
+
+    A call of the state is a round trip to the JVM: there are five at most a micro-batch, however many rows it has of
+    the key, and answers come out some at a time.  Lives are counted from the start of a micro-batch: none ends within it.
+    """
 
     def __init__(self, page_ms: int | None, chunk_ms: int | None):
         self.page_ms, self.chunk_ms = page_ms, chunk_ms
@@ -118,19 +130,30 @@ class Cache(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         text = _struct(value=TEXT)
         self.page = handle.getValueState("page", text, self.page_ms)
-        self.chunks = handle.getMapState("chunks", text, text, self.chunk_ms)
+        self.chunks = handle.getListState("chunks", text, self.chunk_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for request, page, chunk in sorted((r["request"], r["page_key"], r["chunk_key"]) for r in rows):
-            kept = self.page.get()[0] if self.page.exists() else None
-            if kept == page:
-                yield Row(request=request, page="hit", chunk=None)
-                continue
-            known = self.chunks.containsKey((chunk,))
-            if not known:
-                self.chunks.updateValue((chunk,), ("",))
-            self.page.update((page,))
-            yield Row(request=request, page="miss" if kept is None else "stale", chunk="hit" if known else "miss")
+        kept = self.page.get()[0] if self.page.exists() else None
+        # pages without an end outlive their chunks
+        known = set() if kept is None and not self.page_ms else {c for (c,) in self.chunks.get()}
+        changed, new, found = False, [], []
+        for unnumbered, request, page, chunk in sorted(map(_asked, rows)):
+            answer = "hit" if kept == page else "miss" if kept is None else "stale"
+            found.append((None if unnumbered else request, answer, None if answer == "hit" else "hit" if chunk in known else "miss"))
+            if answer != "hit":
+                kept, changed = page, True
+                if chunk not in known:
+                    known.add(chunk)
+                    new.append((chunk,))
+            if len(found) == _AT_ONCE:
+                yield Row(**dict(zip(FOUND.names, map(list, zip(*found, strict=True)), strict=True)))
+                found = []
+        if changed:
+            self.page.update((kept,))
+        if new:
+            self.chunks.appendList(new)
+        if found:
+            yield Row(**dict(zip(FOUND.names, map(list, zip(*found, strict=True)), strict=True)))
 
     def close(self) -> None:
         pass
@@ -145,9 +168,10 @@ def cached(requests: DataFrame, keys: list[str], page_ms: int | None = None, chu
     Null fields equal each other.
     """
     packed = lambda names: F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
-    rows = requests.select(*keys, "request", packed(PAGE_FIELDS).alias("page_key"), packed(CHUNK_FIELDS).alias("chunk_key"))
+    asked = F.concat_ws("|", F.coalesce(F.col("request").cast("string"), F.lit("")), packed(PAGE_FIELDS), packed(CHUNK_FIELDS))
     mode = "ProcessingTime" if page_ms or chunk_ms else "None"
-    return rows.groupBy(*keys).transformWithState(Cache(page_ms, chunk_ms), FOUND, "Append", mode)
+    found = requests.select(*keys, asked.alias("asked")).groupBy(*keys).transformWithState(Cache(page_ms, chunk_ms), _FOUND, "Append", mode)
+    return found.select(F.inline(F.arrays_zip(*FOUND.names)))
 
 
 def within(activity: DataFrame, pauses: DataFrame, key: str, at: str, start: str, until: str, longest: str, late: str) -> DataFrame:

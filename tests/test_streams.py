@@ -4,7 +4,9 @@ import itertools
 import random
 import time
 from collections import Counter
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scriptorium.operators import runs
@@ -83,6 +85,54 @@ def test_cache_entries_end(spark, tmp_path):
     assert got == {1: ("miss", "miss"), 2: ("miss", "hit")}, "the page ended, its chunk did not"
 
 
+class Kept:
+    """A state of one key that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.rows = 0, []
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return self.rows if len(self.rows) != 1 else self.rows[0]
+
+    def update(self, row):
+        self.calls += 1
+        self.rows = [row]
+
+    def appendList(self, rows):  # noqa: N802
+        self.calls += 1
+        self.rows = self.rows + rows
+
+
+def test_cache_calls_its_state_a_few_times_a_batch():
+    page, chunks = Kept(), Kept()
+    cache = timers.Cache(None, None)
+    cache.init(SimpleNamespace(getValueState=lambda *_: page, getListState=lambda *_: chunks, getMapState=lambda *_: chunks))
+    for base in (0, 5000):
+        asked = [Row(asked=f"{base + i}|p{i % 3}|c{i % 7}") for i in reversed(range(3000))]
+        got = [x for out in cache.handleInputRows(("k",), iter(asked), None) for x in zip(out["request"], out["page"], out["chunk"], strict=True)]
+        assert [x[0] for x in got] == [base + i for i in range(3000)]
+        new = 7 if base == 0 else 0
+        assert [x[2] for x in got] == ["miss"] * new + ["hit"] * (3000 - new)
+    assert page.calls + chunks.calls <= 10, "two micro-batches of 3000 rows each"
+
+
+def test_cache_of_a_missing_page_number_and_request(spark, tmp_path):
+    schema = "page long, request long, " + ", ".join(f"{c} string" for c in dict.fromkeys((*timers.PAGE_FIELDS, *timers.CHUNK_FIELDS)))
+    rows = [request(n, page=None, label=f"l{n // 2}") for n in range(1, 1300)] + [request(None, page=None, label="l0")]
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    df.write.parquet(f"{tmp_path}/in")
+    with timers.rocksdb(spark):
+        tables.run(timers.cached(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ["page"]), f"{tmp_path}/state", tables.to_versions(f"{tmp_path}/log"))
+    got = {r.request: (r.page, r.chunk) for r in spark.read.parquet(f"{tmp_path}/log").collect()}
+    wanted = {n: ("hit", None) if n % 2 else ("stale", "hit") for n in range(2, 1300)}
+    assert got == wanted | {1: ("miss", "miss"), None: ("stale", "hit")}
+
+
 def test_paged_backfill_resumes(spark):
     listed = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(6)] + [("c", i) for i in range(6)], "s string, i int")
     cursors = spark.createDataFrame([("a", 0, True, 7), ("b", 0, True, 6), ("c", 0, True, None), ("d", 0, True, None), ("e", 4, False, 9)], "s string, page long, more boolean, total long")
