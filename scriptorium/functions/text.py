@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,16 +126,30 @@ def missing_terms(terms: Column, cleaned: Column) -> Column:
     return F.filter(terms, lambda t: ~F.contains(F.coalesce(cleaned, F.lit("")), t))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often and deep in lambdas it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _year(y: Column) -> Column:
+    return F.left(y, F.lit(4))
+
+
 def full_years(text: Column) -> Column:
     """Years, each once whether or not 年 follows (the first form stays)."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMERIC[0]), F.lit(0))
-    return F.filter(found, lambda y, i: F.array_position(F.transform(found, lambda z: F.left(z, F.lit(4))), F.left(y, F.lit(4))) == i + 1)
+    first = lambda forms, years: F.transform(F.array_distinct(years), lambda y: F.element_at(forms, F.array_position(years, y).cast("int")))
+    return _once(found, lambda forms: _once(F.transform(forms, _year), lambda years: first(forms, years)))
 
 
 def unsupported_years(source: Column, cleaned: Column) -> Column:
     """Years of the cleaned text that the source lacks; a lost leading digit before 年 is forgiven."""
-    source = F.coalesce(source, F.lit(""))
-    return F.filter(full_years(cleaned), lambda y: ~F.contains(source, F.left(y, F.lit(4))) & ~F.contains(source, F.concat(F.substring(y, 2, 3), F.lit("年"))))
+    lacks = lambda s, y: ~F.contains(s, _year(y)) & ~F.contains(s, F.concat(F.substring(y, 2, 3), F.lit("年")))
+    return _once(F.coalesce(source, F.lit("")), lambda s: F.filter(full_years(cleaned), lambda y: lacks(s, y)))
+
+
+# A private character with one of three after it: one of the text's own, a year with 年, a number of four digits.
+_OWN, _DATED, _NUMBER = "\ue000\ue001", "\ue000\ue002", "\ue000\ue003"
 
 
 def soften_years(source: Column, cleaned: Column) -> Column:
@@ -141,15 +157,21 @@ def soften_years(source: Column, cleaned: Column) -> Column:
 
     Digits next to a number of the same four digits keep it, unless 年 follows.  Null is empty.
     """
-    text = F.coalesce(cleaned, F.lit(""))
 
+    # a pattern with the year in it would be compiled anew for each row: marks stand for the year in fixed ones
     def without(t: Column, y: Column) -> Column:
-        year = F.left(y, F.lit(4))
-        t = F.regexp_replace(t, F.concat(year, F.lit(r"年(\p{Nd}{1,2}月\p{Nd}{1,2}日)(?:星期[一二三四五六日天])?")), F.lit("$1"))
-        t = F.regexp_replace(t, F.concat(year, F.lit("年")), F.lit("当时"))
-        return F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{Nd})"), year, F.lit(r"(?!\p{Nd})")), F.lit("当时"))
-
-    return F.aggregate(unsupported_years(F.coalesce(source, F.lit("")), text), text, without)
+        t = F.replace(t, F.concat(_year(y), F.lit("年")), F.lit(_DATED))
+        t = F.regexp_replace(t, _DATED + r"(\p{Nd}{1,2}月\p{Nd}{1,2}日)(?:星期[一二三四五六日天])?", "$1")
+        t = F.replace(t, F.lit(_DATED), F.lit("当时"))
+        t = F.regexp_replace(t, r"(?<!\p{Nd})([0-9]{4})(?!\p{Nd})", _NUMBER + "$1")
+        t = F.replace(t, F.concat(F.lit(_NUMBER), _year(y)), F.lit("当时"))
+        return F.replace(t, F.lit(_NUMBER), F.lit(""))
+
+    def softened(text: Column) -> Column:
+        own = F.replace(text, F.lit(_OWN[0]), F.lit(_OWN))
+        return F.aggregate(unsupported_years(source, text), own, without, lambda t: F.replace(t, F.lit(_OWN), F.lit(_OWN[0])))
+
+    return _once(F.coalesce(cleaned, F.lit("")), softened)
 
 
 def time_markers(text: Column) -> Column:

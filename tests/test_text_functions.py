@@ -1,5 +1,8 @@
 """Cleaning and extraction, traced by hand."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,36 @@ def test_unicode_space_and_wide_cjk(spark):
 def test_years_that_nothing_supports(spark, source, cleaned, softened):
     rows = spark.createDataFrame([(source, cleaned)], "s string, c string")
     assert rows.select(X.soften_years(F.col("s"), F.col("c"))).first()[0] == softened
+
+
+def softened(source, text):
+    """Year by year with patterns of its own."""
+    for year in dict.fromkeys(y[:4] for y in re.findall(r"(?<![0-9])(?:19|20)[0-9]{2}年?", text)):
+        if year in source or year[1:] + "年" in source:
+            continue
+        text = re.sub(year + r"年(\d{1,2}月\d{1,2}日)(?:星期[一二三四五六日天])?", r"\1", text)
+        text = re.sub(year + "年", "当时", text)
+        text = re.sub(rf"(?<!\d){year}(?!\d)", "当时", text)
+    return text
+
+
+def test_years_of_random_texts(spark):
+    deal = random.Random(3)
+    bits = ["2020", "2021", "1919", "202", "20", "19", "1", "٣", "年", "年", "5月", "12月", "6日", "5月6日", "星期日", "当时", " ", "x", "\ue000", "\ue001", "\ue002", "\ue003", "$1", "\\"]
+    rows = [("".join(deal.choices(bits, k=deal.randrange(4))), "".join(deal.choices(bits, k=deal.randrange(1, 14)))) for _ in range(4000)]
+    got = spark.createDataFrame(rows, "s string, c string").select("s", "c", X.soften_years(F.col("s"), F.col("c")).alias("r")).collect()
+    assert [(r.s, r.c, r.r) for r in got] == [(s, c, softened(s, c)) for s, c in rows]
+    assert any(r.r != r.c for r in got)
+
+
+def test_years_are_sought_once(spark):
+    """A text of many years is read once, not once a year."""
+    rows = spark.createDataFrame([("1999", "1998年5月6日，1999")], "s string, c string")
+    for column in (X.soften_years(F.col("s"), F.col("c")), X.unsupported_years(F.col("s"), F.col("c"))):
+        plan = rows.select(column.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1
+
+
+def test_forms_of_years(spark):
+    row = spark.createDataFrame([("2001 2002年 2001年 32003 2002 2004年", "002年")], "c string, s string").select(X.full_years(F.col("c")), X.unsupported_years(F.col("s"), F.col("c"))).first()
+    assert list(row) == [["2001", "2002年", "2004年"], ["2001", "2004年"]]
