@@ -24,9 +24,11 @@ def source_units(sources: DataFrame, key: str, source: str, target: int = 260) -
     A source of another shape, or none, has no units (``unread`` lists them).
     """
     read = _read(sources, key, source)
-    plain = read.where("text is not null").select(key, F.posexplode(compact_sentences(F.col("text"), target)).alias("pack", "text"))
+    # no filters on what is read: they would go down to the scan and parse each source once more; no text has no sentences
+    plain = read.select(key, F.posexplode(compact_sentences(F.col("text"), target)).alias("pack", "text"))
     plain = plain.select(key, F.lit(0).alias("track"), F.lit(0).alias("segment"), (F.col("pack") + 1).alias("pack"), F.lit(PLAIN).alias("label"), "text", F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
-    tracks = read.where("tracks is not null").select(key, F.posexplode("tracks").alias("track", "t"))
+    # nor those that an explode of a column brings with it
+    tracks = read.select(key, F.posexplode(F.coalesce("tracks", F.array().cast(_TRACK))).alias("track", "t"))
     whole = F.array(F.struct(F.when(F.coalesce(F.col("t.lang"), F.lit("")) == "", TRACK).otherwise(F.col("t.lang")).alias("label"), F.col("t.entries").alias("entries")))
     paged = F.transform("t.page_segments", lambda s: F.struct(F.when(F.coalesce(s["label"], F.lit("")) == "", UNNAMED).otherwise(s["label"]).alias("label"), s["entries"].alias("entries")))
     segments = tracks.select(key, "track", F.posexplode(F.when(F.size("t.page_segments") > 0, paged).otherwise(whole)).alias("segment", "s"))
@@ -46,4 +48,5 @@ def _read(sources: DataFrame, key: str, source: str) -> DataFrame:
     object_ = F.from_json(F.when(first == "{", F.col(source)), f"text string, subtitles {_TRACK}")
     rows = sources.select(key, F.col(source).alias("source"), object_.alias("o"), F.from_json(F.when(first == "[", F.col(source)), _TRACK).alias("list"), F.when(first == '"', F.get_json_object(F.concat(F.lit('{"a":'), F.col(source), F.lit("}")), "$.a")).alias("string"))
     listed = F.coalesce("list", "o.subtitles")
-    return rows.select(key, listed.alias("tracks"), F.when(listed.isNull(), F.coalesce("string", "o.text")).alias("text"))
+    # where there is a list, there is neither an object nor a string
+    return rows.select(key, listed.alias("tracks"), F.when(F.col("o.subtitles").isNull(), F.coalesce("string", "o.text")).alias("text"))

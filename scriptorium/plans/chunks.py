@@ -29,16 +29,19 @@ def units_of_sources(spark: SparkSession, d: str) -> DataFrame:
     """Documents as raw sources in turn: a text, an object with a text, a list of tracks, and tracks with page segments."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"[.\n]"), lambda x: X.strip(x) != "")
     entry = F.transform(lines, lambda x, i: F.struct(x.alias("content"), i.cast("string").alias("from"), (i + 1).cast("string").alias("to")))
+    k = F.col("doc_id") % 5
+    # a column of its own, so that the lines are made once and only where they are used
+    rows = table(spark, d, "documents").withColumn("entry", F.when(k.isin(2, 3), entry))
+    entry = F.col("entry")
     tracks = F.array(F.struct(F.col("lang"), entry.alias("entries")))
     paged = F.array(F.struct(F.lit("x").alias("lang"), entry.alias("entries"), F.array(F.struct(F.lit(" P1 a ").alias("label"), F.slice(entry, 1, 3).alias("entries")), F.struct(F.lit("").alias("label"), F.slice(entry, 4, 9).alias("entries"))).alias("page_segments")))
-    k = F.col("doc_id") % 5
     shape = (
         F.when(k == 0, F.to_json(F.array("text"))).when(k == 1, F.to_json(F.struct("text"))).when(k == 2, F.to_json(tracks))
         .when(k == 3, F.to_json(F.struct(paged.alias("subtitles"), F.lit("unread").alias("text")))).otherwise("7")
     )
     # a JSON string is what stands between the brackets of a list of one
     raw = F.when(k == 0, F.expr("substring(s, 2, length(s) - 2)")).otherwise(F.col("s"))
-    sources = table(spark, d, "documents").withColumn("s", shape).select("doc_id", raw.alias("source"))
+    sources = rows.withColumn("s", shape).select("doc_id", raw.alias("source"))
     out = units.source_units(sources, "doc_id", "source", 200)
     return out.groupBy("doc_id", "label").agg(F.count("*").alias("units"), F.sum("tokens").alias("tokens"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.length("text")).alias("chars"))
 

@@ -76,6 +76,15 @@ def test_sources_of_all_shapes(spark):
     assert sorted(r.k for r in units.unread(df, "k", "s").collect()) == [5, 6, 7, 9]
 
 
+def test_sources_are_not_parsed_in_filters(spark, tmp_path):
+    """A filter on what is read would go down to the scan, and parse each source once more."""
+    spark.createDataFrame([(1, json.dumps("一。")), (2, json.dumps([None, {"lang": "b", "entries": [{"content": "x"}]}]))], "k int, s string").write.parquet(f"{tmp_path}/in")
+    out = units.source_units(spark.read.parquet(f"{tmp_path}/in"), "k", "s", 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter" in x and ("from_json" in x or "get_json" in x)]
+    assert sorted((r.k, r.track, r.text) for r in out.collect()) == [(1, 0, "一。"), (2, 1, "x")]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab。，, \n;!", max_size=700), st.integers(40, 60), st.integers(60, 80))
 def test_segments_keep_the_text_and_their_limits(text, target, most):
