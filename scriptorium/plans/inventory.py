@@ -286,9 +286,11 @@ def deliver_once(spark: SparkSession, d: str) -> DataFrame:
 def merged_replies(spark: SparkSession, d: str) -> DataFrame:
     """Replies fetched twice: those that are there win, new ones are added; per thread how many came from where."""
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("thread"), F.col("l_linenumber").alias("reply"), "l_returnflag")
-    there = li.where("l_returnflag <> 'A'").dropDuplicates(["thread", "reply"])
-    more = li.where("l_returnflag <> 'N'").dropDuplicates(["thread", "reply"]).join(there, ["thread", "reply"], "left_anti")
-    both = there.select("thread", F.lit(1).alias("old")).unionByName(more.select("thread", F.lit(0).alias("old")))
+    # dealt once, by thread, into as many parts as the session sets; the largest of texts is found by sorting, which keeps no table of all replies in a task
+    dealt = li.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "thread")
+    place = F.when(F.col("l_returnflag") != "A", "there").when(F.col("l_returnflag") != "N", "more")
+    fetched = dealt.select("thread", "reply", place.alias("place")).where("place IS NOT NULL").groupBy("thread", "reply").agg(F.max("place").alias("place"))
+    both = fetched.select("thread", (F.col("place") == "there").cast("int").alias("old"))
     return both.groupBy("thread").agg(F.sum("old").cast("long").alias("kept"), F.count_if(F.col("old") == 0).alias("added"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import checks as C
 from scriptorium.operators import listings as L
+from scriptorium.plans import inventory
 
 COLUMNS = "title string, creator string, source_id string, source_url string, stage string, text_source string, read_path string, pinned_name string"
 ROWS = [("Alpha", " Ann  LEE", "1", None, "x", "s", "p1", "c"), ("beta", "Bob", "2", "http://A", "x", "s", "p2", None), ("none", None, "3", None, "x", "s", "p3", None), ("gone", "Bob", "4", None, "x", "s", "", None), ("twice", "ann lee", "5", None, None, None, "p5", None)]
@@ -44,3 +45,13 @@ def test_repair_notes(spark):
     got = [r[0] for r in rows.select(C.repair_notes(*map(F.col, "tmyrsl"))).collect()]
     n = C.NOTES
     assert got == [[], [n[0] + ", ".join(map(str, range(12))), n[5] + "a；b；c；d"], [n[1] + "1:00", n[2] + "1999年", n[3]], [], [n[4]]]
+
+
+def test_replies_fetched_twice(spark, tmp_path):
+    """Each reply of a thread counts once, without a number too; the plan holds no join and no table of replies."""
+    rows = [(1, 1, "A"), (1, 1, "R"), (1, 2, "A"), (1, 2, "A"), (1, 3, None), (1, None, "R"), (1, None, "A"), (2, 1, "A"), (3, 1, None), (None, 1, "N")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = inventory.merged_replies(spark, str(tmp_path))
+    assert {r.thread: (r.kept, r.added) for r in out.collect()} == {1: (2, 1), 2: (0, 1), None: (1, 0)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "HashAggregate(keys=[thread#" not in "\n".join(x for x in plan.splitlines() if ", reply#" in x.split("functions=")[0])
