@@ -121,7 +121,7 @@ class Cache(StatefulProcessor):
     """The page that was kept last, and the chunks kept so far, of one page number of one source.
 
     A call of the state is a round trip to the JVM: there are five at most a micro-batch, however many rows it has of
-    the key, and answers come out some at a time.  Lives are counted from the start of a micro-batch: none ends within it.
+    the key, and answers come out some at a time.  The live chunks of a key that had some are read whole.  Lives are counted from the start of a micro-batch: none ends within it.
     """
 
     def __init__(self, page_ms: int | None, chunk_ms: int | None):
